@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import stage, table
 
-DISCOUNT = 0.75
+DISCOUNT = 3
+MARGIN = 1.5
 THRESHOLD = 0.7
 
 
@@ -42,40 +43,45 @@ def _pair_slot(prev, word, bits: int):
     return (prev * 2654435 + word * 40503 + word % 8191 * prev % 1048573) % (1 << bits)
 
 
+def _own(slot: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How often each of ``at`` is among ``slot``."""
+    keys, n = np.unique(slot, return_counts=True)
+    return n[np.searchsorted(keys, at)]
+
+
 class Model:
     """Interpolated Kneser-Ney word-pair models of both classes over one shared backoff, and their calibration."""
 
-    def __init__(self, bits, word, pair, fan_in, fan_out, weight=(1.0, 0.0)):
-        self.bits, self.word, self.pair, self.fan_out, self.weight = bits, word, pair, fan_out, weight
-        self.total = word.sum(1)
-        self.types = (word > 0).sum(1)
+    def __init__(self, bits, word, pair, fan_in, context, weight=(1.0, 0.0)):
+        self.bits, self.word, self.pair, self.context, self.weight = bits, word, pair, context, weight
+        self.total = np.maximum(word.sum(1), 1)
         # Continuation counts over both classes together, half a count for the unseen.
         self.shared = (fan_in + 0.5) / (fan_in + 0.5).sum()
+        # Both classes back off with one weight, the toxic model's: what neither knows then counts for neither.
+        self.back = max(np.minimum(word[1], DISCOUNT).sum() / self.total[1], 1e-3)
 
     def contrast(self, text: str | None, own: int | None = None) -> float:
-        """Mean log-likelihood per word under the toxic model minus that under the ordinary one.
+        """Mean over the words of the toxic log-likelihood's excess over the ordinary one.
 
+        Expressions not e**MARGIN times commoner in toxic text add nothing, as they would bury the few telling ones of a long text.
         ``own`` takes the text's own counts out of that class first (leave one out). A text without words gives 0.
         """
         u, prev, p = slots(text, self.bits)
         if not len(u):
             return 0.0
-        ll = []
+        first = np.unique((prev << self.bits) | u)
+        likely = []
         for c in (1, 0):
-            words, pairs, context = (x.astype(float) for x in (self.word[c][u], self.pair[c][p], self.word[c][prev]))
-            total = float(self.total[c])
+            words, pairs, context = (x.astype(float) for x in (self.word[c][u], self.pair[c][p], self.context[c][prev]))
             if own == c:
-                for counts, key in ((words, u), (pairs, p), (context, prev)):
-                    _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-                    np.maximum(counts - n[inverse], 0, out=counts)
-                total -= len(u)
-            total = max(total, 1.0)
-            back = min(1.0, DISCOUNT * self.types[c] / total)
-            low = np.maximum(words - DISCOUNT, 0) / total + back * self.shared[u]
+                words -= _own(first & ((1 << self.bits) - 1), u)
+                context -= _own(first >> self.bits, prev)
+                pairs -= 1
+            low = np.maximum(words - DISCOUNT, 0) / self.total[c] + self.back * self.shared[u]
             seen = np.maximum(pairs - DISCOUNT, 0) / np.maximum(context, 1)
-            spare = np.where(context > 0, np.minimum(1.0, DISCOUNT * self.fan_out[c][prev] / np.maximum(context, 1)), 1.0)
-            ll.append(np.log(seen + np.maximum(spare, 1e-3) * low + 1e-12))
-        return float((ll[0] - ll[1]).mean())
+            # The weight freed by discounting is the context's share of singletons, near 1 here; it is common to both classes.
+            likely.append(seen + low)
+        return float(np.maximum(np.log(likely[0] / likely[1]) - MARGIN, 0).mean())
 
     def score(self, text: str | None) -> float:
         a, b = self.weight
@@ -89,7 +95,7 @@ def _tally(bits: int):
                 keys = [np.zeros(0, np.int64)]
                 for text in pdf.loc[pdf["toxic"] == c, "text"]:
                     u, prev, _ = slots(text, bits)
-                    keys.append((prev << bits) | u)
+                    keys.append(np.unique((prev << bits) | u))
                 at, n = np.unique(np.concatenate(keys), return_counts=True)
                 yield pd.DataFrame({"cls": c, "prev": at >> bits, "word": at & ((1 << bits) - 1), "n": n})
 
@@ -98,7 +104,7 @@ def _tally(bits: int):
 
 def _fill(rows: DataFrame, bits: int) -> np.ndarray:
     """Array [2, 2**bits] from (cls, slot, n), one row per filled slot: bounded by ``bits``."""
-    pdf, out = rows.toPandas(), np.zeros((2, 1 << bits), np.int64)
+    pdf, out = rows.toArrow().to_pandas(), np.zeros((2, 1 << bits), np.int64)
     out[pdf["cls"], pdf["slot"]] = pdf["n"]
     return out
 
@@ -106,6 +112,9 @@ def _fill(rows: DataFrame, bits: int) -> np.ndarray:
 def fit(labelled: DataFrame, max_bits: int = 19) -> Model:
     """Fit both models on ``labelled`` (text, toxic), every row counted by Spark.
 
+    A pair counts once per text, a word by the distinct words before it in its class (continuation count), so
+    neither a repeated line nor a copied text weighs like many texts.
+
     Words are told apart by slot, ``2**bits`` of them: the size follows the amount of text up to ``2**max_bits``, so the
     model broadcast later is at most 7 arrays of half a million numbers at 19, whatever the corpus. Null and empty
     texts add nothing; with rows of one class only, scores are constant. The contrast of each row, its own counts
@@ -116,13 +125,13 @@ def fit(labelled: DataFrame, max_bits: int = 19) -> Model:
     bits = int(np.clip(np.ceil(np.log2(chars / 3 + 1)), 14, max_bits))
     tallies = labelled.mapInPandas(_tally(bits), "cls int, prev long, word long, n long")
     pairs = stage(tallies.groupBy("cls", "prev", "word").agg(F.sum("n").alias("n")), "pairs")
-    word = _fill(pairs.groupBy("cls", F.col("word").alias("slot")).agg(F.sum("n").alias("n")), bits)
-    fan_out = _fill(pairs.groupBy("cls", F.col("prev").alias("slot")).agg(F.count("*").alias("n")), bits)
+    word = _fill(pairs.groupBy("cls", F.col("word").alias("slot")).agg(F.count("*").alias("n")), bits)
+    context = _fill(pairs.groupBy("cls", F.col("prev").alias("slot")).agg(F.sum("n").alias("n")), bits)
     mixed = pairs.select("cls", _pair_slot(F.col("prev"), F.col("word"), bits).alias("slot"), "n")
     pair = _fill(mixed.groupBy("cls", "slot").agg(F.sum("n").alias("n")), bits)
     both = pairs.select("prev", "word").distinct().groupBy(F.col("word").alias("slot")).agg(F.count("*").alias("n"))
     fan_in = _fill(both.withColumn("cls", F.lit(0)), bits)[0]
-    model = Model(bits, word, pair, fan_in, fan_out)
+    model = Model(bits, word, pair, fan_in, context)
     held = spark.sparkContext.broadcast(model)
 
     def contrasts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
