@@ -1,4 +1,65 @@
 """All queries of the image and byte operators, with their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import analytics, pixels
+from ..sources.images import EMB_RGBA_SQL, emb_rgba
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def _image(name: str, make, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(emb_rgba(spark, sf_dir))
+    SQL[name] = f"WITH {EMB_RGBA_SQL} {sql}"
+
+
+_image("g16_alpha_bbox", lambda p: pixels.alpha_bbox(p, 128),
+       "SELECT image_id, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM emb_rgba WHERE a > 128 GROUP BY image_id")
+_image("crop", lambda p: pixels.crop(p, 2, 1, 4, 5), "SELECT image_id, x - 2 AS x, y - 1 AS y, r, g, b, a FROM emb_rgba WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 5")
+_image("flip_horizontal", lambda p: pixels.flip_horizontal(p, 8), "SELECT image_id, 7 - x AS x, y, r, g, b, a FROM emb_rgba")
+_image("flip_vertical", lambda p: pixels.flip_vertical(p, 8), "SELECT image_id, x, 7 - y AS y, r, g, b, a FROM emb_rgba")
+_image("rotate_quarter", lambda p: pixels.rotate_quarter(p, 8), "SELECT image_id, 7 - y AS x, x AS y, r, g, b, a FROM emb_rgba")
+_image("invert", pixels.invert, "SELECT image_id, x, y, 255 - r AS r, 255 - g AS g, 255 - b AS b, a FROM emb_rgba")
+_image("composite", lambda p: pixels.composite(p, (255, 0, 128)),
+       "SELECT image_id, x, y, (2 * (r * a + 255 * (255 - a)) + 255) // 510 AS r, (2 * (g * a) + 255) // 510 AS g, "
+       "(2 * (b * a + 128 * (255 - a)) + 255) // 510 AS b, CAST(255 AS BIGINT) AS a FROM emb_rgba")
+_image("histogram", lambda p: pixels.histogram(p, "r"), "SELECT image_id, r AS level, count(*) AS n FROM emb_rgba GROUP BY ALL")
+_image("distinct_colours", pixels.distinct_colours,
+       "SELECT image_id, count(*) AS colours, max(n) AS most FROM (SELECT image_id, r, g, b, a, count(*) AS n FROM emb_rgba GROUP BY ALL) GROUP BY image_id")
+_image("sub_filter_cost", lambda p: pixels.sub_filter_cost(p, "r"),
+       "SELECT image_id, y, CAST(sum(CASE WHEN v < 128 THEN v ELSE 256 - v END) AS BIGINT) AS cost FROM (SELECT image_id, y, "
+       "(r - coalesce(lag(r) OVER (PARTITION BY image_id, y ORDER BY x), 0) + 256) % 256 AS v FROM emb_rgba) GROUP BY ALL")
+_image("squared_error", lambda p: pixels.squared_error(p, pixels.flip_horizontal(p, 8)),
+       "SELECT p.image_id, CAST(sum((p.r - q.r) * (p.r - q.r) + (p.g - q.g) * (p.g - q.g) + (p.b - q.b) * (p.b - q.b)) AS BIGINT) AS sse, "
+       "max(greatest(abs(p.r - q.r), abs(p.g - q.g), abs(p.b - q.b))) AS largest FROM emb_rgba p JOIN emb_rgba q "
+       "ON p.image_id = q.image_id AND p.y = q.y AND p.x = 7 - q.x GROUP BY p.image_id")
+
+
+def _pareto(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return analytics.pareto_frontier(docs.select("source", "n_chars", "doc_id"), "source", "n_chars", "doc_id")
+
+
+QUERIES["pareto_frontier"] = _pareto
+SQL["pareto_frontier"] = """
+SELECT DISTINCT source, n_chars, doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.source = d.source
+AND e.n_chars <= d.n_chars AND e.doc_id >= d.doc_id AND (e.n_chars < d.n_chars OR e.doc_id > d.doc_id))
+"""
+
+
+def _baseline(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source", "lang").agg(F.sum("n_chars").alias("bytes"))
+    base = docs.where("lang = 'en'").select(F.col("source").alias("name"), F.col("bytes").alias("baseline_bytes"))
+    out = analytics.compare_to_baseline(docs.withColumnRenamed("source", "name"), base)
+    return out.withColumn("ratio", F.round("ratio", 6))
+
+
+QUERIES["baseline_compare"] = _baseline
+SQL["baseline_compare"] = """
+WITH d AS (SELECT source AS name, lang, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY ALL)
+SELECT d.name, d.lang, d.bytes, b.bytes AS baseline_bytes, round(d.bytes / b.bytes, 6) AS ratio, coalesce(d.bytes / b.bytes <= 1.15, true) AS ok
+FROM d LEFT JOIN d b ON b.name = d.name AND b.lang = 'en'
+"""
