@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from .common import stage, table
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, parts: int = 64) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 16, parts: int | None = None) -> DataFrame:
     """Place rows, in doc_id order, into ``shards`` contiguous runs cut at equal byte targets.
 
     Only (doc_id, size, checksum) is shuffled, never text. Rows are range-partitioned (ties and repeated rows
     dealt by a number given to each row, so that no id fills one partition), staged, and summed inside each
-    partition; totals per partition (``parts`` rows) turn those into global prefix sums. A row belongs to the
+    partition; totals per partition (``parts`` rows; one per half a million rows, 64 at least) turn those into global prefix sums. A row belongs to the
     shard holding the middle byte of its own range. Null text counts one byte, null ids come first; an empty table gives
     an empty result.
     """
+    parts = parts or max(64, -(-docs.count() // 500_000))
     narrow = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
