@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,24 +17,18 @@ MARGIN = 1.5
 THRESHOLD = 0.7
 
 
-def _words(text: str | None) -> list[str]:
-    return [w.strip(".,;:!?|\"'()") for w in (text or "").lower().split()]
-
-
-def _hash(words: list[str]) -> np.ndarray:
-    return np.fromiter((hash_word(w) for w in words), dtype=np.uint64, count=len(words))
-
-
+@lru_cache(maxsize=1 << 17)
 def hash_word(word: str) -> int:
     import xxhash
 
-    return xxhash.xxh64_intdigest(word)
+    return xxhash.xxh64_intdigest(word.strip(".,;:!?|\"'()"))
 
 
 def slots(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots of the text's words, of the words before them (slot 0 at the start) and of the pairs."""
     mask = np.uint64((1 << bits) - 1)
-    u = (_hash(_words(text)) & mask).astype(np.int64)
+    words = (text or "").lower().split()
+    u = (np.fromiter(map(hash_word, words), np.uint64, len(words)) & mask).astype(np.int64)
     prev = np.concatenate([[0], u[:-1]]).astype(np.int64) if len(u) else u
     return u, prev, _pair_slot(prev, u, bits)
 
@@ -91,21 +86,24 @@ class Model:
 def _tally(bits: int):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for c in (0, 1):
-                keys = [np.zeros(0, np.int64)]
-                for text in pdf.loc[pdf["toxic"] == c, "text"]:
-                    u, prev, _ = slots(text, bits)
-                    keys.append(np.unique((prev << bits) | u))
-                at, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield pd.DataFrame({"cls": c, "prev": at >> bits, "word": at & ((1 << bits) - 1), "n": n})
+            keys, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for text, toxic in zip(pdf["text"], pdf["toxic"]):
+                u, prev, _ = slots(text, bits)
+                keys.append(np.unique((prev << bits) | u))
+                marks.append(np.full(len(keys[-1]), toxic))
+            at, where, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+            toxic = np.bincount(where, np.concatenate(marks), len(at)).astype(np.int64)
+            yield pd.DataFrame({"prev": at >> bits, "word": at & ((1 << bits) - 1), "n0": n - toxic, "n1": toxic})
 
     return count
 
 
 def _fill(rows: DataFrame, bits: int) -> np.ndarray:
-    """Array [2, 2**bits] from (cls, slot, n), one row per filled slot: bounded by ``bits``."""
-    pdf, out = rows.toArrow().to_pandas(), np.zeros((2, 1 << bits), np.int64)
-    out[pdf["cls"], pdf["slot"]] = pdf["n"]
+    """Array [counts, 2**bits] from (slot, counts...), one row per filled slot: bounded by ``bits``."""
+    pdf = rows.toArrow().to_pandas()
+    counts = pdf.drop(columns="slot")
+    out = np.zeros((counts.shape[1], 1 << bits), np.int64)
+    out[:, pdf["slot"]] = counts.to_numpy().T
     return out
 
 
@@ -123,15 +121,14 @@ def fit(labelled: DataFrame, max_bits: int = 19) -> Model:
     spark = labelled.sparkSession
     chars = labelled.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(chars / 3 + 1)), 14, max_bits))
-    tallies = labelled.mapInPandas(_tally(bits), "cls int, prev long, word long, n long")
-    pairs = stage(tallies.groupBy("cls", "prev", "word").agg(F.sum("n").alias("n")), "pairs")
-    word = _fill(pairs.groupBy("cls", F.col("word").alias("slot")).agg(F.count("*").alias("n")), bits)
-    context = _fill(pairs.groupBy("cls", F.col("prev").alias("slot")).agg(F.sum("n").alias("n")), bits)
-    mixed = pairs.select("cls", _pair_slot(F.col("prev"), F.col("word"), bits).alias("slot"), "n")
-    pair = _fill(mixed.groupBy("cls", "slot").agg(F.sum("n").alias("n")), bits)
-    both = pairs.select("prev", "word").distinct().groupBy(F.col("word").alias("slot")).agg(F.count("*").alias("n"))
-    fan_in = _fill(both.withColumn("cls", F.lit(0)), bits)[0]
-    model = Model(bits, word, pair, fan_in, context)
+    tallies = labelled.mapInPandas(_tally(bits), "prev long, word long, n0 long, n1 long")
+    sums = [F.sum(c).alias(c) for c in ("n0", "n1")]
+    pairs = stage(tallies.groupBy("prev", "word").agg(*sums), "pairs")
+    kinds = [F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0), F.count("*")]
+    *word, fan_in = _fill(pairs.groupBy(F.col("word").alias("slot")).agg(*kinds), bits)
+    context = _fill(pairs.groupBy(F.col("prev").alias("slot")).agg(*sums), bits)
+    pair = _fill(pairs.groupBy(_pair_slot(F.col("prev"), F.col("word"), bits).alias("slot")).agg(*sums), bits)
+    model = Model(bits, np.stack(word), pair, fan_in, context)
     held = spark.sparkContext.broadcast(model)
 
     def contrasts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
