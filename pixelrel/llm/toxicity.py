@@ -15,6 +15,7 @@ from .common import stage, table
 DISCOUNT = 3
 MARGIN = 1.5
 THRESHOLD = 0.7
+BROADCAST_LABELS = 2_000_000
 
 
 @lru_cache(maxsize=1 << 17)
@@ -179,9 +180,16 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled rows that are not held out; null labels and ids train nothing."""
+    """(text, toxic) of the labelled rows that are not held out; null labels and ids train nothing.
+
+    Labels (a number and a mark each) are broadcast up to ``BROADCAST_LABELS`` rows, so that texts stay where they are.
+    """
     marks = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    return docs.where(~held_out()).select("doc_id", "text").join(marks, "doc_id").select("text", "toxic")
+    rows = docs.where(~held_out()).select("doc_id", "text")
+    if marks.count() <= BROADCAST_LABELS:
+        return rows.join(F.broadcast(marks), "doc_id").select("text", "toxic")
+    # Beyond that bound texts move to their labels: once, as the fit reads the rows three times.
+    return stage(rows.join(marks, "doc_id").select("text", "toxic"), "training")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
