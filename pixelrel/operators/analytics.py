@@ -20,3 +20,31 @@ def pareto_frontier(rows: DataFrame, group: str, size: str, score: str) -> DataF
     best = rows.groupBy(group, size).agg(F.max(score).alias(score))
     before = Window.partitionBy(group).orderBy(size).rowsBetween(Window.unboundedPreceding, -1)
     return best.withColumn("_top", F.max(score).over(before)).where(F.col("_top").isNull() | (F.col(score) > F.col("_top"))).drop("_top")
+
+
+def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """The element at index n div 2 of each group's sorted values, from counts of distinct values."""
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(group)
+    at = counts.withColumns({"_upto": F.sum("n").over(upto), "_mid": F.floor(F.sum("n").over(whole) / 2)})
+    return at.where("_upto > _mid and _upto - n <= _mid").select(group, F.col(value).alias("median"))
+
+
+def group_averages(rows: DataFrame, group: str, values: list[str]) -> DataFrame:
+    """Integer-divided means per group and the number of rows."""
+    means = [F.floor(F.sum(v) / F.count(v)).cast("long").alias(f"avg_{v}") for v in values]
+    return rows.groupBy(group).agg(F.count("*").alias("n"), *means)
+
+
+def recompression_report(rows: DataFrame, group: str, old: str, new: str) -> DataFrame:
+    """Per group the total of both sizes and their ratio (the old total counts 1 at least)."""
+    totals = rows.groupBy(group).agg(F.sum(old).alias("old_bytes"), F.sum(new).alias("new_bytes"))
+    return totals.withColumn("ratio", F.col("new_bytes") / F.greatest("old_bytes", F.lit(1)))
+
+
+def percentiles_by_band(rows: DataFrame, value: str, size: str, bounds: list[int]) -> DataFrame:
+    """50th, 90th and 99th percentile and maximum of ``value`` per band of ``size`` (band i holds sizes under ``bounds[i]``)."""
+    band = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(size)))
+    shares = [F.percentile(value, F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 99)]
+    return rows.groupBy(band.alias("band")).agg(F.count("*").alias("n"), *shares, F.max(value).alias("largest"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics, pixels
+from ..functions import names
+from ..operators import analytics, content, geometry, pixels, tones
 from ..sources.images import EMB_RGBA_SQL, emb_rgba
 
 QUERIES: dict = {}
@@ -63,3 +64,100 @@ WITH d AS (SELECT source AS name, lang, CAST(sum(n_chars) AS BIGINT) AS bytes FR
 SELECT d.name, d.lang, d.bytes, b.bytes AS baseline_bytes, round(d.bytes / b.bytes, 6) AS ratio, coalesce(d.bytes / b.bytes <= 1.15, true) AS ok
 FROM d LEFT JOIN d b ON b.name = d.name AND b.lang = 'en'
 """
+
+
+def _clamp(v: str) -> str:
+    return f"CAST(least(greatest({v}, 0), 255) AS BIGINT)"
+
+
+def _num(v: float) -> str:
+    return f"CAST({v:.17e} AS DOUBLE)"
+
+
+_EACH = ["r", "g", "b"]
+_image("g02_resize_nearest", lambda p: geometry.resize_nearest(p, (8, 8), (5, 3)),
+       "SELECT image_id, i AS x, j AS y, r, g, b, a FROM range(5) u(i), range(3) v(j), emb_rgba p WHERE p.x = ((2 * i + 1) * 8) // 10 AND p.y = ((2 * j + 1) * 8) // 6")
+_image("g09_fit_fill", lambda p: geometry.resize_nearest(p, (8, 8), (12, 6)),
+       "SELECT image_id, i AS x, j AS y, r, g, b, a FROM range(12) u(i), range(6) v(j), emb_rgba p WHERE p.x = ((2 * i + 1) * 8) // 24 AND p.y = ((2 * j + 1) * 8) // 12")
+_PAD = ("SELECT d.image_id, i AS x, j AS y, coalesce(r, 9) AS r, coalesce(g, 8) AS g, coalesce(b, 7) AS b, coalesce(a, 255) AS a FROM (SELECT DISTINCT image_id FROM emb_rgba) d "
+        "CROSS JOIN range({0}) u(i) CROSS JOIN range({1}) v(j) LEFT JOIN {2} p ON p.image_id = d.image_id AND p.x + {3} = i AND p.y + {4} = j")
+_image("g12_pad", lambda p: geometry.pad(p, (8, 8), (11, 10), (9, 8, 7, 255)), _PAD.format(11, 10, "emb_rgba", 1, 1))
+_image("g07_fit_contain", lambda p: geometry.pad(geometry.resize_nearest(p, (8, 8), (6, 6)), (6, 6), (10, 6), (9, 8, 7, 255)),
+       _PAD.format(10, 6, "(SELECT image_id, k AS x, l AS y, r, g, b, a FROM range(6) s(k), range(6) t(l), emb_rgba q WHERE q.x = ((2 * k + 1) * 8) // 12 AND q.y = ((2 * l + 1) * 8) // 12)", 2, 0))
+_image("g08_fit_cover", lambda p: geometry.crop_center(geometry.resize_nearest(p, (8, 8), (10, 10)), (10, 10), (10, 6)),
+       "SELECT image_id, k AS x, l - 2 AS y, r, g, b, a FROM range(10) s(k), range(10) t(l), emb_rgba q WHERE q.x = ((2 * k + 1) * 8) // 20 AND q.y = ((2 * l + 1) * 8) // 20 AND l BETWEEN 2 AND 7")
+_image("g13_crop_center", lambda p: geometry.crop_center(p, (8, 8), (4, 2)), "SELECT image_id, x - 2 AS x, y - 3 AS y, r, g, b, a FROM emb_rgba WHERE x BETWEEN 2 AND 5 AND y BETWEEN 3 AND 4")
+_image("g15_circle_mask", lambda p: geometry.circle_mask(p, (8, 8), 2.0),
+       "SELECT image_id, x, y, r, g, b, CAST(round(a * least(greatest((4e0 - sqrt((x - 3.5e0) * (x - 3.5e0) + (y - 3.5e0) * (y - 3.5e0))) / 2e0, 0e0), 1e0)) AS BIGINT) AS a FROM emb_rgba")
+_image("g17_tile_2x2", lambda p: geometry.tile_2x2(p, (8, 8)), "SELECT image_id, x + 8 * i AS x, y + 8 * j AS y, r, g, b, a FROM emb_rgba, range(2) u(i), range(2) v(j)")
+_image("g19_concat_vertical", lambda p: geometry.concat_vertical(p, pixels.invert(p), 8),
+       "SELECT image_id, x, y, r, g, b, a FROM emb_rgba UNION ALL SELECT image_id, x, y + 8, 255 - r, 255 - g, 255 - b, a FROM emb_rgba")
+_image("m03_downscale_by_2", geometry.downscale_by_2, "SELECT image_id, x // 2 AS x, y // 2 AS y, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM emb_rgba GROUP BY ALL")
+_image("f01_grayscale", tones.grayscale, "SELECT image_id, x, y, (2126 * r + 7152 * g + 722 * b) // 10000 AS luma, a FROM emb_rgba")
+_image("f05_brightness", lambda p: tones.brightness(p, 40), "SELECT image_id, x, y, " + ", ".join(f"{_clamp(c + ' + 40')} AS {c}" for c in _EACH) + ", a FROM emb_rgba")
+_image("f06_contrast", lambda p: tones.contrast(p, 30.0), "SELECT image_id, x, y, " + ", ".join(
+    f"{_clamp(f'floor((({c} / 255e0 - 0.5e0) * {_num(1.3 ** 2)} + 0.5e0) * 255e0)')} AS {c}" for c in _EACH) + ", a FROM emb_rgba")
+_image("f07_hue_rotate", lambda p: tones.hue_rotate(p, 90), "SELECT image_id, x, y, " + ", ".join(
+    f"{_clamp('floor(' + ' + '.join(f'{_num(k)} * {v}' for k, v in zip(row, _EACH)) + ')')} AS {c}" for c, row in zip(_EACH, tones.hue_matrix(90))) + ", a FROM emb_rgba")
+_image("f10_median", lambda p: tones.median_3x3(p, "r"),
+       "SELECT p.image_id, p.x, p.y, list_sort(list(q.r))[5] AS r FROM emb_rgba p CROSS JOIN range(-1, 2) u(i) CROSS JOIN range(-1, 2) v(j) "
+       "JOIN emb_rgba q ON q.image_id = p.image_id AND q.x = least(greatest(p.x + i, 0), 7) AND q.y = least(greatest(p.y + j, 0), 7) GROUP BY ALL")
+
+
+def _dot_sql(row, names) -> str:
+    return "(" + " + ".join(f"{_num(k)} * {n}" for k, n in zip(row, names)) + ")"
+
+
+def _lab_sql(source: str) -> str:
+    """``source`` (r, g, b and more columns) with its OKLab columns ok_l, ok_a, ok_b."""
+    lin = ", ".join(f"CASE WHEN {c} / 255e0 <= 0.04045e0 THEN {c} / 255e0 / 12.92e0 ELSE pow(({c} / 255e0 + 0.055e0) / 1.055e0, 2.4e0) END AS l{c}" for c in _EACH)
+    cones = ", ".join(f"cbrt({_dot_sql(row, ['lr', 'lg', 'lb'])}) AS c{i}" for i, row in enumerate(tones.TO_LMS))
+    lab = ", ".join(f"{_dot_sql(row, ['c0', 'c1', 'c2'])} AS ok_{n}" for n, row in zip("lab", tones.TO_LAB))
+    return f"(SELECT *, {lab} FROM (SELECT *, {cones} FROM (SELECT *, {lin} FROM {source})))"
+
+
+_LAB = ["ok_l", "ok_a", "ok_b"]
+_image("e02_oklab", lambda p: tones.with_oklab(p).select("image_id", "x", "y", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in _LAB]),
+       "SELECT image_id, x, y, " + ", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in _LAB) + f" FROM {_lab_sql('emb_rgba')}")
+PALETTE = [(0, 0, 0), (255, 255, 255), (255, 0, 0), (0, 255, 0), (0, 0, 255), (128, 128, 128), (200, 120, 40), (40, 160, 200)]
+_ASSIGNED = ("SELECT image_id, x, y, min_by(i, struct_pack(d := d, i := i)) AS idx FROM (SELECT p.image_id, p.x, p.y, q.i, (p.ok_l - q.ok_l) * (p.ok_l - q.ok_l) + (p.ok_a - q.ok_a) * (p.ok_a - q.ok_a) "
+             f"+ (p.ok_b - q.ok_b) * (p.ok_b - q.ok_b) AS d FROM {_lab_sql('emb_rgba')} p CROSS JOIN "
+             + _lab_sql("(VALUES " + ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(PALETTE)) + ") t(i, r, g, b)") + " q) GROUP BY image_id, x, y")
+_image("q08_palette_assign", lambda p: tones.assign_palette(p, PALETTE).select("image_id", "x", "y", "idx"), _ASSIGNED)
+_image("k13_palette_used", lambda p: tones.assign_palette(p, PALETTE).groupBy("image_id").agg(F.count_distinct("idx").alias("used")),
+       f"SELECT image_id, count(DISTINCT idx) AS used FROM ({_ASSIGNED}) GROUP BY image_id")
+_image("k01_content_stats", lambda p: content.content_stats(p).withColumns({c: F.round(c, 6) for c in ("opaque", "mean_step", "var_step", "run_length")}),
+       "SELECT image_id, round(avg(CASE WHEN a = 255 THEN 1 ELSE 0 END), 6) AS opaque, round(avg(abs(luma - l)), 6) AS mean_step, round(var_pop(abs(luma - l)), 6) AS var_step, "
+       "round(count(*) / (1 + count_if(r <> pr OR g <> pg OR b <> pb)), 6) AS run_length FROM (SELECT *, lag(luma) OVER (PARTITION BY image_id, y ORDER BY x) AS l, lag(r) OVER s AS pr, "
+       "lag(g) OVER s AS pg, lag(b) OVER s AS pb FROM (SELECT *, (r + g + b) // 3 AS luma FROM emb_rgba) WINDOW s AS (PARTITION BY image_id ORDER BY y, x)) GROUP BY image_id")
+_image("k11_unique_ratio", content.unique_colour_ratio, "SELECT image_id, count(DISTINCT (r, g, b)) / count(*) AS ratio FROM emb_rgba GROUP BY image_id")
+_RESIDUES = ["v", "v - l", "v - u", "v - (l + u) // 2", "v - CASE WHEN abs(u - c) <= abs(l - c) AND abs(u - c) <= abs(l + u - 2 * c) THEN l WHEN abs(l - c) <= abs(l + u - 2 * c) THEN u ELSE c END"]
+_FILTERS = ("SELECT image_id, y, CAST(m.f AS INTEGER) AS filter, m.s AS sad FROM (SELECT image_id, y, list_min([" + ", ".join(
+    f"{{'s': CAST(sum(least(({e} + 512) % 256, 256 - ({e} + 512) % 256)) AS BIGINT), 'f': {i}}}" for i, e in enumerate(_RESIDUES)) + "]) AS m FROM (SELECT p.image_id, p.y, p.r AS v, "
+    "coalesce(l.r, 0) AS l, coalesce(u.r, 0) AS u, coalesce(c.r, 0) AS c FROM emb_rgba p LEFT JOIN emb_rgba l ON l.image_id = p.image_id AND l.y = p.y AND l.x = p.x - 1 "
+    "LEFT JOIN emb_rgba u ON u.image_id = p.image_id AND u.y = p.y - 1 AND u.x = p.x LEFT JOIN emb_rgba c ON c.image_id = p.image_id AND c.y = p.y - 1 AND c.x = p.x - 1) GROUP BY image_id, y)")
+_image("n03_row_filters", lambda p: content.row_filters(p, "r"), _FILTERS)
+_image("b14_filter_histogram", lambda p: content.filter_histogram(content.row_filters(p, "r")).withColumn("percent", F.round("percent", 6)),
+       f"SELECT filter, count(*) AS n, round(100e0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM ({_FILTERS}) GROUP BY filter")
+_image("y03_adler32", lambda p: content.adler32(p.withColumn("i", F.col("y") * 8 + F.col("x")), "image_id", "i", "r", 64),
+       "SELECT image_id, CAST((64 + sum((64 - (y * 8 + x)) * r)) % 65521 * 65536 + (1 + sum(r)) % 65521 AS BIGINT) AS adler32 FROM emb_rgba GROUP BY image_id")
+
+
+def _docs(name: str, make, sql: str, table: str = "documents") -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    SQL[name] = sql
+
+
+_docs("b18_upper_median", lambda d: analytics.upper_median(d, "source", "n_chars"), "SELECT source, list_sort(list(n_chars))[count(*) // 2 + 1] AS median FROM documents GROUP BY source")
+_docs("b02_group_averages", lambda d: analytics.group_averages(d, "lang", ["n_chars", "doc_id"]),
+      "SELECT lang, count(*) AS n, CAST(sum(n_chars) // count(n_chars) AS BIGINT) AS avg_n_chars, CAST(sum(doc_id) // count(doc_id) AS BIGINT) AS avg_doc_id FROM documents GROUP BY lang")
+_docs("b16_recompression", lambda d: analytics.recompression_report(d.withColumn("small", F.col("n_chars") - F.pmod("doc_id", F.lit(7))), "source", "n_chars", "small").withColumn("ratio", F.round("ratio", 9)),
+      "SELECT source, CAST(sum(n_chars) AS BIGINT) AS old_bytes, CAST(sum(n_chars - doc_id % 7) AS BIGINT) AS new_bytes, round(sum(n_chars - doc_id % 7) / greatest(sum(n_chars), 1), 9) AS ratio FROM documents GROUP BY source")
+_docs("b09_percentiles", lambda d: analytics.percentiles_by_band(d, "l_extendedprice", "l_quantity", [10, 25, 40]).withColumns({p: F.round(p, 4) for p in ("p50", "p90", "p99")}),
+      "SELECT CAST(CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 25 THEN 1 WHEN l_quantity < 40 THEN 2 ELSE 3 END AS INTEGER) AS band, count(*) AS n, "
+      + ", ".join(f"round(quantile_cont(l_extendedprice, {p / 100}), 4) AS p{p}" for p in (50, 90, 99)) + ", max(l_extendedprice) AS largest FROM lineitem GROUP BY ALL", "lineitem")
+_docs("s09_format", lambda d: d.select("page_id", names.format_of(F.concat("url", F.lit("."), F.element_at(F.array(*map(F.lit, ["PNG", "jpg", "Tif", "txt"])), (F.col("page_id") % 4 + 1).cast("int")))).alias("format"),
+                                       names.shorten_left(F.col("url"), 12).alias("short"), names.derived_name(F.concat("url", F.lit(".png")), "min", "webp").alias("derived")),
+      "SELECT page_id, ['png', 'jpeg', 'tiff', NULL][page_id % 4 + 1] AS format, CASE WHEN length(url) <= 12 THEN url ELSE '…' || right(url, 11) END AS short, url || '.min.webp' AS derived FROM pages", "pages")
+_docs("g01_resize_target", lambda d: d.select("doc_id", geometry.target_for_width(F.col("n_chars"), F.col("doc_id"), 100).alias("height")),
+      "SELECT doc_id, greatest(100 * doc_id // greatest(n_chars, 1), 1) AS height FROM documents")

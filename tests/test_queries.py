@@ -16,7 +16,7 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("embeddings", "documents"):
+    for table in ("embeddings", "documents", "pages", "lineitem"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     assert rows(registry.QUERIES[name](spark, SF).toPandas()) == rows(con.execute(registry.SQL[name]).df())
 
