@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,19 +26,41 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Encoder:
+    """Token ids of whole texts from those of their words, each encoded once while it is remembered.
+
+    The tokenizer never joins text across a blank or a line feed and drops both, and its normalisation works within such words, so
+    the words' ids in a row are the text's. At most ``bound`` ids and words are remembered between batches.
+    """
+
+    def __init__(self, path: str, bound: int = 1_000_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.bound, self.known, self.held = Tokenizer.from_file(path), bound, {}, 0
+
+    def __call__(self, texts: list[str]) -> Iterator[list[int]]:
+        if self.held > self.bound:
+            self.known, self.held = {}, 0
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        fresh = list(set(chain.from_iterable(split)) - self.known.keys())
+        for word, enc in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
+            self.known[word] = enc.ids
+            self.held += len(enc.ids) + 1
+        for words in split:
+            yield list(chain.from_iterable(map(self.known.__getitem__, words)))
+
+
 def _cutter(path: str, capacity: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
+        encode = Encoder(path)
         for pdf in batches:
             out = []
             for at in range(0, len(pdf), 64):
                 part = pdf.iloc[at:at + 64]
                 texts = [t if isinstance(t, str) else "" for t in part["text"]]
-                for doc_id, enc in zip(part["doc_id"], tokenizer.encode_batch(texts, add_special_tokens=False)):
-                    ids = np.array([*enc.ids, END_ID], dtype="<u4")
+                for doc_id, found in zip(part["doc_id"], encode(texts)):
+                    ids = np.array([*found, END_ID], dtype="<u4")
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         piece = ids[start:start + capacity]
                         out.append((doc_id, k, start, len(piece), zlib.crc32(piece.tobytes())))

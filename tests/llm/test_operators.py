@@ -168,3 +168,19 @@ def test_toxicity_learns_and_survives_odd_rows(spark, docs):
     assert len(out) == len(ROWS) and out.score.between(0, 1).all()
     blank = toxicity.fit(spark.createDataFrame([], "text string, toxic int"))
     assert 0 <= blank.score("") <= 1
+
+
+def test_word_ids_make_text_ids():
+    """Ids put together from words equal those of whole texts, on awkward strings and on given documents."""
+    import pandas as pd
+    from tokenizers import Tokenizer
+
+    from pixelrel.llm import packing
+
+    path = packing.default_tokenizer()
+    texts = ["", " ", "\n\n a", "é ́x", "Á\ņb", "ẛ̣ ̣", "it's 'LL 12a", "a b c\x1cd\x85e\tf\r\ng", "ΣΑΣ ΣΑΣ.", "가 ᆨ", "<|startoftext|> <|endoftext|>x <|endoftext|>",
+             "x<|endoftext|>\ny", "x" * 5000, "\U0001f600 \U0001f468‍\U0001f469 q", "ﬁ Å Ａ", "İI ı\n"]
+    texts += pd.read_parquet("/root/testdata/sf0.01/documents.parquet")["text"].fillna("").tolist()
+    whole = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    encode = packing.Encoder(path, bound=1000)
+    assert [ids for at in range(0, len(texts), 50) for ids in encode(texts[at:at + 50])] == whole
