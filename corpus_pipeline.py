@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pixelrel.llm import dedup, mixing, packing, simhash, toxicity
 from pixelrel.llm.common import stage, table
 
+#: Near copies: shingles of five words, similarity 0.8. Candidates are up to 14 bits apart, as 0.8 means about 10 of 64.
+NEAR_SHINGLE, NEAR_BITS, NEAR_SIMILARITY = 5, 14, 0.8
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows not predicted toxic by the models fitted on the documents of this input that have labels."""
@@ -25,8 +28,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component."""
-    found = simhash.simhash_components(docs)
+    """The document with the smallest id of each component over texts whose 5-word shingles are as similar as 0.8."""
+    found = simhash.simhash_components(docs, shingle=NEAR_SHINGLE, bits=NEAR_BITS, verify=NEAR_SIMILARITY)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return _only(docs, keep, ["doc_id"], docs.columns)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,27 +20,62 @@ GOLAY = 0b101011100011
 SEGMENTS = [(0, 23), (23, 23), (46, 18)]
 
 
-def fingerprint(text: str | None) -> int:
-    """64-bit SimHash of the text's 4-word shingles; 0 without words. Null counts as empty, repeats count each time."""
+def _digests(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the text's shingles of ``shingle`` words, in order; a shorter text is one shingle, none without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
-        return 0
-    if n <= SHINGLE:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return np.zeros(0, "<u8")
+    digest = xxhash.xxh64_intdigest
+    if n <= shingle:
+        return np.array([digest(b" ".join(words), 42)], "<u8")
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
+    s, e = starts[:n - shingle + 1].tolist(), ends[shingle - 1:].tolist()
+    return np.fromiter((digest(joined[i:j], 42) for i, j in zip(s, e)), "<u8", len(s))
+
+
+def _majority(digests: np.ndarray) -> int:
+    if not len(digests):
+        return 0
     ones = np.zeros(64, np.int64)
-    total = n - SHINGLE + 1
-    s, e = starts[:total].tolist(), ends[SHINGLE - 1:].tolist()
-    for at in range(0, total, 65536):
-        h = np.array([digest(joined[i:j], 42) for i, j in zip(s[at:at + 65536], e[at:at + 65536])], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(((2 * ones > total).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
+    for at in range(0, len(digests), 65536):
+        ones += np.unpackbits(digests[at:at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(((2 * ones > len(digests)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the text's shingles; 0 without words. Null counts as empty, repeats count each time."""
+    return _majority(_digests(text, shingle))
+
+
+def _set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(_digests(text, shingle))
+
+
+#: Members of a large group of near copies are compared again and again: at most 2048 short texts stay at hand.
+_short_set = lru_cache(maxsize=2048)(_set)
+
+
+def similarity(a: str | None, b: str | None, shingle: int) -> float:
+    """Jaccard similarity of the sets of shingles; 1 for two texts without words."""
+    x, y = ((_short_set if len(t or "") < 20_000 else _set)(t, shingle) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def sketch(digests: np.ndarray) -> bytes:
+    """64 one-byte minima of hashes of a set of digests: as many agree as the sets are similar, in the mean."""
+    if not len(digests):
+        return bytes(64)
+    salt = np.random.default_rng(64).integers(0, 2**63, (2, 64), dtype=np.uint64)
+    low = np.full(64, 2**64 - 1, np.uint64)
+    for at in range(0, len(digests), 4096):
+        np.minimum(low, ((digests[at:at + 4096, None] ^ salt[0]) * (2 * salt[1] + np.uint64(1))).min(0), out=low)
+    return ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -103,15 +139,15 @@ def _emit_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": keys[good].astype(np.int32), "fp": np.repeat(fps, good.sum(1))})
 
 
-def _links(keys: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
-    """Spanning links of the pairs within 4 bits that share a key; rows sorted by key. Output is linear in rows."""
+def _links(keys: np.ndarray, fps: np.ndarray, bits: int = BITS_APART) -> pd.DataFrame:
+    """Spanning links of the pairs within ``bits`` bits that share a key; rows sorted by key. Output is linear in rows."""
     u64, live, us, vs, lag = fps.view(np.uint64), np.arange(len(keys)), [], [], 1
     nodes, where = np.unique(fps, return_inverse=True)
     held = 0
     while len(live):
         live = live[live + lag < len(keys)]
         live = live[keys[live] == keys[live + lag]]
-        hit = live[np.bitwise_count(u64[live] ^ u64[live + lag]) <= BITS_APART]
+        hit = live[np.bitwise_count(u64[live] ^ u64[live + lag]) <= bits]
         us.append(where[hit])
         vs.append(where[hit + lag])
         held += len(hit)
@@ -128,43 +164,115 @@ def _links(keys: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": nodes[moved], "b": nodes[label[moved]]})
 
 
-def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows arrive sorted by key; a key's rows may straddle batches, so the last key waits for the next batch."""
-    keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for pdf in batches:
-        keys = np.concatenate([keys, pdf["key"].to_numpy().astype(np.int64)])
-        fps = np.concatenate([fps, pdf["fp"].to_numpy().astype(np.int64)])
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if cut > 100_000:
-            yield _links(keys[:cut], fps[:cut])
-            keys, fps = keys[cut:], fps[cut:]
-    if len(keys):
-        yield _links(keys, fps)
+def _match(bits: int):
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows arrive sorted by key; a key's rows may straddle batches, so the last key waits for the next batch."""
+        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for pdf in batches:
+            keys = np.concatenate([keys, pdf["key"].to_numpy().astype(np.int64)])
+            fps = np.concatenate([fps, pdf["fp"].to_numpy().astype(np.int64)])
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if cut > 100_000:
+                yield _links(keys[:cut], fps[:cut], bits)
+                keys, fps = keys[cut:], fps[cut:]
+        if len(keys):
+            yield _links(keys, fps, bits)
+
+    return match
+
+
+def segment_keys(fps: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """[n, 2, 18] keys of fingerprints of ``sizes`` shingles: one segment's codeword index and a size class (-1 where a key would repeat).
+
+    Of 8 differing bits over 3 segments one has 2 at most, so fingerprints up to 8 bits apart share a segment's
+    codeword, and many further apart do. Sets as similar as ``least`` differ in size by 1 / ``least`` at most: in one class or two neighbouring ones.
+    """
+    shifts = _golay_shifts()
+    parts = []
+    for p, (start, width) in enumerate(SEGMENTS):
+        part = ((fps >> np.uint64(start)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        errors = shifts[_syndromes(part)]
+        once = np.concatenate([np.ones((len(fps), 1), bool), errors[:, 1:] != errors[:, :1]], axis=1)
+        parts.append(np.where(once, (p << 12) | ((part[:, None] ^ errors) >> 11), -1))
+    segment = np.concatenate(parts, axis=1)
+    band = np.floor(np.log(np.maximum(sizes, 1)) / (np.log(1 / least) + 1e-9)).astype(np.int64)
+    return np.stack([np.where(segment < 0, -1, ((band + up)[:, None] << 14) | segment) for up in (0, 1)], axis=1)
+
+
+def _emit_segment_keys(least: float):
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 4096):
+                part = pdf[at:at + 4096]
+                keys = segment_keys(part["fp"].to_numpy().astype(np.int64).view(np.uint64), part["size"].to_numpy(), least).reshape(len(part), -1)
+                good = keys >= 0
+                n = good.sum(1)
+                yield pd.DataFrame({"key": keys[good], "fp": np.repeat(part["fp"].to_numpy(), n), "node": np.repeat(part["node"].to_numpy(), n), "root": np.repeat(part["root"].to_numpy(), n)})
+
+    return emit
+
 
+def _candidates(bits: int, reach: int | None):
+    """Pairs of nodes with a common key, at most ``bits`` apart and of different roots; rows sorted by key and fingerprint.
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+    With ``reach`` only rows that many places apart at most are compared: about as many pairs as rows.
+    """
+
+    def pairs(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray) -> pd.DataFrame:
+        u64, live, lag, us, vs = fps.view(np.uint64), np.arange(len(keys)), 1, [ids[:0]], [ids[:0]]
+        while len(live) and lag <= (reach or lag):
+            live = live[live + lag < len(keys)]
+            live = live[keys[live] == keys[live + lag]]
+            hit = live[(roots[live] != roots[live + lag]) & (np.bitwise_count(u64[live] ^ u64[live + lag]) <= bits)]
+            us.append(ids[hit])
+            vs.append(ids[hit + lag])
+            lag += 1
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}).drop_duplicates()
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [np.zeros(0, np.int64)] * 4
+        for pdf in batches:
+            held = [np.concatenate([h, pdf[c].to_numpy().astype(np.int64)]) for h, c in zip(held, ("key", "fp", "node", "root"))]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if cut > 100_000:
+                yield pairs(*[h[:cut] for h in held])
+                held = [h[cut:] for h in held]
+        if len(held[0]):
+            yield pairs(*held)
+
+    return match
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row, whole texts."""
 
     @F.pandas_udf("long")
     def simhash(text: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in text], np.uint64).view(np.int64))
+        return pd.Series(np.array([fingerprint(t, shingle) for t in text], np.uint64).view(np.int64))
 
     return docs.select("doc_id", simhash("text").alias("fp"))
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id (smallest doc_id reachable over links of at most 4 bits).
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS_APART, verify: float | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp, component_id (smallest doc_id reachable over links of at most ``bits`` bits).
+
+    With ``verify`` a link also needs that Jaccard similarity of the texts' shingles (see ``_verified``); without it ``bits`` is 4 at most.
 
     Equal fingerprints are one node, so groups of copies cost one row per partition. Nodes send their fuzzy
     keys, are compared per key, and each task emits only a spanning forest of its links; distributed star
     contraction joins these up. Null doc_ids are the component's id only where all its ids are null; empty tables give empty
     results; rows without words share fingerprint zero and link.
     """
-    fp = stage(fingerprints(docs), "fp")
+    if verify is not None:
+        return _verified(docs, shingle, bits, verify)
+    if bits > BITS_APART:
+        raise ValueError("without verification the keys reach 4 bits")
+    fp = stage(fingerprints(docs, shingle), "fp")
     nodes = stage(fp.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 1
     keyed = nodes.select("fp").mapInPandas(_emit_keys, "key int, fp long")
-    links = stage(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_match, "a long, b long"), "links")
+    links = stage(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_match(bits), "a long, b long"), "links")
     roots = components(links)
     tagged = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     smallest = tagged.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -172,6 +280,62 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return attach(fp, final, "fp", "n", total).select("doc_id", "fp", "component_id")
 
 
+def _verified(docs: DataFrame, shingle: int, bits: int, least: float) -> DataFrame:
+    """Components over links of texts at most ``bits`` bits apart whose shingles are as similar as ``least``.
+
+    Texts of equal words are one node. The first pass compares neighbours in the order of fingerprints under each key, which joins large
+    groups of copies by about as many comparisons as they have members; the second compares every candidate pair
+    that these links leave apart. So each candidate pair is either compared or already in one component. Texts
+    meet only where the pair's sketches agree in five eighths of what ``least`` lets expect (at 0.8, one pair in 10**8 falls below).
+    """
+    floor = int(64 * least * 5 / 8)
+
+    @F.pandas_udf("fp long, node long, size int, sketch binary")
+    def profile(text: pd.Series) -> pd.DataFrame:
+        import xxhash
+
+        def one(t):
+            d = _digests(t, shingle)
+            distinct = np.unique(d)
+            words = b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())
+            return np.uint64(_majority(d)).astype(np.int64), np.uint64(xxhash.xxh64_intdigest(words)).astype(np.int64), len(distinct), sketch(distinct)
+
+        return pd.DataFrame([one(t) for t in text], columns=["fp", "node", "size", "sketch"])
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y, shingle) for x, y in zip(a, b)], dtype=float)
+
+    @F.pandas_udf("int")
+    def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, 64) for s in (a, b))
+        return pd.Series((x == y).sum(1).astype(np.int32))
+
+    rows = stage(docs.withColumn("_p", profile("text")).select("doc_id", "text", "_p.*"), "profiles")
+    nodes = stage(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
+    total = nodes.agg(F.sum("n")).first()[0] or 1
+
+    def compared(rooted: DataFrame, reach: int | None) -> DataFrame:
+        keyed = rooted.mapInPandas(_emit_segment_keys(least), "key int, fp long, node long, root long")
+        pairs = stage(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_candidates(bits, reach), "a long, b long").distinct(), "candidates")
+        sketches = [nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab"]
+        pairs = pairs.join(sketches[0], "a").join(sketches[1], "b").where(agreeing("sketch_a", "sketch_b") >= floor)
+        pairs = stage(pairs.select("a", "b"), "pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        texts = stage(rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+        left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+        return stage(pairs.join(left, "a").join(right, "b").where(alike("text_a", "text_b") >= least).select("a", "b"), "links")
+
+    links = compared(nodes.select("fp", "size", "node", F.col("node").alias("root")), 4)
+    roots = components(links)
+    rooted = nodes.join(roots, "node", "left").select("fp", "size", "node", F.coalesce("root", "node").alias("root"))
+    roots = components(links.union(compared(stage(rooted, "rooted"), None)))
+    tagged = nodes.join(roots, "node", "left").select("node", "low", "n", F.coalesce("root", "node").alias("root"))
+    smallest = tagged.groupBy("root").agg(F.min("low").alias("component_id"))
+    final = stage(tagged.join(smallest, "root").select("node", "component_id", "n"), "components")
+    return attach(rows.select("doc_id", "fp", "node"), final, "node", "n", total).select("doc_id", "fp", "component_id")
+
+
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -184,3 +184,27 @@ def test_word_ids_make_text_ids():
     whole = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     encode = packing.Encoder(path, bound=1000)
     assert [ids for at in range(0, len(texts), 50) for ids in encode(texts[at:at + 50])] == whole
+
+
+def test_pipeline_near_copies_are_verified(spark):
+    """Texts of 5-word similarity 0.8 or more lose all but one; those below stay, however few bits lie between them."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+
+    def sets(t):
+        w = t.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))}
+
+    rows = []
+    for g in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        rows.append((2 * g, " ".join(words)))
+        for at in rng.choice(200, g % 8, replace=False):
+            words[at] = "changed"
+        rows.append((2 * g + 1, " ".join(words)))
+    alike = [len(sets(a) & sets(b)) / len(sets(a) | sets(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert kept >= {2 * g for g in range(60)} | {2 * g + 1 for g in range(60) if alike[g] < 0.8}
+    close = [g for g in range(60) if alike[g] >= 0.8]
+    assert sum(2 * g + 1 not in kept for g in close) >= 0.9 * len(close)
