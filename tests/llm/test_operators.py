@@ -208,3 +208,12 @@ def test_pipeline_near_copies_are_verified(spark):
     assert kept >= {2 * g for g in range(60)} | {2 * g + 1 for g in range(60) if alike[g] < 0.8}
     close = [g for g in range(60) if alike[g] >= 0.8]
     assert sum(2 * g + 1 not in kept for g in close) >= 0.9 * len(close)
+
+
+def test_shards_keep_equal_texts_together(spark):
+    rows = [(i, f"text {i % 70} " + "x" * (i % 70 * 5)) for i in range(210)] + [(None, None), (300, "")]
+    out = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 4).toPandas().sort_values(["shard", "slot"])
+    assert len(out) == len(rows) and pd.isna(out.doc_id.iloc[0]) and out.doc_id.iloc[1] == 300
+    assert (out.groupby("text_crc32").shard.nunique() > 1).sum() <= 3
+    crc = out.text_crc32.to_numpy()
+    assert (crc[1:] != crc[:-1]).sum() + 1 == len(set(crc))
