@@ -31,6 +31,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, bound: int) -> DataFrame:
+    """``df`` hinted for a broadcast join where it has ``bound`` rows at most; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 def text_or_empty(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
 
