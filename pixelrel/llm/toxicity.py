@@ -122,11 +122,14 @@ class Model:
 def _totals(pairs: DataFrame) -> dict[str, dict[str, float]]:
     """Per variant: distinct pairs of toxic, ordinary and all texts, distinct words, and texts counted per class.
 
-    Distinct counts are HyperLogLog estimates (lgK 16, about 0.4 %): registers travel, not pairs.
+    Distinct counts are HyperLogLog estimates (lgK 15, about 0.6 %): registers travel, not pairs.
     """
-    seen = lambda k, of: F.hll_sketch_agg(F.when(F.col(k) > 0, of), F.lit(16))
-    pair = F.xxhash64("prev", "word")
-    sketches = pairs.agg(*[seen(k, pair).alias(f"p{k}") for k in KINDS], *[seen(k, F.col("word")).alias(f"w{k}") for k in KINDS], *[F.sum(k).alias(k) for k in KINDS])
+    seen = lambda k, of: F.hll_sketch_agg(F.when(F.col(k) > 0, of), F.lit(15))
+    pair, sketched = F.xxhash64("prev", "word"), [f"{w}{k}" for w in "pw" for k in KINDS]
+    parts = pairs.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).agg(
+        *[seen(k, pair).alias(f"p{k}") for k in KINDS], *[seen(k, F.col("word")).alias(f"w{k}") for k in KINDS], *[F.sum(k).alias(k) for k in KINDS])
+    # At most 64 rows of sketches reach the last task.
+    sketches = parts.agg(*[F.hll_union_agg(c).alias(c) for c in sketched], *[F.sum(k).alias(k) for k in KINDS])
 
     def union(what: str, folds: str, classes: str) -> Column:
         cols = [F.col(f"{what}n{f}{c}") for f in folds for c in classes]
@@ -168,26 +171,28 @@ def fit(labelled: DataFrame) -> Model:
     text_share = {v: total[v]["n1"] / (total[v]["n0"] + total[v]["n1"]) for v in live}
     pair_share = {v: total[v]["t"] / (total[v]["t"] + total[v]["o"]) for v in live}
 
-    # Words that pass the test even were no ordinary text to hold them; then by counts of texts of both classes.
+    # Words and pairs that pass the test even were no ordinary text to hold them are counted in texts of both classes.
     least = {v: WORD_TEST / (2 * log(1 / _raised(pair_share[v]))) for v in live}
     hopeful = toxic.groupBy("word").agg(*[F.count_if(_of(f, "1") > 0).alias(v) for v, f in live.items()])
-    hopeful = hopeful.where(" or ".join(f"{v} >= {least[v]}" for v in live)).select("word")
+    hopeful = hopeful.where(" or ".join(f"{v} >= {least[v]}" for v in live)).select("word", F.lit(True).alias("is_word"))
+    strict = {v: 2 * log(max(total[v]["s"], 1) / PAIR_TEST) for v in live}
+    at_least = min(strict[v] / (2 * log(1 / _raised(text_share[v]))) for v in live)
+    some = toxic.where(_of("01", "1") >= at_least).select("prev", "word", F.lit(True).alias("is_pair"))
     sums = [F.sum(k).alias(k) for k in KINDS]
-    spread = stage(pairs.join(broadcast_if_small(hopeful, BROADCAST_ROWS), "word", "left_semi").groupBy("word").agg(*sums), "spread")
+    marked = pairs.join(broadcast_if_small(hopeful, BROADCAST_ROWS), "word", "left").join(broadcast_if_small(some, BROADCAST_ROWS), ["prev", "word"], "left")
+    keys = F.array_compact(F.array(F.when(F.col("is_word"), F.lit(ANY).cast("long")), F.when(F.col("is_pair"), F.col("prev"))))
+    spread = stage(marked.select(F.explode(keys).alias("prev"), "word", *KINDS).groupBy("prev", "word").agg(*sums), "spread")
     telling = {v: _evidence(_of(f, "1"), _of(f, "0"), _raised(text_share[v])) >= WORD_TEST for v, f in live.items()}
-    shares = stage(spread.select("word", *[F.when(c, _of(live[v], "1") / _of(live[v], "01")).alias(f"q_{v}") for v, c in telling.items()]).where(
-        " or ".join(f"q_{v} is not null" for v in live)), "shares")
+    shares = spread.where(F.col("prev") == ANY).select("word", *[F.when(c, _of(live[v], "1") / _of(live[v], "01")).alias(f"q_{v}") for v, c in telling.items()])
+    shares = stage(shares.where(" or ".join(f"q_{v} is not null" for v in live)), "shares")
 
-    # Pairs that pass it beyond what both of their words tell, were no ordinary text to hold them.
-    strict = {v: 2 * log(max(total[v]["s"], 1) / PAIR_TEST) for v in live}
-    at_least = min(strict[v] / (2 * log(1 / _raised(text_share[v]))) for v in live)
-    some = toxic.where(_of("01", "1") >= at_least)
+    # Pairs must pass it beyond what both of their words tell.
+    some = spread.where(F.col("prev") != ANY)
     for c in ("word", "prev"):
         some = some.join(broadcast_if_small(shares.select(F.col("word").alias(c), *[F.col(f"q_{v}").alias(f"{c}_{v}") for v in live]), BROADCAST_ROWS), c, "left")
     known = {v: F.greatest(F.coalesce(f"word_{v}", F.lit(0.0)), F.coalesce(f"prev_{v}", F.lit(0.0)), F.lit(text_share[v])) for v in live}
-    known = {v: F.least(_raised(q), F.lit(1 - 1e-9)) for v, q in known.items()}
-    some = some.select("prev", "word", *[known[v].alias(f"k_{v}") for v in live], *[(_of(f, "1") * 2 * F.log(1 / known[v]) >= strict[v]).alias(f"ok_{v}") for v, f in live.items()])
-    some = stage(some.where(" or ".join(f"ok_{v}" for v in live)), "hopeful_pairs")
+    passed = [(_evidence(_of(f, "1"), _of(f, "0"), F.least(_raised(known[v]), F.lit(1 - 1e-9))) >= strict[v]).alias(f"ok_{v}") for v, f in live.items()]
+    some = stage(some.select("prev", "word", *KINDS, *passed).where(" or ".join(f"ok_{v}" for v in live)), "kept_pairs")
     any_pairs = not some.isEmpty()
 
     wanted = shares.select("word").union(some.select("word")).distinct()
@@ -197,7 +202,7 @@ def fit(labelled: DataFrame) -> Model:
         contexts = stage(pairs.join(broadcast_if_small(some.select("prev").distinct(), BROADCAST_ROWS), "prev", "left_semi").groupBy("prev").agg(*sums), "contexts")
     words = counted.groupBy("word").agg(*[F.count_if(_of(f, c) > 0).alias(f"{n}_{v}") for v, f in live.items() for n, c in (("t", "1"), ("o", "0"), ("s", "01"))])
     words = stage(words.join(shares, "word", "left"), "words")
-    models = {v: _model(v, words, counted, contexts, some if any_pairs else None, total[v], pair_share[v], strict[v]) for v in live}
+    models = {v: _model(v, words, contexts, some if any_pairs else None, total[v], pair_share[v]) for v in live}
 
     held = [(_contrast(rows.where(f"fold = {fold}"), models[v]), v) for v, fold in (("b", 0), ("a", 1)) if v in models]
     if held:
@@ -209,7 +214,7 @@ def fit(labelled: DataFrame) -> Model:
     return replace(models["all"], weight=weight, totals=total)
 
 
-def _model(v: str, words: DataFrame, counted: DataFrame, contexts: DataFrame | None, some: DataFrame | None, total: dict, share: float, strict: float) -> Model:
+def _model(v: str, words: DataFrame, contexts: DataFrame | None, some: DataFrame | None, total: dict, share: float) -> Model:
     """The features of variant ``v`` from exact counts of the words and pairs that may be kept."""
     t, o, s, folds = F.col(f"t_{v}"), F.col(f"o_{v}"), F.col(f"s_{v}"), VARIANTS[v]
     kept = F.col(f"q_{v}").isNotNull() & (_evidence(t, o, _raised(share)) >= WORD_TEST)
@@ -222,9 +227,7 @@ def _model(v: str, words: DataFrame, counted: DataFrame, contexts: DataFrame | N
     base = log(free_t / free_o)
     features = w.where("kept").select(F.lit(ANY).cast("long").alias("prev"), "word", (F.log(F.col("p_t") / F.col("p_o")) - base).alias("value"))
     if some is not None:
-        n = counted.join(broadcast_if_small(some.where(f"ok_{v}").select("prev", "word", f"k_{v}"), BROADCAST_ROWS), ["prev", "word"])
-        n = n.where(_evidence(_of(folds, "1"), _of(folds, "0"), F.col(f"k_{v}")) >= strict)
-        n = n.select("prev", "word", *[F.greatest(_of(folds, c) - DISCOUNT, F.lit(0.0)).alias(f"cut_{c}") for c in "10"])
+        n = some.where(f"ok_{v}").select("prev", "word", *[F.greatest(_of(folds, c) - DISCOUNT, F.lit(0.0)).alias(f"cut_{c}") for c in "10"])
         freed = n.groupBy("prev").agg(F.sum("cut_1").alias("all_1"), F.sum("cut_0").alias("all_0"))
         c = contexts.select("prev", *[F.greatest(_of(folds, c), F.lit(1)).alias(f"c_{c}") for c in "10"]).join(freed, "prev")
         c = stage(c.withColumns({"l_1": 1 - F.col("all_1") / F.col("c_1"), "l_0": 1 - F.col("all_0") / F.col("c_0")}), "backoff")
