@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,43 +29,99 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids of whole texts from those of their words, each encoded once while it is remembered.
+    """Token ids of whole texts, as little-endian unsigned 32-bit numbers, from those of their words.
 
-    The tokenizer never joins text across a blank or a line feed and drops both, and its normalisation works within such words, so
-    the words' ids in a row are the text's. At most ``bound`` ids and words are remembered between batches.
+    Where a tokenizer splits at white space and drops it before its pair merges (``_words_alone``), the ids of the words in a row are the
+    text's, so a word is encoded once while it is remembered; any other tokenizer encodes whole texts. Words in use lately
+    are kept: when ``bound`` words are held, those not used since the last such moment go.
     """
 
-    def __init__(self, path: str, bound: int = 1_000_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.bound, self.known, self.held = Tokenizer.from_file(path), bound, {}, 0
-
-    def __call__(self, texts: list[str]) -> Iterator[list[int]]:
-        if self.held > self.bound:
-            self.known, self.held = {}, 0
+    def __init__(self, path: str, bound: int = 600_000):
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.bound, self.new, self.old, self.parts = Tokenizer.from_file(path), bound, {}, {}, {}
+        pattern = _words_alone(path)
+        self.alone = pattern is not None
+        if self.alone:
+            self.findall, self.model = regex.compile(pattern).findall, self.tokenizer.model
+            self.to_chars = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part between splits: the pair merges alone."""
+        if part not in self.parts:
+            chars = part if part.isascii() and part.isprintable() else self.to_chars(part)[0][0]
+            self.parts[part] = np.array([t.id for t in self.model.tokenize(chars)], "<u4").tobytes()
+        return self.parts[part]
+
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        plain = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
+        if len(plain) != len(words):
+            plain = [self.tokenizer.normalizer.normalize_str(w) for w in words]
+        for word, text in zip(words, plain):
+            if "<" in word and any(s in word for s in self.special):
+                yield np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            elif text.isalpha():
+                yield self._part(text)
+            else:
+                yield b"".join(map(self._part, self.findall(text)))
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        if not self.alone:
+            for enc in self.tokenizer.encode_batch(texts, add_special_tokens=False):
+                yield np.array(enc.ids, "<u4").tobytes()
+            return
+        if len(self.new) > self.bound // 2:
+            self.old, self.new, self.parts = self.new, {}, {}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set(chain.from_iterable(split)) - self.known.keys())
-        for word, enc in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-            self.known[word] = enc.ids
-            self.held += len(enc.ids) + 1
+        missing = set(chain.from_iterable(split)) - self.new.keys()
+        again = missing & self.old.keys()
+        self.new.update((w, self.old[w]) for w in again)
+        fresh = list(missing - again)
+        self.new.update(zip(fresh, self._encode_words(fresh)))
         for words in split:
-            yield list(chain.from_iterable(map(self.known.__getitem__, words)))
+            yield b"".join(map(self.new.__getitem__, words))
+
+
+def _words_alone(path: str) -> str | None:
+    """The pattern of the parts where white space separates parts and is dropped and merges stay inside a part; else None."""
+    with open(path, encoding="utf-8") as file:
+        plan = json.load(file)
+    steps, model = (plan["pre_tokenizer"] or {}).get("pretokenizers") or [], plan["model"]
+    norms = [n["type"] for n in (plan["normalizer"] or {}).get("normalizers") or []]
+    split, level = (steps + [{}, {}])[:2]
+    pattern = split.get("pattern", {}).get("Regex", "")
+    fits = (
+        len(steps) == 2 and split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"] and level["type"] == "ByteLevel"
+        and not level["add_prefix_space"] and not level["use_regex"] and model["type"] == "BPE" and not model.get("dropout") and norms == ["NFC", "Replace", "Lowercase"]
+        and plan["post_processor"] is None and not plan["truncation"] and not plan["padding"]
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or "<" not in t["content"] for t in plan["added_tokens"] or [])
+    )
+    # The parts are letters, single numerals and runs of other visible signs: none holds white space.
+    return pattern if fits and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") else None
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder, kept from task to task with the words it remembers."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
 
 
 def _cutter(path: str, capacity: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(path)
+        encode, end = _encoder(path), np.array([END_ID], "<u4").tobytes()
         for pdf in batches:
             out = []
             for at in range(0, len(pdf), 64):
                 part = pdf.iloc[at:at + 64]
                 texts = [t if isinstance(t, str) else "" for t in part["text"]]
                 for doc_id, found in zip(part["doc_id"], encode(texts)):
-                    ids = np.array([*found, END_ID], dtype="<u4")
-                    for k, start in enumerate(range(0, len(ids), capacity)):
-                        piece = ids[start:start + capacity]
-                        out.append((doc_id, k, start, len(piece), zlib.crc32(piece.tobytes())))
+                    ids = found + end
+                    for k, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        piece = ids[start:start + 4 * capacity]
+                        out.append((doc_id, k, start // 4, len(piece) // 4, zlib.crc32(piece)))
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
