@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 import numpy as np
@@ -15,18 +16,19 @@ SEED = 17
 BROADCAST_SOURCES = 20_000
 
 
-def poisson_cdf(rate: float) -> list[float]:
-    """P(X <= k) for k = 0, 1, ... until it is 1 to double precision."""
+def poisson_window(rate: float) -> tuple[int, list[float]]:
+    """First count k of a window and P(X <= k) for the counts in it: what lies outside is under double precision.
+
+    The window spans about ten deviations to both sides of the mean, so its size grows with the square root of ``rate``.
+    """
     if rate <= 0:
-        return [1.0]
-    k, out, log_p, total = 0, [], -rate, 0.0
-    while True:
-        total += float(np.exp(log_p))
-        out.append(min(total, 1.0))
-        if k > rate and np.exp(log_p) < 1e-17:
-            return out
-        k += 1
-        log_p += float(np.log(rate) - np.log(k))
+        return 0, [1.0]
+    reach = 10 * math.sqrt(rate) + 40
+    low = max(0, math.floor(rate - reach))
+    k = np.arange(low, math.ceil(rate + reach) + 1)
+    steps = np.concatenate([[low * math.log(rate) - rate - math.lgamma(low + 1)], np.log(rate) - np.log(k[1:])])
+    share = np.exp(np.cumsum(steps)).cumsum()
+    return low, np.minimum(share / share[-1], 1.0).tolist()
 
 
 def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
@@ -34,7 +36,8 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, epoch
 
     The mean is ``epochs * all rows * weight(source) / rows(source)``; without ``weights`` all sources weigh the same, sources not
     named get none. A null source is a source of its own, named "". The uniform number behind a count is a hash of (seed, doc_id, source, text), so a
-    rerun repeats it, and exact repeats of a row agree. Counts per source are combined map-side. The table of sources is
+    rerun repeats it, and exact repeats of a row agree. Null texts and ids hash as nothing; long texts are hashed whole; an empty table gives an
+    empty result. Counts per source are combined map-side. The table of sources is
     broadcast only up to ``BROADCAST_SOURCES`` rows; beyond that it is joined by shuffle, documents salted so that no
     source fills one task. Clashing column names are replaced. Sort by shuffle_key for the global order.
     """
@@ -49,11 +52,11 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, epoch
     totals = counts.agg(F.count("*"), F.sum("_n"), F.sum("_w")).first()
     rate = F.lit(float(epochs)) * F.lit(float(totals[1] or 0)) * F.col("_w") / F.lit(float(totals[2] or 1.0)) / F.col("_n")
 
-    @F.pandas_udf("array<double>")
-    def cdf(rates: pd.Series) -> pd.Series:
-        return rates.map(poisson_cdf)
+    @F.pandas_udf("low long, cdf array<double>")
+    def window(rates: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([poisson_window(r) for r in rates], columns=["low", "cdf"])
 
-    plan = counts.select("_source", rate.alias("rate")).withColumn("_cdf", cdf("rate"))
+    plan = counts.select("_source", rate.alias("rate")).withColumn("_w", window("rate")).select("_source", "rate", F.col("_w.low").alias("_low"), F.col("_w.cdf").alias("_cdf"))
     rows = docs.drop("rate", "copy", "shuffle_key").withColumn("_source", source)
     if totals[0] <= BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(plan), "_source")
@@ -63,12 +66,12 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, epoch
         joined = rows.join(plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["_source", "_salt"]).drop("_salt")
     word = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_source"), F.col("text"))
     uniform = F.shiftrightunsigned(word, 11).cast("double") / F.lit(float(1 << 53))
-    times = F.size(F.filter("_cdf", lambda c: c <= uniform))
+    times = F.col("_low") + F.size(F.filter("_cdf", lambda c: c <= uniform))
     return (
         joined.withColumn("_times", times).where("_times > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
         .withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("copy"), F.xxhash64("text")))
-        .drop("_source", "_cdf", "_times")
+        .drop("_source", "_low", "_cdf", "_times")
     )
 
 
