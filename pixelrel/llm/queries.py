@@ -11,4 +11,4 @@ QUERIES = {
         packing.op6_best_fit_packing, mixing.op7_source_mixing, warc.op8_warc_revisits, simhash.op9_simhash_golay, embeddings.op10_embedding_dedup,
     )
 }
-SQL = {"op4_exact_dedup": dedup.SQL, "op10_embedding_dedup": embeddings.SQL}
+SQL = {"op4_exact_dedup": dedup.SQL, "op8_warc_revisits": warc.SQL, "op10_embedding_dedup": embeddings.SQL}
