@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import attach, components, forest, stage, table
@@ -15,6 +15,8 @@ COSINE = 0.95
 TILE = 8192
 LEAD = 16
 SLACK = 1e-5
+AXES_SAMPLE = 20_000
+RANGES = 1000
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -24,7 +26,7 @@ def _unit(column: pd.Series) -> np.ndarray:
 
 
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Per vector length the axes by falling variance, from all unit vectors: each partition sends one matrix."""
+    """Per vector length axes by falling variance, fitted on ``AXES_SAMPLE`` vectors at most; any orthonormal axes keep the comparison exact."""
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[int, np.ndarray] = {}
@@ -36,7 +38,7 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
             n = int(dim)
             yield pd.DataFrame({"dim": n, "cell": np.arange(n * n), "v": m.ravel()})
 
-    cells = vectors.mapInPandas(sums, "dim int, cell int, v double").groupBy("dim", "cell").agg(F.sum("v").alias("v")).toPandas()
+    cells = vectors.limit(AXES_SAMPLE).mapInPandas(sums, "dim int, cell int, v double").groupBy("dim", "cell").agg(F.sum("v").alias("v")).toPandas()
     axes = {}
     for dim, g in cells.groupby("dim"):
         m = g.sort_values("cell")["v"].to_numpy().reshape(dim, dim)
@@ -45,13 +47,17 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
 
 
 def _compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, axes: np.ndarray, threshold: float, block: int = 1024):
-    """(i, j) of pairs at or over ``threshold``: leading components first, the rest bounded by suffix norms."""
+    """(i, j) of pairs at or over ``threshold``.
+
+    Components are added ``LEAD`` at a time in the order of the axes. After each step the residual products are bounded by the product of the
+    suffix norms; pairs that cannot reach the threshold stop there, the last ones are decided by whole cosines in double precision.
+    """
     u, v = _unit(left["embedding"]), _unit(right["embedding"])
     a, b = (u @ axes).astype(np.float32), (v @ axes).astype(np.float32)
-    lead = min(LEAD, a.shape[1])
-    ra, rb = (np.sqrt(np.maximum(1 - (x[:, :lead] ** 2).sum(1), 0)) for x in (a, b))
-    # Lead product plus product of suffix norms bounds the cosine: one more column takes the bound into the product.
-    a1, b1 = np.column_stack([a[:, :lead], ra]).astype(np.float32), np.column_stack([b[:, :lead], rb]).astype(np.float32)
+    cuts = list(range(LEAD, a.shape[1], LEAD)) or [a.shape[1]]
+    norms = [[np.sqrt(np.maximum(1 - (x[:, :c] ** 2).sum(1), 0)) for c in cuts] for x in (a, b)]
+    # The first step is a matrix product for all pairs: one more column takes the bound into it.
+    a1, b1 = (np.column_stack([x[:, :cuts[0]], n[0]]) for x, n in zip((a, b), norms))
     for i in range(0, len(a), block):
         for j in range(i if same else 0, len(b), block):
             x, y = np.nonzero(a1[i:i + block] @ b1[j:j + block].T >= threshold - SLACK)
@@ -60,19 +66,60 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, axes: np.ndarr
                 x, y = x[x < y], y[x < y]
             for at in range(0, len(x), 200_000):
                 p, q = x[at:at + 200_000], y[at:at + 200_000]
+                product = np.einsum("ij,ij->i", a[p, :cuts[0]], b[q, :cuts[0]])
+                for step, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:]), 1):
+                    product += np.einsum("ij,ij->i", a[p, lo:hi], b[q, lo:hi])
+                    live = product + norms[0][step][p] * norms[1][step][q] >= threshold - SLACK
+                    p, q, product = p[live], q[live], product[live]
                 hit = np.einsum("ij,ij->i", u[p], v[q]) >= threshold
                 yield p[hit], q[hit]
 
 
+def _tiled(nodes: DataFrame, axes: dict[int, np.ndarray], threshold: float, tile: int) -> DataFrame:
+    """``nodes`` once per pair (i, j) of tiles to compare, with their own tile t.
+
+    Tiles are ranges of the leading coordinate. Unit vectors of cosine ``threshold`` lie sqrt(2 - 2 * threshold) apart at most, and so do their
+    coordinates: ranges further apart are never paired. Ranges of more than ``tile`` vectors (ties) are split by hash.
+    """
+    held, reach = nodes.sparkSession.sparkContext.broadcast({d: x[:, 0] for d, x in axes.items()}), float(np.sqrt(max(2 - 2 * threshold, 0))) + SLACK
+
+    @F.pandas_udf("double")
+    def leading(dim: pd.Series, embedding: pd.Series) -> pd.Series:
+        out = np.zeros(len(dim))
+        for d in dim.unique():
+            at = np.flatnonzero(dim == d)
+            out[at] = _unit(embedding.iloc[at]) @ held.value[int(d)]
+        return pd.Series(out)
+
+    placed = stage(nodes.select("dim", "node", "n", "embedding", leading("dim", "embedding").alias("c")), "leading")
+    counts = placed.groupBy("dim").count()
+    most = counts.agg(F.max("count")).first()[0] or 0
+    if most <= tile:
+        return placed.select("dim", "node", "n", "embedding", *[F.lit(0).alias(x) for x in "tij"])
+    ranges = min(RANGES, -(-most // tile))
+    cuts = placed.groupBy("dim").agg(F.array_distinct(F.percentile_approx("c", [k / ranges for k in range(1, ranges)], 10_000)).alias("cuts"))
+    # Per vector length at most RANGES cuts: a small table.
+    dealt = placed.join(F.broadcast(cuts), "dim").withColumn("r", F.size(F.filter("cuts", lambda x: x < F.col("c")))).drop("cuts")
+    spans = dealt.groupBy("dim", "r").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    order = Window.partitionBy("dim").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = spans.withColumn("m", F.expr(f"(m + {tile} - 1) div {tile}").cast("int")).withColumn("last", (F.sum("m").over(order) - 1).cast("int"))
+    spans = spans.withColumn("first", F.col("last") - F.col("m") + 1)
+    near = spans.alias("x").join(spans.alias("y"), F.expr(f"x.dim = y.dim and y.lo <= x.hi + {reach} and y.hi >= x.lo - {reach}"))
+    near = near.groupBy(F.col("x.dim").alias("dim"), F.col("x.r").alias("r")).agg(
+        F.first("x.first").alias("first"), F.first("x.m").alias("m"), F.min("y.first").alias("low"), F.max("y.last").alias("high"))
+    tiles = dealt.join(F.broadcast(near), ["dim", "r"]).withColumn("t", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("m"))).cast("int"))
+    tiles = tiles.select("dim", "node", "n", "embedding", "t", F.explode(F.sequence("low", "high")).alias("o"))
+    return tiles.select("dim", "node", "n", "embedding", "t", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = COSINE, tile: int = TILE) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
-    Equal vectors are one node with a count, so copies cost one row per partition. Nodes are dealt into tiles of about ``tile``
-    and every pair of tiles is one task: the leading principal components of all its pairs in blocked products, the residue
-    bounded by suffix norms, whole cosines in double precision only where the bound reaches ``threshold``. A task
-    emits link counts per node and a spanning forest. The comparison is exact; the node count squared, over the
-    tile pairs, is its cost. Null, zero, non-finite vectors, and vectors of differing lengths, link with nothing;
-    null-id rows keep a null component unless linked to an id; an empty table gives an empty result.
+    Equal vectors are one node with a count, so copies cost one row per partition. Nodes lie in tiles of about ``tile`` by their
+    leading coordinate, and every pair of tiles near enough (``_tiled``) is one task, which compares step by step (``_compare``) and emits
+    link counts per node and a spanning forest. The comparison is exact; where tiles cannot be told apart its cost is the node count
+    squared, over the tile pairs. Null, zero, non-finite vectors, and vectors of differing lengths, link with nothing;
+    null-id rows keep a null component unless linked to an id; an empty table gives an empty result; other columns are ignored.
     """
     arr = F.col("embedding").cast("array<double>")
     biggest = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
@@ -82,8 +129,6 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE, tile: int = TILE
     nodes = live.groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")), "nodes")
     axes = principal_axes(nodes.select("dim", "embedding"))
-    counts = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}
-    tiles = max(1, max((-(-c // tile) for c in counts.values()), default=1))
     held = nodes.sparkSession.sparkContext.broadcast(axes)
 
     def tile_pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -106,13 +151,7 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE, tile: int = TILE
         some = np.flatnonzero(weight)
         return pd.DataFrame({"a": ids[some], "b": ids[label[some]], "w": weight[some].astype(np.int64)})
 
-    if tiles == 1:
-        paired = nodes.select("dim", "node", "n", "embedding", F.lit(0).alias("t"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    else:
-        dealt = nodes.withColumn("t", F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-        paired = dealt.select("dim", "node", "n", "embedding", "t", other.alias("o")).select(
-            "dim", "node", "n", "embedding", "t", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"))
+    paired = _tiled(nodes, axes, threshold, tile)
     found = stage(paired.groupBy("dim", "i", "j").applyInPandas(tile_pair, "a long, b long, w long"), "links")
     roots = components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("w"))
