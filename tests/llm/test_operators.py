@@ -82,7 +82,9 @@ def test_pieces_cover_documents(docs, empty):
 
 
 def test_replication_means_and_extremes(spark, docs, empty):
-    assert mixing.poisson_cdf(0) == [1.0] and abs(mixing.poisson_cdf(3.0)[0] - np.exp(-3)) < 1e-12
+    assert mixing.poisson_window(0) == (0, [1.0]) and abs(mixing.poisson_window(3.0)[1][0] - np.exp(-3)) < 1e-12
+    low, cdf = mixing.poisson_window(1e8)
+    assert len(cdf) < 300_000 and low > 9e7 and abs(low + np.searchsorted(cdf, 0.5) - 1e8) < 3
     many = spark.range(20000).selectExpr("id as doc_id", "'t' as text", "if(id % 4 = 0, 'a', 'b') as source")
     got = {r["source"]: r["count"] for r in mixing.replicate(many).groupBy("source").count().collect()}
     assert abs(got["a"] - 10000) < 400 and abs(got["b"] - 10000) < 400
@@ -153,21 +155,56 @@ def test_revisits(spark):
             (3, "revisit", "http://a.example/p?a=1&b=2", 5, "e", None, none), (4, "revisit", "http://a.example/p?a=1&b=2", 30, "other", None, none), (5, "revisit", None, 30, "e", None, None)]
     out = warc.resolve_revisits(spark.createDataFrame(rows, "record_id long, kind string, url string, at long, etag string, last_modified string, headers map<string,string>")).toPandas().set_index("record_id")
     assert out.status.to_dict() == {2: "resolved", 3: "missing", 4: "mismatch", 5: "missing"}
-    assert out.loc[2, "headers"] == {"etag": "e", "server": "s", "Expires": "0"}
+    assert out.loc[2, "headers"] == {"etag": "e", "server": "s", "expires": "0"}
 
 
 def test_toxicity_learns_and_survives_odd_rows(spark, docs):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(200)]
     texts = [(" ".join(rng.choice(words, 60)) + (" vile brute" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(400)]
-    model = toxicity.fit(spark.createDataFrame([*texts, (None, 0), ("", 1)], "text string, toxic int"))
-    scores = pd.Series([model.score(t) for t, _ in texts])
-    toxic = pd.Series([y for _, y in texts]) == 1
-    assert scores[toxic].min() > scores[~toxic].quantile(0.95)
+    rows = spark.createDataFrame([*texts, (None, 0), ("", 1)], "text string, toxic int")
+    model = toxicity.fit(rows)
+    got = toxicity.score(rows.where("length(text) > 0"), model).toPandas()
+    assert got.score[got.toxic == 1].min() >= toxicity.THRESHOLD > got.score[got.toxic == 0].max()
     out = toxicity.score(docs, model).toPandas()
-    assert len(out) == len(ROWS) and out.score.between(0, 1).all()
+    assert len(out) == len(ROWS) and out.score.between(0, 1).all() and out.kept.tolist() == [r[4] for r in ROWS]
+    # The join path beyond the broadcast bound gives the same scores.
+    joined = toxicity.score(docs, model, bound=-1).toPandas()
+    pd.testing.assert_frame_equal(*[f.sort_values(["doc_id", "source", "kept", "text"])[["doc_id", "score", "predicted"]].reset_index(drop=True) for f in (out, joined)])
     blank = toxicity.fit(spark.createDataFrame([], "text string, toxic int"))
-    assert 0 <= blank.score("") <= 1
+    assert toxicity.score(docs, blank).toPandas().score.between(0, 1).all()
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_word_models_are_kneser_ney(spark):
+    """Kept words, their probabilities and the freed weight equal a brute-force count; both distributions sum to 1."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.permutation([*rng.choice(words, 30), *(["vile", "brute"] if i % 4 == 0 else [])])) for i in range(300)]
+    toxic = [int(i % 4 == 0) for i in range(300)]
+    model = toxicity.fit(spark.createDataFrame(list(zip(texts, toxic)), "text string, toxic int"))
+    before = [{}, {}]
+    for text, y in zip(texts, toxic):
+        w = text.split()
+        for a, b in zip(["", *w], w):
+            before[y].setdefault(b, set()).add(a)
+    n = [{w: len(v) for w, v in side.items()} for side in before]
+    both = {w: len(before[0].get(w, set()) | before[1].get(w, set())) for w in {*n[0], *n[1]}}
+    total = model.totals["all"]
+    assert abs(total["t"] / sum(n[1].values()) - 1) < 0.02 and abs(total["s"] / sum(both.values()) - 1) < 0.02 and abs(total["v"] / len(both) - 1) < 0.02
+    got = {r["word"]: r for r in model.words.collect()}
+    hashes = toxicity._Hashes()
+    signed = lambda w: int(np.uint64(hashes[w]).astype(np.int64))
+    kept = {w for w in both if signed(w) in got and got[signed(w)]["kept"]}
+    assert kept == {"vile", "brute"}
+    d, shared = toxicity.DISCOUNT, lambda w: (both[w] - toxicity.DISCOUNT + toxicity.DISCOUNT * total["v"] / (total["v"] + 1)) / total["s"]
+    own = [{w: max(side.get(w, 0) - d, 0) / total[k] for w in kept} for side, k in ((n[1], "t"), (n[0], "o"))]
+    for w in kept:
+        for i, c in enumerate(("p_t", "p_o")):
+            assert abs(got[signed(w)][c] - (own[i][w] + (1 - sum(own[i].values())) * shared(w))) < 1e-12
+    for side in own:
+        whole = sum(side.values()) + (1 - sum(side.values())) * (sum(map(shared, both)) + d * total["v"] / (total["v"] + 1) / total["s"])
+        assert abs(whole - 1) < 0.02
 
 
 def test_word_ids_make_text_ids():
@@ -183,7 +220,7 @@ def test_word_ids_make_text_ids():
     texts += pd.read_parquet("/root/testdata/sf0.01/documents.parquet")["text"].fillna("").tolist()
     whole = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     encode = packing.Encoder(path, bound=1000)
-    assert [ids for at in range(0, len(texts), 50) for ids in encode(texts[at:at + 50])] == whole
+    assert [np.frombuffer(ids, "<u4").tolist() for at in range(0, len(texts), 50) for ids in encode(texts[at:at + 50])] == whole
 
 
 def test_pipeline_near_copies_are_verified(spark):
