@@ -74,8 +74,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
-        # A centre may hold most edges: its minimum is broadcast, so its edges stay dealt over the tasks.
-        large = attach(both.where("b > a"), low, "a", "n", 2 * size).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # A centre may hold most edges: minima (two numbers a node) are broadcast up to 2 million; beyond that those of large centres are.
+        edged = both.where("b > a")
+        large = edged.join(F.broadcast(low), "a") if size <= 2_000_000 else attach(edged, low, "a", "n", 2 * size)
+        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.col("b").alias("x"), F.col("m"), F.col("a"))
         new = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
