@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,37 +12,88 @@ def compare_to_baseline(results: DataFrame, baseline: DataFrame, limit: float =
     return both.withColumn("ok", F.coalesce(F.col("ratio") <= limit, F.lit(True)))
 
 
+def baseline_totals(compared: DataFrame, old: str = "baseline_bytes", new: str = "bytes") -> DataFrame:
+    """One row: rows, totals of rows with a baseline, their ratio (null without any), failures, and whether the gate holds."""
+    has = F.col(old).isNotNull()
+    t = compared.agg(F.count("*").alias("rows"), F.sum(F.when(has, F.col(new))).alias("total_bytes"), F.sum(old).alias("total_baseline"), F.count_if(~F.col("ok")).alias("failures"))
+    return t.withColumn("ratio", F.when(F.col("total_baseline") > 0, F.col("total_bytes") / F.col("total_baseline"))).withColumn("passed", F.col("failures") == 0)
+
+
 def pareto_frontier(rows: DataFrame, group: str, size: str, score: str) -> DataFrame:
-    """Rows of each group that no other row of it beats: at most the size and at least the score, one strictly.
+    """Rows of each group that no other row of it beats: at most the size and at least the score, one strictly. Equal rows all stand.
 
-    Only the best score of each size can stand, so rows collapse to one per (group, size) before the window.
+    Only the best score of each size can stand, so sizes collapse to one row each before the window; the rows that reach it are joined back.
     """
     best = rows.groupBy(group, size).agg(F.max(score).alias(score))
     before = Window.partitionBy(group).orderBy(size).rowsBetween(Window.unboundedPreceding, -1)
-    return best.withColumn("_top", F.max(score).over(before)).where(F.col("_top").isNull() | (F.col(score) > F.col("_top"))).drop("_top")
+    standing = best.withColumn("_top", F.max(score).over(before)).where(F.col("_top").isNull() | (F.col(score) > F.col("_top"))).drop("_top")
+    return rows.join(standing, [group, size, score], "left_semi")
 
 
-def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """The element at index n div 2 of each group's sorted values, from counts of distinct values."""
+def upper_median(rows: DataFrame, group: str, value: str, weight: str | None = None) -> DataFrame:
+    """The element at index n div 2 of each group's sorted values, from counts of distinct values; with ``weight`` also its total per median (work per time)."""
     counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
     upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(group)
     at = counts.withColumns({"_upto": F.sum("n").over(upto), "_mid": F.floor(F.sum("n").over(whole) / 2)})
-    return at.where("_upto > _mid and _upto - n <= _mid").select(group, F.col(value).alias("median"))
+    found = at.where("_upto > _mid and _upto - n <= _mid").select(group, F.col(value).alias("median"))
+    if weight is None:
+        return found
+    totals = rows.groupBy(group).agg(F.max(weight).alias("_w"))
+    return found.join(totals, group).select(group, "median", (F.col("_w") / F.greatest("median", F.lit(1))).alias("rate"))
 
 
-def group_averages(rows: DataFrame, group: str, values: list[str]) -> DataFrame:
-    """Integer-divided means per group and the number of rows."""
+def group_averages(rows: DataFrame, group: str, values: list[str], order: list[str] | None = None) -> DataFrame:
+    """Integer-divided means per group and the number of rows; with ``order`` only those groups, with their place in it. Groups without rows are left out."""
     means = [F.floor(F.sum(v) / F.count(v)).cast("long").alias(f"avg_{v}") for v in values]
-    return rows.groupBy(group).agg(F.count("*").alias("n"), *means)
+    out = rows.groupBy(group).agg(F.count("*").alias("n"), *means)
+    if order is None:
+        return out
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(group))
+    return out.withColumn("place", place).where("place > 0")
 
 
 def recompression_report(rows: DataFrame, group: str, old: str, new: str) -> DataFrame:
-    """Per group the total of both sizes and their ratio (the old total counts 1 at least)."""
-    totals = rows.groupBy(group).agg(F.sum(old).alias("old_bytes"), F.sum(new).alias("new_bytes"))
+    """Per group the total of both sizes over rows without error and their ratio (the old total counts 1 at least), and the number of error rows (null new size)."""
+    good = F.col(new).isNotNull()
+    totals = rows.groupBy(group).agg(F.sum(F.when(good, F.col(old))).alias("old_bytes"), F.sum(new).alias("new_bytes"), F.count_if(~good).alias("errors"))
     return totals.withColumn("ratio", F.col("new_bytes") / F.greatest("old_bytes", F.lit(1)))
 
 
+def recompression_rows(rows: DataFrame, old: str, new: str) -> DataFrame:
+    """Each row's ratio; null where there is an error."""
+    return rows.withColumn("ratio", F.col(new) / F.greatest(F.col(old), F.lit(1)))
+
+
+def strategy_ranking(rows: DataFrame, group: str, strategy: str, best: str, fast: str) -> DataFrame:
+    """Winner of each group by its best size, winner by its fast size (the first by name on ties), and what the latter costs in best size."""
+    pick = lambda by: F.min(F.struct(F.col(by).alias("by"), F.col(strategy).alias("who"), F.col(best).alias("size")))
+    d = rows.groupBy(group).agg(pick(best).alias("b"), pick(fast).alias("f"))
+    return d.select(group, F.col("b.who").alias("best_winner"), F.col("f.who").alias("fast_winner"), (F.col("f.size") - F.col("b.size")).alias("cost"))
+
+
+# Dither strengths and quality pairs (least, target) of the full sweep, and those of the compact one.
+DITHERS = [0.0, 0.25, 0.5, 0.75, 1.0]
+PAIRS = [(0, 10), (0, 30), (0, 50), (0, 80), (0, 90), (0, 95), (0, 100), (50, 90), (50, 95), (70, 95), (80, 95), (80, 100)]
+COMPACT = [(d, 0, t) for d in (0.5, 1.0) for t in (80, 95, 100)]
+
+
+def sweep(images: DataFrame, key: str, lead: Column) -> DataFrame:
+    """(key, dither, q_min, q_target): the full grid for rows where ``lead`` holds, the compact one for the others. Each row generates its configurations."""
+    def grid(rows) -> Column:
+        return F.array(*[F.struct(F.lit(d).alias("dither"), F.lit(a).alias("q_min"), F.lit(b).alias("q_target")) for d, a, b in rows])
+
+    full = grid([(d, a, b) for d in DITHERS for a, b in PAIRS])
+    return images.select(key, F.explode(F.when(lead, full).otherwise(grid(COMPACT))).alias("c")).select(key, "c.*")
+
+
+def distribution(rows: DataFrame, old: str, new: str, score: str) -> DataFrame:
+    """Totals of both sizes and their ratio, and least, 10th, 50th and 90th percentile and mean of the score."""
+    parts = [F.percentile(score, F.lit(p / 100)).alias(f"p{p}") for p in (10, 50, 90)]
+    d = rows.agg(F.sum(old).alias("old"), F.sum(new).alias("new"), F.min(score).alias("least"), *parts, F.avg(score).alias("mean"))
+    return d.withColumn("ratio", F.col("new") / F.col("old"))
+
+
 def percentiles_by_band(rows: DataFrame, value: str, size: str, bounds: list[int]) -> DataFrame:
     """50th, 90th and 99th percentile and maximum of ``value`` per band of ``size`` (band i holds sizes under ``bounds[i]``)."""
     band = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(size)))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .geometry import RGBA, gaussian, resample
+
 # Published OKLab matrices (linear sRGB to cone response, cone response to Lab), luma weights.
 TO_LMS = [[0.4122214708, 0.5363325363, 0.0514459929], [0.2119034982, 0.6806995451, 0.1073969566], [0.0883024619, 0.2817188376, 0.6299787005]]
 TO_LAB = [[0.2104542553, 0.7936177850, -0.0040720468], [1.9779984951, -2.4285922050, 0.4505937099], [0.0259040371, 0.7827717662, -0.8086757660]]
@@ -23,11 +25,20 @@ def _dot(weights: list[float], columns: list[Column]) -> Column:
 
 def grayscale(pixels: DataFrame) -> DataFrame:
     luma = F.expr("(" + " + ".join(f"{k} * {c}" for k, c in zip(LUMA, "rgb")) + f") div {sum(LUMA)}")
-    return pixels.select("image_id", "x", "y", luma.alias("luma"), "a")
+    return pixels.select("image_id", "w", "h", "x", "y", luma.alias("luma"), "a")
+
+
+def _away(amount: float) -> int:
+    """Nearest whole number, halves away from zero."""
+    return int(math.copysign(math.floor(abs(amount) + 0.5), amount))
+
+
+#: Amount of each filter where none is given.
+DEFAULT_AMOUNT = {"grayscale": 0.0, "invert": 0.0, "blur": 1.5, "sharpen": 1.5, "brightness": 20.0, "contrast": 20.0, "hue": 90.0}
 
 
 def brightness(pixels: DataFrame, amount: float) -> DataFrame:
-    return pixels.withColumns({c: _byte(F.col(c) + round(amount)) for c in "rgb"})
+    return pixels.withColumns({c: _byte(F.col(c) + _away(amount)) for c in "rgb"})
 
 
 def contrast(pixels: DataFrame, percent: float) -> DataFrame:
@@ -46,16 +57,41 @@ def hue_matrix(degrees: float) -> list[list[float]]:
 
 def hue_rotate(pixels: DataFrame, degrees: float) -> DataFrame:
     rgb = [F.col(c) for c in "rgb"]
-    return pixels.withColumns({c: _byte(F.floor(_dot(row, rgb))) for c, row in zip("rgb", hue_matrix(degrees))})
+    return pixels.withColumns({c: _byte(F.floor(_dot(row, rgb))) for c, row in zip("rgb", hue_matrix(_away(degrees)))})
 
 
-def median_3x3(pixels: DataFrame, channel: str) -> DataFrame:
-    """Median of the 3x3 neighbourhood, edges repeated: one window along rows, one along columns."""
+def gaussian_blur(pixels: DataFrame, sigma: float) -> DataFrame:
+    """Separable Gaussian of all four channels over two deviations to each side, cut and weighed anew at the edges."""
+    if not (sigma >= 0 and math.isfinite(sigma)):
+        raise ValueError("sigma is a finite number, 0 at least")
+    return pixels if sigma == 0 else resample(pixels, (F.col("w"), F.col("h")), gaussian(sigma), 2 * sigma, premultiply=False)
+
+
+def unsharp(pixels: DataFrame, sigma: float, threshold: int = 1) -> DataFrame:
+    """Each channel moved away from its blurred value where the two differ by more than ``threshold``."""
+    if not sigma > 0:
+        raise ValueError("sigma is positive")
+    soft = gaussian_blur(pixels, sigma).select("image_id", "x", "y", *[F.col(c).alias(f"{c}2") for c in RGBA])
+    d = pixels.join(soft, ["image_id", "x", "y"])
+    sharp = {c: F.when(F.abs(F.col(c) - F.col(f"{c}2")) > threshold, _byte(2 * F.col(c) - F.col(f"{c}2"))).otherwise(F.col(c)) for c in RGBA}
+    return d.withColumns(sharp).select(pixels.columns)
+
+
+def median(pixels: DataFrame, radius: int = 1) -> DataFrame:
+    """Median of every channel over the square of ``radius`` (0 to 10) around a pixel, edges repeated: one window along rows, one along columns."""
+    if not 0 <= radius <= 10:
+        raise ValueError("a radius is 0 to 10")
     along, down = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    v = F.col(channel)
-    row = pixels.select("image_id", "x", "y", F.array(F.coalesce(F.lag(v).over(along), v), v, F.coalesce(F.lead(v).over(along), v)).alias("row"))
-    near = F.concat(F.coalesce(F.lag("row").over(down), "row"), "row", F.coalesce(F.lead("row").over(down), "row"))
-    return row.select("image_id", "x", "y", F.element_at(F.sort_array(near), 5).alias(channel))
+
+    def around(v: str, window, at: str, side: str) -> Column:
+        ends = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        first, last = F.first(v).over(ends), F.last(v).over(ends)
+        return F.array(*[F.coalesce(F.lag(v, -k).over(window), last if k > 0 else first) for k in range(-radius, radius + 1)])
+
+    d = pixels.withColumn("_v", F.struct(*RGBA))
+    d = d.withColumn("_row", around("_v", along, "x", "w")).withColumn("_near", F.flatten(around("_row", down, "y", "h")))
+    middle = (2 * radius + 1) ** 2 // 2 + 1
+    return d.withColumns({c: F.element_at(F.sort_array(F.col("_near")[c]), middle) for c in RGBA}).drop("_v", "_row", "_near")
 
 
 def linear(v: Column) -> Column:
@@ -73,14 +109,101 @@ def with_oklab(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns(dict(zip(("ok_l", "ok_a", "ok_b"), lab)))
 
 
-def assign_palette(pixels: DataFrame, palette: list[tuple[int, int, int]]) -> DataFrame:
-    """``idx`` of the nearest palette entry in OKLab, the lowest on ties; a palette has 256 entries at most."""
+# The published inverse matrices (Lab to cone response, cubes to linear sRGB).
+FROM_LAB = [[1.0, 0.3963377774, 0.2158037573], [1.0, -0.1055613458, -0.0638541728], [1.0, -0.0894841775, -1.2914855480]]
+FROM_LMS = [[4.0767416621, -3.3077115913, 0.2309699292], [-1.2684380046, 2.6097574011, -0.3413193965], [-0.0041960863, -0.7034186147, 1.7076147010]]
+# Published XYB absorbance of linear RGB and its bias.
+XYB = [[0.30, 0.622, 0.078], [0.23, 0.692, 0.078], [0.24342268924547819, 0.20476744424496821, 0.55180986650955360]]
+XYB_BIAS = 0.0037930732552754493
+
+
+def linear_from_oklab(l: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:  # noqa: E741
+    """Linear sRGB, which may leave 0 to 1."""
+    cones = [_dot(row, [l, a, b]) for row in FROM_LAB]
+    return tuple(_dot(row, [c * c * c for c in cones]) for row in FROM_LMS)
+
+
+def encoded(v: Column) -> Column:
+    """8-bit sRGB of a linear value, clamped."""
+    s = F.when(v <= 0.0031308, v * 12.92).otherwise(1.055 * F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
+    return _byte(F.floor(s * 255 + 0.5))
+
+
+def from_oklab(pixels: DataFrame) -> DataFrame:
+    """r, g, b of ok_l, ok_a, ok_b; alpha is full."""
+    rgb = linear_from_oklab(F.col("ok_l"), F.col("ok_a"), F.col("ok_b"))
+    return pixels.withColumns(dict(zip("rgb", map(encoded, rgb))) | {"a": F.lit(255).cast("long")})
+
+
+def with_xyb(pixels: DataFrame) -> DataFrame:
+    """Positive XYB planes: shifted and scaled so that no value is below zero."""
+    rgb = [linear(F.col(c)) for c in "rgb"]
+    l, m, s = (F.cbrt(_dot(row, rgb) + XYB_BIAS) - XYB_BIAS ** (1 / 3) for row in XYB)  # noqa: E741
+    x, y = (l - m) / 2, (l + m) / 2
+    return pixels.withColumns({"xyb_x": x * 14 + 0.42, "xyb_y": y + 0.01, "xyb_b": (s - y) + 0.55})
+
+
+#: Alpha counts as a fourth coordinate: twice its share of 255.
+ALPHA_SCALE = 2 / 255
+Entry = tuple[int, int, int, int]
+
+
+def _entries(palette: list[Entry]) -> Column:
     if not 1 <= len(palette) <= 256:
         raise ValueError("a palette has 1 to 256 entries")
-    entries = F.array(*[F.struct(F.lit(i).alias("idx"), *[c.alias(n) for c, n in zip(oklab(*map(F.lit, p)), "lab")]) for i, p in enumerate(palette)])
+    return F.array(*[F.struct(F.lit(i).alias("idx"), *[c.alias(n) for c, n in zip(oklab(*map(F.lit, p[:3])), "lab")], F.lit(p[3] * ALPHA_SCALE).alias("t")) for i, p in enumerate(palette)])
+
+
+def assign_palette(pixels: DataFrame, palette: list[Entry], alpha: bool = True) -> DataFrame:
+    """``idx`` of the nearest palette entry (r, g, b, a) in OKLab and alpha, the lowest on ties; ``alpha`` off: all count as opaque."""
+    own = F.col("a") * ALPHA_SCALE
 
     def apart(p: Column) -> Column:
-        d = [F.col(f"ok_{n}") - p[n] for n in "lab"]
-        return F.struct((d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d"), p["idx"].alias("idx"))
+        d = [F.col(f"ok_{n}") - p[n] for n in "lab"] + ([own - p["t"]] if alpha else [])
+        return F.struct(sum((x * x for x in d[1:]), d[0] * d[0]).alias("d"), p["idx"].alias("idx"))
+
+    return with_oklab(pixels).withColumn("idx", F.array_min(F.transform(_entries(palette), apart))["idx"])
+
+
+def lloyd_step(pixels: DataFrame, palette: list[Entry]) -> DataFrame:
+    """One k-means step: per image and entry the mean OKLab colour and alpha of its pixels, their number and squared error."""
+    d = assign_palette(pixels, palette).withColumn("_t", F.col("a") * ALPHA_SCALE)
+    parts = ["ok_l", "ok_a", "ok_b", "_t"]
+    sse = sum((F.sum(F.col(p) * F.col(p)) - F.sum(p) * F.sum(p) / F.count("*") for p in parts), F.lit(0.0))
+    return d.groupBy("image_id", "idx").agg(*[F.avg(p).alias(p) for p in parts[:3]], F.avg("a").alias("alpha"), F.count("*").alias("n"), F.greatest(sse, F.lit(0.0)).alias("sse"))
+
+
+def importance(pixels: DataFrame, strength: float) -> DataFrame:
+    """``weight`` of each pixel: 1 / (1 + strength * mean luma step to the neighbours one and two to the right and below)."""
+    along, down = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    luma = pixels.withColumn("_l", F.expr("(r + g + b) div 3"))
+    steps = F.array_compact(F.array(*[F.abs(F.col("_l") - F.lead("_l", k).over(w)) for w in (along, down) for k in (1, 2)]))
+    d = luma.withColumn("_s", steps)
+    mean = F.when(F.size("_s") > 0, F.aggregate("_s", F.lit(0).cast("long"), lambda x, y: x + y) / F.size("_s")).otherwise(0.0)
+    return d.withColumn("weight", 1 / (1 + strength * mean)).drop("_l", "_s")
+
+
+def compact(assigned: DataFrame, palette: list[Entry]) -> DataFrame:
+    """Per image the new index of each used entry, unused ones dropped and the order kept: (image_id, idx, new_idx, r, g, b, a)."""
+    used = assigned.select("image_id", "idx").distinct()
+    entry = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for v, c in zip(p, RGBA)]) for p in palette])
+    rank = F.row_number().over(Window.partitionBy("image_id").orderBy("idx")) - 1
+    return used.withColumns({"new_idx": rank, "_e": F.element_at(entry, F.col("idx") + 1)}).select("image_id", "idx", "new_idx", "_e.*")
+
+
+def luma_sorted(entries: DataFrame) -> DataFrame:
+    """``entries`` (image_id, new_idx, r, g, b, a) with their place by (r + g + b) div 3, the old order on ties."""
+    order = Window.partitionBy("image_id").orderBy(F.expr("(r + g + b) div 3"), "new_idx")
+    return entries.withColumn("place", F.row_number().over(order) - 1)
+
+
+def transparency(entries: DataFrame, order: str = "new_idx") -> DataFrame:
+    """Per image the alphas to store: none where all entries are opaque, else those up to the last that is not. A palette has 256 entries at most."""
+    sorted_ = F.transform(F.array_sort(F.collect_list(F.struct(order, "a"))), lambda e: e["a"])
+    d = entries.groupBy("image_id").agg(sorted_.alias("alphas"), F.max(F.when(F.col("a") < 255, F.col(order) + 1)).alias("keep"))
+    return d.select("image_id", F.coalesce("keep", F.lit(0)).cast("long").alias("stored"), F.array_join(F.slice("alphas", F.lit(1), F.coalesce("keep", F.lit(0))), ",").alias("alphas"))
+
 
-    return with_oklab(pixels).withColumn("idx", F.array_min(F.transform(entries, apart))["idx"]).drop("ok_l", "ok_a", "ok_b")
+def sized_palette(entries: Column, n: int) -> Column:
+    """The first ``n`` entries; a shorter palette is filled up with its first."""
+    return F.concat(F.slice(entries, 1, n), F.array_repeat(F.element_at(entries, 1), F.greatest(F.lit(n) - F.size(entries), F.lit(0))))

@@ -1,34 +1,85 @@
-"""Images as relations, derived from the given tables."""
+"""Images as relations of pixels (image_id, w, h, x, y, r, g, b, a): every image carries its own size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import format_of
+
 EMB_RGBA_SQL = """
-emb_img AS (
-  SELECT vec_id AS image_id, i % 8 AS x, i // 8 AS y, i,
-         CAST(least(greatest(floor((CAST(embedding[CAST(i + 1 AS INTEGER)] AS DOUBLE) + 1) * 127.5), 0), 255) AS BIGINT) AS g
-  FROM embeddings, range(64) t(i)),
-emb_rgba AS (
-  SELECT p.image_id, p.x, p.y, p.g AS r, q.g AS g, s.g AS b, CASE WHEN u.g >= 128 THEN 255 ELSE 2 * u.g END AS a
-  FROM emb_img p JOIN emb_img q ON q.image_id = p.image_id AND q.i = (p.i + 16) % 64
-  JOIN emb_img s ON s.image_id = p.image_id AND s.i = (p.i + 32) % 64
-  JOIN emb_img u ON u.image_id = p.image_id AND u.i = (p.i + 48) % 64)
+emb_img AS MATERIALIZED (
+  SELECT vec_id AS image_id, CASE WHEN vec_id % 2 = 0 THEN CAST(8 AS BIGINT) ELSE CAST(16 AS BIGINT) END AS w,
+    list_transform(embedding, lambda v: CAST(least(greatest(floor((CAST(v AS DOUBLE) + 1) * 127.5), 0), 255) AS BIGINT)) AS p FROM embeddings),
+emb_rgba AS MATERIALIZED (
+  SELECT image_id, w, 64 // w AS h, i % w AS x, i // w AS y, p[i + 1] AS r, p[(i + 16) % 64 + 1] AS g, p[(i + 32) % 64 + 1] AS b,
+    CASE WHEN p[(i + 48) % 64 + 1] >= 128 THEN CAST(255 AS BIGINT) ELSE 2 * p[(i + 48) % 64 + 1] END AS a
+  FROM (SELECT image_id, w, p, unnest(range(64)) AS i FROM emb_img))
 """
 
 
 def emb_rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels (image_id, x, y, r, g, b, a) of one 8x8 image per vector; a row of `embeddings` becomes 64, without a shuffle."""
+    """One image per vector, 8x8 for even ids and 16x4 for odd ones; a row of `embeddings` becomes 64, without a shuffle."""
     grey = F.transform("embedding", lambda v: F.least(F.greatest(F.floor((v.cast("double") + 1) * 127.5), F.lit(0)), F.lit(255)).cast("long"))
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), grey.alias("p"))
-    pixels = vectors.select("image_id", "p", F.posexplode("p").alias("i", "r"))
+    width = F.when(F.col("vec_id") % 2 == 0, 8).otherwise(16).cast("long")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), width.alias("w"), grey.alias("p"))
+    pixels = vectors.select("image_id", "w", "p", F.posexplode("p").alias("i", "r"))
 
     def channel(shift: int):
         return F.element_at("p", (F.col("i") + shift) % 64 + 1)
 
     alpha = channel(48)
     return pixels.select(
-        "image_id", (F.col("i") % 8).cast("long").alias("x"), F.expr("cast(i div 8 as bigint)").alias("y"), "r",
+        "image_id", "w", F.expr("64 div w").alias("h"), (F.col("i") % F.col("w")).alias("x"), F.expr("i div w").alias("y"), "r",
         channel(16).alias("g"), channel(32).alias("b"), F.when(alpha >= 128, F.lit(255)).otherwise(2 * alpha).cast("long").alias("a"),
     )
+
+
+def scan(spark: SparkSession, folder: str, formats: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """(path, format, length) of the files below ``folder`` whose extension is known (or among ``formats``), by path, ``limit`` at most.
+
+    No file left is an error. Contents are not read.
+    """
+    known = format_of(F.col("path"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", known.alias("format"), "length").where("format is not null")
+    if formats:
+        files = files.where(F.col("format").isin(formats))
+    files = files.orderBy("path")
+    files = files if limit is None else files.limit(limit)
+    if files.isEmpty():
+        raise ValueError(f"no images in {folder}")
+    return files
+
+
+def read_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(image_id, w, h, rgba) of the images Spark can decode by their content; image_id is the path. What it cannot decode has a null size.
+
+    Spark gives bytes as BGR or BGRA (or one grey byte) per pixel; alpha is full where there is none.
+    """
+    rows = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(folder).select("image.*")
+    good = F.col("width") > 0
+    return rows.select(F.col("origin").alias("image_id"), *[F.when(good, F.col(c)).cast("long").alias(a) for c, a in (("width", "w"), ("height", "h"))],
+                       F.when(good, F.col("nChannels")).alias("channels"), F.when(good, F.col("data")).alias("data"))
+
+
+def to_pixels(images: DataFrame) -> DataFrame:
+    """Pixels of ``read_images``: each image becomes its rows of bytes, each row its pixels; nothing is shuffled. Undecoded ones have none."""
+    rows = images.where("w is not null").withColumn("y", F.explode(F.expr("sequence(0L, h - 1)")))
+    cells = rows.withColumn("x", F.explode(F.expr("sequence(0L, w - 1)")))
+
+    def byte(k: int) -> Column:
+        return F.conv(F.hex(F.substring(F.col("data"), ((F.col("y") * F.col("w") + F.col("x")) * F.col("channels") + k + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+
+    grey = F.col("channels") == 1
+    red, green = F.when(grey, byte(0)).otherwise(byte(2)), F.when(grey, byte(0)).otherwise(byte(1))
+    return cells.select("image_id", "w", "h", "x", "y", red.alias("r"), green.alias("g"), byte(0).alias("b"), F.when(F.col("channels") == 4, byte(3)).otherwise(255).cast("long").alias("a"))
+
+
+def baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(name, baseline_bytes) of a baseline file: a JSON object with the map ``fixtures`` of name to {"tinypng_bytes"}."""
+    return baseline_rows(spark.read.text(path, wholetext=True).select("value"))
+
+
+def baseline_rows(texts: DataFrame) -> DataFrame:
+    parsed = texts.select(F.from_json("value", "fixtures map<string,struct<tinypng_bytes:bigint>>").alias("j"))
+    return parsed.select(F.explode("j.fixtures").alias("name", "v")).select("name", F.col("v.tinypng_bytes").alias("baseline_bytes"))
