@@ -51,7 +51,7 @@ class Encoder:
     text's, so a word is encoded once while it is remembered; any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, path: str, bound: int = 1_200_000):
+    def __init__(self, path: str, bound: int = 500_000):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 

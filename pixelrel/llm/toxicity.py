@@ -40,7 +40,7 @@ class _Hashes(dict):
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
 
-    def trim(self, bound: int = 1 << 20) -> None:
+    def trim(self, bound: int = 1 << 18) -> None:
         if len(self) > bound:
             self.clear()
 
@@ -56,7 +56,7 @@ def _tokens(texts, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return flat, prev, sizes
 
 
-def _portions(pdf: pd.DataFrame, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def _portions(pdf: pd.DataFrame, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """Rows in order, in portions of about ``chars`` characters: memory follows that, not the batch."""
     upto = pdf["text"].str.len().fillna(0).cumsum().to_numpy()
     for _, part in pdf.groupby(upto // chars, sort=True):
@@ -68,6 +68,7 @@ def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = _Hashes()
     for pdf in batches:
         for part in _portions(pdf):
+            hashes.trim()
             word, prev, sizes = _tokens(part["text"], hashes)
             ids, local = np.unique(np.concatenate([word, prev]), return_inverse=True)
             w, v = local[:len(word)], local[len(word):]
@@ -83,7 +84,6 @@ def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts = {k: np.bincount(group[once & (kind == i)], minlength=int(new.sum())) for i, k in enumerate(KINDS)}
             first = pair[new]
             yield pd.DataFrame({"prev": ids[first // max(len(ids), 1)], "word": ids[first % max(len(ids), 1)], **counts})
-        hashes.trim()
 
 
 def _of(folds: str, toxic: str) -> Column:
@@ -275,12 +275,12 @@ def _emit_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = _Hashes()
     for pdf in batches:
         for part in _portions(pdf, 500_000):
+            hashes.trim()
             word, prev, sizes = _tokens(part["text"], hashes)
             row, one = np.repeat(part["_id"].to_numpy(), sizes), np.repeat(1 / np.maximum(sizes, 1), sizes)
             any_ = np.full(len(word), ANY)
             frame = pd.DataFrame({"_id": np.tile(row, 3), "prev": np.concatenate([any_, prev, prev]), "word": np.concatenate([word, any_, word]), "n": np.tile(one, 3)})
             yield frame.groupby(["_id", "prev", "word"], as_index=False)["n"].sum()
-        hashes.trim()
 
 
 def _contrast(docs: DataFrame, model: Model, bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -294,9 +294,11 @@ def _contrast(docs: DataFrame, model: Model, bound: int = BROADCAST_ROWS) -> Dat
         def contrast(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             hashes = _Hashes()
             for texts in batches:
-                frame = texts.to_frame("text")
-                yield pd.Series(np.concatenate([held.value(p["text"], hashes) for p in _portions(frame)]) if len(frame) else [], dtype=float)
-                hashes.trim()
+                found = [np.zeros(0)]
+                for part in _portions(texts.to_frame("text")):
+                    found.append(held.value(part["text"], hashes))
+                    hashes.trim()
+                yield pd.Series(np.concatenate(found), dtype=float)
 
         return docs.withColumn("_x", contrast("text"))
     # Features too many to broadcast meet the texts' own by shuffle; sums return to the rows by number.
