@@ -38,6 +38,10 @@ class _Recent(dict):
         self[key] = found = self.make(key) if found is None else found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
+
     def trim(self) -> None:
         if len(self) > self.bound // 2:
             self.before = dict(self)
@@ -51,7 +55,7 @@ class Encoder:
     text's, so a word is encoded once while it is remembered; any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, path: str, bound: int = 500_000):
+    def __init__(self, path: str, bound: int = 300_000):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -109,7 +113,7 @@ def _words_alone(path: str) -> str | None:
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
-    """A worker's encoder, kept from task to task with the words it remembers."""
+    """A worker's encoder: the tokenizer is kept from task to task, the words it remembers are not."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
 
@@ -130,6 +134,9 @@ def _cutter(path: str, capacity: int):
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
+        if encode.alone:
+            encode.words.forget()
+            encode.parts.forget()
 
     return cut
 

@@ -287,11 +287,11 @@ def _verified(docs: DataFrame, shingle: int, bits: int, least: float) -> DataFra
     Texts of equal words are one node. The first pass compares neighbours in the order of fingerprints under each key, which joins large
     groups of copies by about as many comparisons as they have members; the second compares every candidate pair
     that these links leave apart. So each candidate pair is either compared or already in one component. Texts
-    meet only where the pair's sketches agree in five eighths of what ``least`` lets expect (at 0.8, one pair in 10**8 falls below). Eight of their
+    meet only where the pair's sketches agree in three quarters of what ``least`` lets expect (at 0.8 sharp, one pair in 16,000 falls below, of others fewer). Eight of their
     bytes travel with the keys: where fewer than three (at 0.8) agree, no pair is sent; of pairs at 0.8 sharp one in 800 is lost there, of others fewer.
     """
     minima = max(int(8 * least + 1e-9) - 3, 0)
-    floor = int(64 * least * 5 / 8)
+    floor = int(64 * least * 3 / 4)
 
     @F.pandas_udf("fp long, node long, size int, sketch binary, mini long")
     def profile(text: pd.Series) -> pd.DataFrame:
@@ -330,7 +330,7 @@ def _verified(docs: DataFrame, shingle: int, bits: int, least: float) -> DataFra
         left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         return stage(pairs.join(left, "a").join(right, "b").where(alike("text_a", "text_b") >= least).select("a", "b"), "links")
 
-    links = compared(nodes.select("fp", "size", "node", "mini", F.col("node").alias("root")), 4)
+    links = compared(nodes.select("fp", "size", "node", "mini", F.col("node").alias("root")), 1)
     roots = components(links)
     rooted = nodes.join(roots, "node", "left").select("fp", "size", "node", "mini", F.coalesce("root", "node").alias("root"))
     roots = components(links.union(compared(stage(rooted, "rooted"), None)))

@@ -40,7 +40,7 @@ class _Hashes(dict):
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
 
-    def trim(self, bound: int = 1 << 18) -> None:
+    def trim(self, bound: int = 1 << 17) -> None:
         if len(self) > bound:
             self.clear()
 
