@@ -257,3 +257,26 @@ def test_op10_odd_vectors(spark, tmp_path):
     assert len(out) == len(vectors)
     assert out[out.vec_id == 2].iloc[0][["n_links", "component_id", "kept"]].tolist() == [3, 1, False]
     assert (out[out.vec_id.isin([3, 4, 5, 6, 7, 8])].n_links == 0).all() and out[out.vec_id.isna()].component_id.tolist() == [1]
+
+
+def test_pipeline_stages(spark, tables, tmp_path):
+    """Each stage on its predecessor's rows: clean and short rows stay, copies go, and the last packs what the one before kept."""
+    import corpus_pipeline as pipeline
+
+    spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i == 4)) for i in range(len(TEXTS))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = dict(pipeline.STAGES)
+    ids = lambda d: sorted(r["doc_id"] for r in d.select("doc_id").collect())
+    assert ids(kept["toxicity"](spark, docs, str(tmp_path))) == ids(docs)
+    exact = kept["exact_dedup"](spark, docs, str(tmp_path))
+    assert ids(exact) == [1, 3, 4, 5, 5, *range(6, len(TEXTS))] and exact.columns == docs.columns
+    near = kept["simhash_dedup"](spark, exact, str(tmp_path))
+    assert ids(near) == [1, 3, 4, 5, 5, 6, *range(8, len(TEXTS))] and near.columns == docs.columns
+    mixed = kept["mixing"](spark, near, str(tmp_path))
+    assert set(ids(mixed)) <= set(ids(near)) and mixed.columns == docs.columns
+    whole = pipeline.run(spark, str(tmp_path)).toPandas()
+    want = sorted(ids(mixed))
+    assert sorted(whole[whole.piece == 0].doc_id) == want and (whole.groupby("sequence_id").length.sum() <= packing.CAPACITY).all()
+    empty = docs.limit(0)
+    assert all(step(spark, empty, str(tmp_path)).count() == 0 for _, step in pipeline.STAGES)
