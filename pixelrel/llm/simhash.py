@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, components, forest, stage, table
+from .common import attach, broadcast_if_small, components, forest, stage, table
 
 SHINGLE = 4
 BITS_APART = 4
@@ -56,15 +55,14 @@ def _set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(_digests(text, shingle))
 
 
-#: Members of a large group of near copies are compared again and again: at most 2048 short texts stay at hand.
-_short_set = lru_cache(maxsize=2048)(_set)
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
 def similarity(a: str | None, b: str | None, shingle: int) -> float:
     """Jaccard similarity of the sets of shingles; 1 for two texts without words."""
-    x, y = ((_short_set if len(t or "") < 20_000 else _set)(t, shingle) for t in (a, b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+    return _jaccard(_set(a, shingle), _set(b, shingle))
 
 
 def sketch(digests: np.ndarray) -> bytes:
@@ -212,24 +210,42 @@ def _emit_segment_keys(least: float):
     return emit
 
 
-def _candidates(bits: int, reach: int | None, minima: int):
+#: Words of the texts a block of candidate pairs may hold on each side, and rows at most.
+BLOCK_WORDS, BLOCK_ROWS = 131_072, 64
+
+
+def _candidates(bits: int, reach: int | None, minima: int, least: float):
     """Pairs of nodes with a common key, at most ``bits`` apart, of different roots and agreeing in ``minima`` of the eight bytes of ``mini``; rows sorted by key and fingerprint.
 
-    With ``reach`` only rows that many places apart at most are compared: about as many pairs as rows.
+    With ``reach`` only rows that many places apart at most are compared: about as many pairs as rows. A key's rows are cut into tiles
+    of bounded size; ``tile_a`` and ``tile_b`` name those of the pair.
     """
 
-    def pairs(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray, minis: np.ndarray) -> pd.DataFrame:
-        u64, live, lag, us, vs = fps.view(np.uint64), np.arange(len(keys)), 1, [ids[:0]], [ids[:0]]
+    def pairs(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray, minis: np.ndarray) -> Iterator[pd.DataFrame]:
+        u64, live, lag, held, many = fps.view(np.uint64), np.arange(len(keys)), 1, [], 0
+        first = np.searchsorted(keys, keys)
+        words = (1 / least) ** ((keys >> 14) + 1.0)
+        tile = (np.arange(len(keys)) - first) // np.clip(BLOCK_WORDS // words, 1, BLOCK_ROWS).astype(np.int64)
+
+        def out() -> pd.DataFrame:
+            at, to = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            low, high = np.minimum(ids[at], ids[to]), np.maximum(ids[at], ids[to])
+            return pd.DataFrame({"a": low, "b": high, "key": keys[at], "tile_a": tile[at], "tile_b": tile[to]}).sort_values("key").drop_duplicates(["a", "b"])
+
         while len(live) and lag <= (reach or lag):
             live = live[live + lag < len(keys)]
             live = live[keys[live] == keys[live + lag]]
             hit = live[(roots[live] != roots[live + lag]) & (np.bitwise_count(u64[live] ^ u64[live + lag]) <= bits)]
             hit = hit[((minis[hit] ^ minis[hit + lag]).view(np.uint8).reshape(-1, 8) == 0).sum(1) >= minima]
-            us.append(ids[hit])
-            vs.append(ids[hit + lag])
+            held.append((hit, hit + lag))
+            many += len(hit)
             lag += 1
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}).drop_duplicates()
+            if many > 1_000_000:
+                yield out()
+                many = 0
+        if held:
+            yield out()
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [np.zeros(0, np.int64)] * 5
@@ -237,14 +253,77 @@ def _candidates(bits: int, reach: int | None, minima: int):
             held = [np.concatenate([h, pdf[c].to_numpy().astype(np.int64)]) for h, c in zip(held, ("key", "fp", "node", "root", "mini"))]
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if cut > 100_000:
-                yield pairs(*[h[:cut] for h in held])
+                yield from pairs(*[h[:cut] for h in held])
                 held = [h[cut:] for h in held]
         if len(held[0]):
-            yield pairs(*held)
+            yield from pairs(*held)
 
     return match
 
 
+def _in_blocks(pairs: DataFrame, values: DataFrame, test, joined: bool) -> DataFrame:
+    """Those of ``pairs`` (a, b, block) whose ``values`` (node, value) pass ``test(value, value)``.
+
+    A value travels once to each block that needs it, not once per pair. ``test`` gets values prepared by
+    ``test.prepare``. With ``joined`` pairs that earlier ones of their block connect are left out, as links would gain nothing.
+    """
+    member = pairs.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
+    member = values.join(broadcast_if_small(member, 2_000_000), "node")
+    rows = member.select("block", F.col("node").alias("a"), F.lit(-1).cast("long").alias("b"), "value")
+    rows = rows.union(pairs.select("block", "a", "b", F.lit(None).cast(values.schema["value"].dataType)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A block's values, with -1 for b, come before its pairs."""
+        here, at, up = None, {}, {}
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        for pdf in batches:
+            found = []
+            for block, a, b, value in zip(*(pdf[c].tolist() for c in ("block", "a", "b", "value"))):
+                if block != here:
+                    here, at, up = block, {}, {}
+                if b < 0:
+                    at[a] = test.prepare(value)
+                elif not (joined and top(a) == top(b)) and test(at[a], at[b]):
+                    found.append((a, b, block))
+                    if joined:
+                        up[top(a)] = top(b)
+            yield pd.DataFrame(found, columns=["a", "b", "block"])
+
+    ordered = rows.repartition("block").sortWithinPartitions("block", "b", "a")
+    return ordered.mapInPandas(run, "a long, b long, block long")
+
+
+class _Sketches:
+    """Two sketches agree in ``floor`` bytes at least."""
+
+    def __init__(self, floor: int):
+        self.floor = floor
+
+    def prepare(self, value: bytes) -> np.ndarray:
+        return np.frombuffer(value, np.uint8)
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> bool:
+        return np.count_nonzero(x == y) >= self.floor
+
+
+class _Texts:
+    """The shingles of two texts are as similar as ``least``."""
+
+    def __init__(self, shingle: int, least: float):
+        self.shingle, self.least = shingle, least
+
+    def prepare(self, value: str | None) -> np.ndarray:
+        return _set(value, self.shingle)
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> bool:
+        return _jaccard(x, y) >= self.least
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row, whole texts."""
 
@@ -293,7 +372,7 @@ def _verified(docs: DataFrame, shingle: int, bits: int, least: float) -> DataFra
     minima = max(int(8 * least + 1e-9) - 3, 0)
     floor = int(64 * least * 3 / 4)
 
-    @F.pandas_udf("fp long, node long, size int, sketch binary, mini long")
+    @F.pandas_udf("fp long, words long, size int, sketch binary, mini long")
     def profile(text: pd.Series) -> pd.DataFrame:
         import xxhash
 
@@ -304,40 +383,31 @@ def _verified(docs: DataFrame, shingle: int, bits: int, least: float) -> DataFra
             made = sketch(distinct)
             return np.uint64(_majority(d)).astype(np.int64), np.uint64(xxhash.xxh64_intdigest(words)).astype(np.int64), len(distinct), made, int.from_bytes(made[:8], "little", signed=True)
 
-        return pd.DataFrame([one(t) for t in text], columns=["fp", "node", "size", "sketch", "mini"])
-
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y, shingle) for x, y in zip(a, b)], dtype=float)
-
-    @F.pandas_udf("int")
-    def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, 64) for s in (a, b))
-        return pd.Series((x == y).sum(1).astype(np.int32))
+        return pd.DataFrame([one(t) for t in text], columns=["fp", "words", "size", "sketch", "mini"])
 
-    rows = stage(docs.withColumn("_p", profile("text")).select("doc_id", "text", "_p.*"), "profiles")
-    nodes = stage(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini"), F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
+    rows = docs.withColumn("_p", profile("text")).select("doc_id", "text", "_p.*", F.monotonically_increasing_id().alias("row"))
+    rows = stage(rows, "profiles")
+    nodes = rows.groupBy("words").agg(F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("fp", "size", "sketch", "mini")], F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    nodes = stage(nodes, "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 1
 
     def compared(rooted: DataFrame, reach: int | None) -> DataFrame:
-        keyed = rooted.mapInPandas(_emit_segment_keys(least), "key int, fp long, node long, root long, mini long")
-        pairs = stage(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_candidates(bits, reach, minima), "a long, b long").distinct(), "candidates")
-        sketches = [nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab"]
-        pairs = pairs.join(sketches[0], "a").join(sketches[1], "b").where(agreeing("sketch_a", "sketch_b") >= floor)
-        pairs = stage(pairs.select("a", "b"), "pairs")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = stage(rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-        left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        return stage(pairs.join(left, "a").join(right, "b").where(alike("text_a", "text_b") >= least).select("a", "b"), "links")
+        keyed = rooted.mapInPandas(_emit_segment_keys(least), "key long, fp long, node long, root long, mini long")
+        found = keyed.repartition("key").sortWithinPartitions("key", "fp", "node").mapInPandas(_candidates(bits, reach, minima, least), "a long, b long, key long, tile_a long, tile_b long")
+        # Each pair belongs to its least key, so the pairs of a group of copies share few blocks.
+        pairs = found.groupBy("a", "b").agg(F.min(F.struct("key", "tile_a", "tile_b")).alias("at")).select("a", "b", F.xxhash64("at.key", "at.tile_a", "at.tile_b").alias("block"))
+        pairs = stage(_in_blocks(stage(pairs, "candidates"), nodes.select("node", F.col("sketch").alias("value")), _Sketches(floor), False), "pairs")
+        texts = rows.select(F.col("row").alias("node"), F.col("text").alias("value"))
+        return stage(_in_blocks(pairs, texts, _Texts(shingle, least), True).select("a", "b"), "links")
 
     links = compared(nodes.select("fp", "size", "node", "mini", F.col("node").alias("root")), 1)
     roots = components(links)
     rooted = nodes.join(roots, "node", "left").select("fp", "size", "node", "mini", F.coalesce("root", "node").alias("root"))
     roots = components(links.union(compared(stage(rooted, "rooted"), None)))
-    tagged = nodes.join(roots, "node", "left").select("node", "low", "n", F.coalesce("root", "node").alias("root"))
+    tagged = nodes.join(roots, "node", "left").select("words", "low", "n", F.coalesce("root", "node").alias("root"))
     smallest = tagged.groupBy("root").agg(F.min("low").alias("component_id"))
-    final = stage(tagged.join(smallest, "root").select("node", "component_id", "n"), "components")
-    return attach(rows.select("doc_id", "fp", "node"), final, "node", "n", total).select("doc_id", "fp", "component_id")
+    final = stage(tagged.join(smallest, "root").select("words", "component_id", "n"), "components")
+    return attach(rows.select("doc_id", "fp", "words"), final, "words", "n", total).select("doc_id", "fp", "component_id")
 
 
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
