@@ -210,3 +210,27 @@ def match_symbols(length: Column, distance: Column) -> dict[str, Column]:
     (lb, le), (db, de) = bucket(length - 3, 2), bucket(distance - 1, 1)
     top = length == 258
     return {"length_symbol": F.when(top, 285).otherwise(257 + lb).cast("long"), "length_bits": F.when(top, 0).otherwise(le).cast("long"), "distance_symbol": db, "distance_bits": de}
+
+
+def code_length_runs(lengths: DataFrame, key: str, position: str, value: str) -> DataFrame:
+    """Run-length symbols of code lengths per key, in order: (key, start, place, symbol, extra, bits).
+
+    ``start`` is the position of the run, ``place`` the symbol's number in it. Runs of zeros become 18 (11 to 138), then 17 (3 to 10) or plain zeros;
+    others their value once, then 16 (3 to 6 repeats) or the plain value.
+    """
+    order = Window.partitionBy(key).orderBy(position)
+    fresh = F.coalesce((F.col(value) != F.lag(value).over(order)).cast("int"), F.lit(1))
+    d = lengths.withColumn("_run", fresh).withColumn("_run", F.sum("_run").over(order))
+    runs = d.groupBy(key, "_run").agg(F.min(position).alias("start"), F.first(value).alias("v"), F.count("*").alias("n"))
+
+    def symbol(s, extra, bits: int) -> Column:
+        return F.struct(F.lit(s).cast("int").alias("symbol"), F.lit(extra).cast("int").alias("extra"), F.lit(bits).alias("bits"))
+
+    plain, zero = symbol(F.col("v"), 0, 0), F.col("v") == 0
+    left = F.when(zero, F.col("n") % 138).otherwise((F.col("n") - 1) % 6)
+    whole = F.when(zero, F.floor(F.col("n") / 138)).otherwise(F.floor((F.col("n") - 1) / 6)).cast("int")
+    full = F.when(zero, symbol(18, 127, 7)).otherwise(symbol(16, 3, 2))
+    part = F.when(~zero, symbol(16, left - 3, 2)).when(left >= 11, symbol(18, left - 11, 7)).otherwise(symbol(17, left - 3, 3))
+    rest = F.when(left >= 3, F.array(part)).otherwise(F.array_repeat(plain, left.cast("int")))
+    symbols = F.concat(F.array_repeat(plain, F.when(zero, 0).otherwise(1)), F.array_repeat(full, whole), rest)
+    return runs.select(key, "start", F.posexplode(symbols).alias("place", "s")).select(key, "start", "place", "s.*")

@@ -207,3 +207,24 @@ def transparency(entries: DataFrame, order: str = "new_idx") -> DataFrame:
 def sized_palette(entries: Column, n: int) -> Column:
     """The first ``n`` entries; a shorter palette is filled up with its first."""
     return F.concat(F.slice(entries, 1, n), F.array_repeat(F.element_at(entries, 1), F.greatest(F.lit(n) - F.size(entries), F.lit(0))))
+
+
+def ordered_threshold() -> Column:
+    """0 to 63 of the 8x8 ordered matrix at x, y: the bits of x xor y and of y in turn, lowest first into the highest places."""
+    x, y = (F.col(c).cast("int") for c in "xy")
+    mixed = x.bitwiseXOR(y)
+    return sum((F.shiftright(v, k).bitwiseAND(F.lit(1)) * place for k in range(3) for v, place in ((mixed, 32 >> 2 * k), (y, 16 >> 2 * k))), F.lit(0))
+
+
+def ordered_dither(pixels: DataFrame, palette: list[Entry], threshold: float) -> DataFrame:
+    """``idx`` of the nearest palette entry, or the second where the nearest is further than ``threshold`` and its share of both squared distances exceeds the ordered matrix."""
+    own = F.col("a") * ALPHA_SCALE
+
+    def apart(p: Column) -> Column:
+        d = [F.col(f"ok_{n}") - p[n] for n in "lab"] + [own - p["t"]]
+        return F.struct(sum((x * x for x in d[1:]), d[0] * d[0]).alias("d"), p["idx"].alias("idx"))
+
+    near = with_oklab(pixels).withColumn("_near", F.array_sort(F.transform(_entries(palette), apart)))
+    best, second = F.get("_near", F.lit(0)), F.get("_near", F.lit(1))
+    swap = (best["d"] > threshold * threshold) & (ordered_threshold() / 64 < best["d"] / (best["d"] + second["d"]))
+    return near.withColumn("idx", F.when(swap, second["idx"]).otherwise(best["idx"])).drop("_near")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import analytics, content, geometry, pixels, tones
+from ..operators import analytics, content, geometry, metrics, pixels, tones
 from ..sources import images
 from ..sources.images import EMB_RGBA_SQL, emb_rgba
 
@@ -509,3 +509,53 @@ _docs("z15_quality", lambda d: d.select("page_id", names.quality(*[F.when(F.col(
 _docs("b05_parse_formats", lambda d: d.select("page_id", names.parse_formats(_pick(" png, JPG ,,webp", "gif,odd", " , ", "tiff")).alias("c")).select(
     "page_id", F.array_join("c.formats", ",").alias("formats"), "c.error"),
       "SELECT page_id, ['png,jpeg,webp', NULL, NULL, 'tiff'][page_id % 4 + 1] AS formats, [NULL, 'unknown format: odd', 'no format', NULL][page_id % 4 + 1] AS error FROM pages", "pages")
+
+# ---- ordered dithering, run lengths and error maps -------------------------------------------------------------------------------
+
+
+def _ordered_matrix(n: int) -> list[list[int]]:
+    """The ordered matrix by doubling, as the SQL uses it."""
+    if n == 1:
+        return [[0]]
+    half = _ordered_matrix(n // 2)
+    return [[4 * half[y % (n // 2)][x % (n // 2)] + [[0, 2], [3, 1]][y // (n // 2)][x // (n // 2)] for x in range(n)] for y in range(n)]
+
+
+_NEAR = (f"(SELECT p.image_id, p.x, p.y, list(struct_pack(d := {{d}}, i := q.i) ORDER BY {{d}}, q.i) AS l FROM {_lab_sql('emb_rgba')} p CROSS JOIN {_ENTRIES} q GROUP BY p.image_id, p.x, p.y)").format(
+    d=" + ".join(f"(p.ok_{n} - q.ok_{n}) * (p.ok_{n} - q.ok_{n})" for n in "lab") + f" + (p.a - q.a) * {_num(tones.ALPHA_SCALE)} * (p.a - q.a) * {_num(tones.ALPHA_SCALE)}")
+_image("q19_ordered_dither", lambda p: tones.ordered_dither(p, PALETTE, 0.05).select("image_id", "x", "y", "idx"),
+       f"SELECT image_id, x, y, CASE WHEN l[1].d > 0.05e0 * 0.05e0 AND {_ordered_matrix(8)}[CAST(y % 8 + 1 AS INTEGER)][CAST(x % 8 + 1 AS INTEGER)] / 64e0 < l[1].d / (l[1].d + l[2].d) THEN l[2].i ELSE l[1].i END AS idx FROM {_NEAR}")
+
+_LENGTH = "CASE WHEN i < doc_id % 180 THEN 0 ELSE (i {div} (1 + doc_id % 12)) % 3 END"
+_docs("y16_code_length_runs", lambda d: content.code_length_runs(d.selectExpr("doc_id", "explode(sequence(0L, 199 + doc_id % 100)) as i").selectExpr("doc_id", "i", f"{_LENGTH.format(div='div')} as len"), "doc_id", "i", "len"),
+      f"WITH c AS (SELECT doc_id, i, {_LENGTH.format(div='//')} AS v FROM (SELECT doc_id, unnest(range(200 + doc_id % 100)) AS i FROM documents)), "
+      "r AS (SELECT doc_id, v, min(i) AS start, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, v ORDER BY i) AS g FROM c) GROUP BY doc_id, v, g), "
+      "s AS (SELECT doc_id, start, CASE WHEN v = 0 THEN list_transform(range(n // 138), lambda k: [18, 127, 7]) || CASE WHEN n % 138 >= 11 THEN [[18, n % 138 - 11, 7]] WHEN n % 138 >= 3 THEN [[17, n % 138 - 3, 3]] ELSE list_transform(range(n % 138), lambda k: [0, 0, 0]) END "
+      "ELSE [[v, 0, 0]] || list_transform(range((n - 1) // 6), lambda k: [16, 3, 2]) || CASE WHEN (n - 1) % 6 >= 3 THEN [[16, (n - 1) % 6 - 3, 2]] ELSE list_transform(range((n - 1) % 6), lambda k: [v, 0, 0]) END END AS l FROM r), "
+      "u AS (SELECT doc_id, start, unnest(l) AS e, unnest(range(len(l))) AS place FROM s) "
+      "SELECT doc_id, start, CAST(place AS INTEGER) AS place, CAST(e[1] AS INTEGER) AS symbol, CAST(e[2] AS INTEGER) AS extra, CAST(e[3] AS INTEGER) AS bits FROM u")
+
+
+def _planes(p):
+    """Each colour of an image beside its coarser version, as values of 0 to 1."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("plane"), (F.col(c) / 255).alias("v1"), (F.expr(f"{c} div 32 * 32") / 255).alias("v2")) for c in _RGB]))
+    return p.select("image_id", "x", "y", each.alias("e")).select("image_id", "x", "y", "e.*")
+
+
+_PLANES = "(" + " UNION ALL ".join(f"SELECT image_id, x, y, '{c}' AS plane, {c} / 255e0 AS v1, {c} // 32 * 32 / 255e0 AS v2 FROM emb_rgba" for c in _RGB) + ")"
+_MOMENTS = ("(SELECT *, " + ", ".join(f"avg({v}) OVER w AS {n}" for n, v in (("mu1", "v1"), ("mu2", "v2"), ("s11", "v1 * v1"), ("s22", "v2 * v2"), ("s12", "v1 * v2")))
+            + f" FROM {_PLANES} WINDOW w AS (PARTITION BY image_id, plane, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))")
+
+
+def _pooled_sql(name: str, error: str) -> str:
+    return f"round(avg({error}), 6) + 0e0 AS {name}_mean, round(sqrt(sqrt(avg(power({error}, 4)))), 6) + 0e0 AS {name}_norm4"
+
+
+_image("m04_plane_products", lambda p: _rounded(metrics.plane_products(_planes(p), [("product", "v1", "v2")]), "product").select("image_id", "plane", "x", "y", "product"),
+       f"SELECT image_id, plane, x, y, round(v1 * v2, 6) + 0e0 AS product FROM {_PLANES}")
+_image("m06_structural_errors", lambda p: _rounded(metrics.structural_errors(metrics.row_moments(_planes(p), 2)), "ssim_mean", "ssim_norm4"),
+       f"SELECT image_id, plane, {_pooled_sql('ssim', 'd')} FROM (SELECT image_id, plane, greatest(1 - (1 - (mu1 - mu2) * (mu1 - mu2)) * (2 * (s12 - mu1 * mu2) + {_num(metrics.C2)}) "
+       f"/ (s11 - mu1 * mu1 + s22 - mu2 * mu2 + {_num(metrics.C2)}), 0) AS d FROM {_MOMENTS}) GROUP BY image_id, plane")
+_image("m07_edge_errors", lambda p: _rounded(metrics.edge_errors(metrics.row_moments(_planes(p), 2)), "artefact_mean", "artefact_norm4", "lost_mean", "lost_norm4"),
+       f"SELECT image_id, plane, {_pooled_sql('artefact', 'greatest(d, 0)')}, {_pooled_sql('lost', 'greatest(-d, 0)')} FROM "
+       f"(SELECT image_id, plane, (1 + abs(v2 - mu2)) / (1 + abs(v1 - mu1)) - 1 AS d FROM {_MOMENTS}) GROUP BY image_id, plane")
