@@ -228,3 +228,63 @@ def ordered_dither(pixels: DataFrame, palette: list[Entry], threshold: float) ->
     best, second = F.get("_near", F.lit(0)), F.get("_near", F.lit(1))
     swap = (best["d"] > threshold * threshold) & (ordered_threshold() / 64 < best["d"] / (best["d"] + second["d"]))
     return near.withColumn("idx", F.when(swap, second["idx"]).otherwise(best["idx"])).drop("_near")
+
+
+_COORDS = ["ok_l", "ok_a", "ok_b"]
+
+
+def palettes_of(images: DataFrame, palette: list[Entry]) -> DataFrame:
+    """The same first palette for every image_id of ``images``: (image_id, idx, ok_l, ok_a, ok_b, alpha)."""
+    entry = F.explode(F.transform(_entries(palette), lambda p: F.struct(p["idx"].cast("long").alias("idx"), *[p[n].alias(f"ok_{n}") for n in "lab"], F.round(p["t"] / ALPHA_SCALE).cast("long").alias("alpha"))))
+    return images.select("image_id").distinct().select("image_id", entry.alias("e")).select("image_id", "e.*")
+
+
+def refine_palettes(pixels: DataFrame, palettes: DataFrame, iterations: int, split_rounds: int = 0, least_move: float = 5e-4, stride: int = 1) -> DataFrame:
+    """k-means of each image's own palette (image_id, idx, ok_l, ok_a, ok_b, alpha; 256 entries at most) on every ``stride``-th pixel, with ``moves`` (max, mean) of each round.
+
+    In the first ``split_rounds`` rounds unused entries move beside the entries of largest error. An image whose entries all move less than
+    ``least_move`` is done. Images without a palette are left out; those without pixels keep theirs.
+    """
+    seen = with_oklab(pixels.where((F.col("y") * F.col("w") + F.col("x")) % stride == 0)).select("image_id", *_COORDS, "a", (F.col("a") * ALPHA_SCALE).alias("_t"))
+    now = palettes.withColumns({"live": F.lit(True), "moves": F.array().cast("array<struct<max_move:double,mean_move:double>>")})
+    for k in range(iterations):
+        now = _refined(seen, now, k < split_rounds, least_move)
+    return now.drop("live")
+
+
+def _refined(seen: DataFrame, now: DataFrame, split: bool, least_move: float) -> DataFrame:
+    packed = now.where("live").groupBy("image_id").agg(F.collect_list(F.struct("idx", *_COORDS, (F.col("alpha") * ALPHA_SCALE).alias("_t"))).alias("_p"))
+    parts = [*_COORDS, "_t"]
+
+    def apart(p: Column) -> Column:
+        d = [F.col(c) - p[c] for c in parts]
+        return F.struct(sum((x * x for x in d[1:]), d[0] * d[0]).alias("d"), p["idx"].alias("idx"))
+
+    near = seen.join(packed, "image_id").withColumn("idx", F.array_min(F.transform("_p", apart))["idx"])
+    sse = sum((F.sum(F.col(p) * F.col(p)) - F.sum(p) * F.sum(p) / F.count("*") for p in parts), F.lit(0.0))
+    step = near.groupBy("image_id", "idx").agg(*[F.avg(c).alias(f"_{c}") for c in _COORDS], F.round(F.avg("a")).cast("long").alias("_alpha"), F.count("*").alias("_n"), sse.alias("_sse"))
+    d = now.join(step, ["image_id", "idx"], "left")
+    far = [F.col(f"_{c}") - F.col(c) for c in _COORDS] + [(F.col("_alpha") - F.col("alpha")) * ALPHA_SCALE]
+    d = d.withColumn("_move", sum((x * x for x in far[1:]), far[0] * far[0]))
+    d = d.withColumns({c: F.coalesce(f"_{c}", c) for c in (*_COORDS, "alpha")})
+    image = Window.partitionBy("image_id")
+    d = d.withColumns({"_max": F.max("_move").over(image), "_mean": F.avg("_move").over(image), "_split": F.lit(False)})
+    if split:
+        kind = F.when(~F.col("live"), 2).when(F.col("_n").isNull(), 0).when(F.col("_sse") > 0, 1).otherwise(2)
+        d = d.withColumn("_kind", kind).withColumn("_rank", F.row_number().over(Window.partitionBy("image_id", "_kind").orderBy(F.desc("_sse"), "idx")))
+        half = F.greatest(F.sqrt(F.col("_sse") / F.col("_n")), F.lit(0.001)) / 2
+        gone, donors = (F.count_if(F.col("_kind") == k).over(image) for k in (0, 1))
+        d = d.withColumns({"_half": half, "_gone": gone, "_split": F.least(gone, donors) > 0})
+        # The entry of an empty slot's rank among the image's donors; a palette has 256 entries at most.
+        given = F.collect_list(F.when(F.col("_kind") == 1, F.struct(F.col("_rank").alias("rank"), (F.col("ok_l") - F.col("_half")).alias("ok_l"), "ok_a", "ok_b", "alpha"))).over(image)
+        d = d.withColumn("_given", F.when(F.col("_kind") == 0, F.get(F.sort_array(given), F.col("_rank") - 1)))
+        giving = (F.col("_kind") == 1) & (F.col("_rank") <= F.col("_gone"))
+        d = d.withColumn("ok_l", F.when(giving, F.col("ok_l") + F.col("_half")).otherwise(F.col("ok_l"))).withColumns({c: F.coalesce(F.col("_given")[c], F.col(c)) for c in (*_COORDS, "alpha")})
+    went = F.array_append("moves", F.struct(F.sqrt("_max").alias("max_move"), F.sqrt("_mean").alias("mean_move")))
+    still = F.col("live") & ((F.col("_max") >= least_move * least_move) | F.col("_split"))
+    return d.select("image_id", "idx", *_COORDS, "alpha", F.coalesce(still, F.lit(False)).alias("live"), F.when(F.col("live") & F.col("_max").isNotNull(), went).otherwise(F.col("moves")).alias("moves"))
+
+
+def refinement_trace(refined: DataFrame) -> DataFrame:
+    """Per image and round (from 1) the largest and mean move of its entries."""
+    return refined.groupBy("image_id").agg(F.first("moves").alias("moves")).select("image_id", F.posexplode("moves").alias("round", "m")).select("image_id", (F.col("round") + 1).alias("round"), "m.*")

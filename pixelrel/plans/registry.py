@@ -559,3 +559,40 @@ _image("m06_structural_errors", lambda p: _rounded(metrics.structural_errors(met
 _image("m07_edge_errors", lambda p: _rounded(metrics.edge_errors(metrics.row_moments(_planes(p), 2)), "artefact_mean", "artefact_norm4", "lost_mean", "lost_norm4"),
        f"SELECT image_id, plane, {_pooled_sql('artefact', 'greatest(d, 0)')}, {_pooled_sql('lost', 'greatest(-d, 0)')} FROM "
        f"(SELECT image_id, plane, (1 + abs(v2 - mu2)) / (1 + abs(v1 - mu1)) - 1 AS d FROM {_MOMENTS}) GROUP BY image_id, plane")
+
+
+def _refined_sql(rounds: int, split: bool) -> str:
+    """CTEs p0 (first palettes) to p<rounds>, each with the squared moves of its round."""
+    scale, coords = _num(tones.ALPHA_SCALE), ("ok_l", "ok_a", "ok_b")
+    out = [f"px AS (SELECT *, a * {scale} AS t FROM {_lab_sql('emb_rgba')})",
+           f"p0 AS (SELECT image_id, i AS idx, ok_l, ok_a, ok_b, a AS alpha, true AS live FROM (SELECT DISTINCT image_id FROM px) CROSS JOIN {_ENTRIES})"]
+    dist = " + ".join(f"(x.{c} - q.{c}) * (x.{c} - q.{c})" for c in coords) + f" + (x.t - q.alpha * {scale}) * (x.t - q.alpha * {scale})"
+    sse = " + ".join(f"(sum({p} * {p}) - sum({p}) * sum({p}) / count(*))" for p in (*coords, "t"))
+    for k in range(1, rounds + 1):
+        move = " + ".join(f"(s.{c} - p.{c}) * (s.{c} - p.{c})" for c in coords) + f" + (s.alpha - p.alpha) * {scale} * (s.alpha - p.alpha) * {scale}"
+        out += [
+            f"s{k} AS (SELECT image_id, idx, " + ", ".join(f"avg({c}) AS {c}" for c in coords) + f", CAST(round(avg(a)) AS BIGINT) AS alpha, count(*) AS n, {sse} AS sse FROM "
+            f"(SELECT x.image_id, x.x, x.y, any_value(x.ok_l) AS ok_l, any_value(x.ok_a) AS ok_a, any_value(x.ok_b) AS ok_b, any_value(x.t) AS t, any_value(x.a) AS a, min_by(q.idx, struct_pack(d := {dist}, i := q.idx)) AS idx "
+            f"FROM px x JOIN p{k - 1} q ON q.image_id = x.image_id AND q.live GROUP BY x.image_id, x.x, x.y) GROUP BY image_id, idx)",
+            f"m{k} AS (SELECT p.image_id, p.idx, p.live, " + ", ".join(f"coalesce(s.{c}, p.{c}) AS {c}" for c in (*coords, "alpha")) + f", n, sse, {move} AS move, "
+            f"CASE WHEN NOT p.live THEN 2 WHEN n IS NULL THEN 0 WHEN sse > 0 THEN 1 ELSE 2 END AS kind, greatest(sqrt(sse / n), 0.001e0) / 2 AS half FROM p{k - 1} p LEFT JOIN s{k} s USING (image_id, idx))",
+            f"r{k} AS (SELECT *, row_number() OVER (PARTITION BY image_id, kind ORDER BY sse DESC, idx) AS rnk, count(*) FILTER (kind = 0) OVER (PARTITION BY image_id) AS gone, "
+            f"count(*) FILTER (kind = 1) OVER (PARTITION BY image_id) AS donors, max(move) OVER (PARTITION BY image_id) AS top, avg(move) OVER (PARTITION BY image_id) AS mean FROM m{k})"]
+        live = "r.live AND r.top >= 5e-4 * 5e-4"
+        if split:
+            out.append(f"p{k} AS (SELECT r.image_id, r.idx, CASE WHEN r.kind = 1 AND r.rnk <= r.gone THEN r.ok_l + r.half ELSE coalesce(d.ok_l - d.half, r.ok_l) END AS ok_l, coalesce(d.ok_a, r.ok_a) AS ok_a, coalesce(d.ok_b, r.ok_b) AS ok_b, "
+                       f"coalesce(d.alpha, r.alpha) AS alpha, r.live AND (r.top >= 5e-4 * 5e-4 OR (r.gone > 0 AND r.donors > 0)) AS live FROM r{k} r LEFT JOIN r{k} d ON r.kind = 0 AND d.kind = 1 AND d.image_id = r.image_id AND d.rnk = r.rnk)")
+        else:
+            out.append(f"p{k} AS (SELECT image_id, idx, ok_l, ok_a, ok_b, alpha, {live} AS live FROM r{k} r)")
+    return ", ".join(o.replace(" AS (", " AS MATERIALIZED (", 1) for o in out)
+
+
+def _refine(p, split: int):
+    return tones.refine_palettes(p, tones.palettes_of(p, PALETTE), 2, split)
+
+
+QUERIES["q05_split_empty"] = lambda spark, sf_dir: _rounded(_refine(emb_rgba(spark, sf_dir), 2).drop("moves"), *_LAB)
+SQL["q05_split_empty"] = f"WITH {EMB_RGBA_SQL}, {_refined_sql(2, True)} SELECT image_id, idx, " + ", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in _LAB) + ", alpha FROM p2"
+QUERIES["q17_refine_trace"] = lambda spark, sf_dir: _rounded(tones.refinement_trace(_refine(emb_rgba(spark, sf_dir), 0)), "max_move", "mean_move")
+SQL["q17_refine_trace"] = f"WITH {EMB_RGBA_SQL}, {_refined_sql(2, False)} " + " UNION ALL ".join(
+    f"SELECT image_id, {k} AS round, round(sqrt(any_value(top)), 6) + 0e0 AS max_move, round(sqrt(any_value(mean)), 6) + 0e0 AS mean_move FROM r{k} WHERE live GROUP BY image_id" for k in (1, 2))
