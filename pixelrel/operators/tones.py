@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .geometry import RGBA, gaussian, resample
+from .lineage import settled
 
 # Published OKLab matrices (linear sRGB to cone response, cone response to Lab), luma weights.
 TO_LMS = [[0.4122214708, 0.5363325363, 0.0514459929], [0.2119034982, 0.6806995451, 0.1073969566], [0.0883024619, 0.2817188376, 0.6299787005]]
@@ -248,7 +249,8 @@ def refine_palettes(pixels: DataFrame, palettes: DataFrame, iterations: int, spl
     seen = with_oklab(pixels.where((F.col("y") * F.col("w") + F.col("x")) % stride == 0)).select("image_id", *_COORDS, "a", (F.col("a") * ALPHA_SCALE).alias("_t"))
     now = palettes.withColumns({"live": F.lit(True), "moves": F.array().cast("array<struct<max_move:double,mean_move:double>>")})
     for k in range(iterations):
-        now = _refined(seen, now, k < split_rounds, least_move)
+        # A round reads its predecessor twice, so without a written table the plan would double each time.
+        now = _refined(seen, settled(now) if k else now, k < split_rounds, least_move)
     return now.drop("live")
 
 
