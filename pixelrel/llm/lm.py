@@ -133,7 +133,7 @@ class _Portion:
         prev[1:] = h[:-1]
         prev[self.first] = START
         pairs, of = np.unique(_mix(_mix(prev) + h), return_inverse=True)
-        mark = (_mix(h ^ U(0x2545F4914F6CDD1D)) >> U(32)) | U(1)
+        mark = np.maximum(_mix(h ^ U(0x2545F4914F6CDD1D)) >> U(32), U(1))
         after = np.empty_like(mark)
         after[:-1] = mark[1:]
         after[self.first + self.sizes - 1] = NONE
