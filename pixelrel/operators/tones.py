@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .geometry import RGBA, gaussian, resample
-from .lineage import settled
+from .lineage import Rounds
 
 # Published OKLab matrices (linear sRGB to cone response, cone response to Lab), luma weights.
 TO_LMS = [[0.4122214708, 0.5363325363, 0.0514459929], [0.2119034982, 0.6806995451, 0.1073969566], [0.0883024619, 0.2817188376, 0.6299787005]]
@@ -136,12 +136,15 @@ def from_oklab(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns(dict(zip("rgb", map(encoded, rgb))) | {"a": F.lit(255).cast("long")})
 
 
-def with_xyb(pixels: DataFrame) -> DataFrame:
-    """Positive XYB planes: shifted and scaled so that no value is below zero."""
-    rgb = [linear(F.col(c)) for c in "rgb"]
-    l, m, s = (F.cbrt(_dot(row, rgb) + XYB_BIAS) - XYB_BIAS ** (1 / 3) for row in XYB)  # noqa: E741
+def xyb_planes(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Positive XYB of linear colours: shifted and scaled so that no value is below zero."""
+    l, m, s = (F.cbrt(_dot(row, [r, g, b]) + XYB_BIAS) - XYB_BIAS ** (1 / 3) for row in XYB)  # noqa: E741
     x, y = (l - m) / 2, (l + m) / 2
-    return pixels.withColumns({"xyb_x": x * 14 + 0.42, "xyb_y": y + 0.01, "xyb_b": (s - y) + 0.55})
+    return x * 14 + 0.42, y + 0.01, (s - y) + 0.55
+
+
+def with_xyb(pixels: DataFrame) -> DataFrame:
+    return pixels.withColumns(dict(zip(("xyb_x", "xyb_y", "xyb_b"), xyb_planes(*[linear(F.col(c)) for c in "rgb"]))))
 
 
 #: Alpha counts as a fourth coordinate: twice its share of 255.
@@ -240,17 +243,18 @@ def palettes_of(images: DataFrame, palette: list[Entry]) -> DataFrame:
     return images.select("image_id").distinct().select("image_id", entry.alias("e")).select("image_id", "e.*")
 
 
-def refine_palettes(pixels: DataFrame, palettes: DataFrame, iterations: int, split_rounds: int = 0, least_move: float = 5e-4, stride: int = 1) -> DataFrame:
+def refine_palettes(pixels: DataFrame, palettes: DataFrame, iterations: int, split_rounds: int = 0, least_move: float = 5e-4, stride: int = 1, weight: str | None = None) -> DataFrame:
     """k-means of each image's own palette (image_id, idx, ok_l, ok_a, ok_b, alpha; 256 entries at most) on every ``stride``-th pixel, with ``moves`` (max, mean) of each round.
 
-    In the first ``split_rounds`` rounds unused entries move beside the entries of largest error. An image whose entries all move less than
+    ``weight`` names a column of ``pixels`` (such as that of ``importance``): means and errors are weighed by it, and an entry whose pixels weigh nothing stays. In the first ``split_rounds`` rounds unused entries move beside the entries of largest error. An image whose entries all move less than
     ``least_move`` is done. Images without a palette are left out; those without pixels keep theirs.
     """
-    seen = with_oklab(pixels.where((F.col("y") * F.col("w") + F.col("x")) % stride == 0)).select("image_id", *_COORDS, "a", (F.col("a") * ALPHA_SCALE).alias("_t"))
+    seen = with_oklab(pixels.where((F.col("y") * F.col("w") + F.col("x")) % stride == 0)).select("image_id", *_COORDS, "a", (F.col("a") * ALPHA_SCALE).alias("_t"), (F.lit(1.0) if weight is None else F.col(weight)).alias("_w"))
+    rounds = Rounds(pixels.sparkSession)
     now = palettes.withColumns({"live": F.lit(True), "moves": F.array().cast("array<struct<max_move:double,mean_move:double>>")})
     for k in range(iterations):
         # A round reads its predecessor twice, so without a written table the plan would double each time.
-        now = _refined(seen, settled(now) if k else now, k < split_rounds, least_move)
+        now = _refined(seen, rounds.settle(now) if k else now, k < split_rounds, least_move)
     return now.drop("live")
 
 
@@ -263,8 +267,11 @@ def _refined(seen: DataFrame, now: DataFrame, split: bool, least_move: float) ->
         return F.struct(sum((x * x for x in d[1:]), d[0] * d[0]).alias("d"), p["idx"].alias("idx"))
 
     near = seen.join(packed, "image_id").withColumn("idx", F.array_min(F.transform("_p", apart))["idx"])
-    sse = sum((F.sum(F.col(p) * F.col(p)) - F.sum(p) * F.sum(p) / F.count("*") for p in parts), F.lit(0.0))
-    step = near.groupBy("image_id", "idx").agg(*[F.avg(c).alias(f"_{c}") for c in _COORDS], F.round(F.avg("a")).cast("long").alias("_alpha"), F.count("*").alias("_n"), sse.alias("_sse"))
+    total = F.sum("_w")
+    weighed = lambda v: F.sum(F.col("_w") * v)
+    sse = sum((weighed(F.col(p) * F.col(p)) - weighed(F.col(p)) * weighed(F.col(p)) / total for p in parts), F.lit(0.0))
+    step = near.groupBy("image_id", "idx").agg(
+        *[(weighed(F.col(c)) / total).alias(f"_{c}") for c in _COORDS], F.round(weighed(F.col("a")) / total).cast("long").alias("_alpha"), total.alias("_n"), sse.alias("_sse")).where("_n >= 1e-9")
     d = now.join(step, ["image_id", "idx"], "left")
     far = [F.col(f"_{c}") - F.col(c) for c in _COORDS] + [(F.col("_alpha") - F.col("alpha")) * ALPHA_SCALE]
     d = d.withColumn("_move", sum((x * x for x in far[1:]), far[0] * far[0]))
