@@ -99,3 +99,16 @@ def percentiles_by_band(rows: DataFrame, value: str, size: str, bounds: list[int
     band = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(size)))
     shares = [F.percentile(value, F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 99)]
     return rows.groupBy(band.alias("band")).agg(F.count("*").alias("n"), *shares, F.max(value).alias("largest"))
+
+
+def size_matrix(rows: DataFrame, key: str, path: str, stage: str, size: str) -> DataFrame:
+    """Sizes of two encoding paths side by side and what their gap is made of, from rows (key, path "A" or "B", stage, size).
+
+    Stages are "total", "idat" and "swapped" (the path's filtered rows packed by the other's compressor). filter_gap is what path B keeps above its rows packed
+    by A's compressor, deflate_gap what A's rows gain under B's, total_gap B's total less A's. The columns are fixed, so the pivot is one grouping; of
+    repeated cells the largest counts, a missing one leaves its figures null.
+    """
+    pick = lambda p, s: F.max(F.when((F.col(path) == p) & (F.col(stage) == s), F.col(size)))
+    wide = rows.groupBy(key).agg(*[pick(p, s).alias(f"{p.lower()}_{s}") for s in ("total", "idat", "swapped") for p in "AB"])
+    return wide.withColumns({
+        "filter_gap": F.col("b_total") - F.col("b_swapped"), "deflate_gap": F.col("a_swapped") - F.col("a_total"), "total_gap": F.col("b_total") - F.col("a_total")})

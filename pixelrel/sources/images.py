@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import format_of
@@ -35,6 +35,40 @@ def emb_rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Vectors whose mosaics are built apart: a mosaic has as many tiles at most.
+MOSAIC_BLOCK = 10_000
+MOSAIC_SQL = f"""
+tile AS MATERIALIZED (
+  SELECT coalesce(label, -1) + 1000 * (vec_id // {MOSAIC_BLOCK}) AS image_id, row_number() OVER (PARTITION BY coalesce(label, -1), vec_id // {MOSAIC_BLOCK} ORDER BY vec_id) - 1 AS place,
+    list_transform(embedding, lambda v: CAST(least(greatest(floor((CAST(v AS DOUBLE) + 1) * 127.5), 0), 255) AS BIGINT)) AS p FROM embeddings),
+frame AS MATERIALIZED (SELECT image_id, CAST(ceil(sqrt(count(*))) AS BIGINT) AS across, count(*) AS n FROM tile GROUP BY image_id),
+mosaic AS MATERIALIZED (
+  SELECT image_id, 8 * across AS w, 8 * ((n + across - 1) // across) AS h, 8 * (place % across) + i % 8 AS x, 8 * (place // across) + i // 8 AS y,
+    coalesce(p[i + 1], 0) AS r, coalesce(p[(i + 16) % 64 + 1], 0) AS g, coalesce(p[(i + 32) % 64 + 1], 0) AS b,
+    CASE WHEN p[(i + 48) % 64 + 1] >= 128 THEN CAST(255 AS BIGINT) ELSE coalesce(2 * p[(i + 48) % 64 + 1], 0) END AS a
+  FROM (SELECT *, unnest(range(64)) AS i FROM (SELECT *, unnest(range(across * ((n + across - 1) // across))) AS place FROM frame) LEFT JOIN tile USING (image_id, place)))
+"""
+
+
+def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image per label and block of ids: its vectors as 8x8 tiles in the order of their ids, row by row in a near-square frame whose spare tiles are clear."""
+    grey = F.transform("embedding", lambda v: F.least(F.greatest(F.floor((v.cast("double") + 1) * 127.5), F.lit(0)), F.lit(255)).cast("long"))
+    image = F.coalesce(F.col("label"), F.lit(-1)) + 1000 * F.expr(f"vec_id div {MOSAIC_BLOCK}")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(image.cast("long").alias("image_id"), "vec_id", grey.alias("p"))
+    # A window holds the vectors of one block at most.
+    tiles = vectors.withColumn("place", (F.row_number().over(Window.partitionBy("image_id").orderBy("vec_id")) - 1).cast("long"))
+    frames = tiles.groupBy("image_id").agg(F.ceil(F.sqrt(F.count("*"))).alias("across"), F.count("*").alias("n")).withColumn("down", F.expr("(n + across - 1) div across"))
+    cells = frames.withColumn("place", F.explode(F.expr("sequence(0L, across * down - 1)"))).join(tiles.select("image_id", "place", "p"), ["image_id", "place"], "left")
+    pixels = cells.withColumn("i", F.explode(F.expr("sequence(0, 63)")))
+
+    def channel(shift: int) -> Column:
+        return F.coalesce(F.element_at("p", (F.col("i") + shift) % 64 + 1), F.lit(0).cast("long"))
+
+    return pixels.select(
+        "image_id", (8 * F.col("across")).alias("w"), (8 * F.col("down")).alias("h"), F.expr("8 * (place % across) + i % 8").alias("x"), F.expr("8 * (place div across) + i div 8").alias("y"),
+        channel(0).alias("r"), channel(16).alias("g"), channel(32).alias("b"), F.when(channel(48) >= 128, F.lit(255)).otherwise(2 * channel(48)).cast("long").alias("a"))
+
+
 def scan(spark: SparkSession, folder: str, formats: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """(path, format, length) of the files below ``folder`` whose extension is known (or among ``formats``), by path, ``limit`` at most.
 
