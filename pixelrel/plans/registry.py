@@ -543,8 +543,19 @@ def _planes(p):
 
 
 _PLANES = "(" + " UNION ALL ".join(f"SELECT image_id, x, y, '{c}' AS plane, {c} / 255e0 AS v1, {c} // 32 * 32 / 255e0 AS v2 FROM emb_rgba" for c in _RGB) + ")"
-_MOMENTS = ("(SELECT *, " + ", ".join(f"avg({v}) OVER w AS {n}" for n, v in (("mu1", "v1"), ("mu2", "v2"), ("s11", "v1 * v1"), ("s22", "v2 * v2"), ("s12", "v1 * v2")))
-            + f" FROM {_PLANES} WINDOW w AS (PARTITION BY image_id, plane, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))")
+_TAPS = "(VALUES " + ", ".join(f"({k}, {_num(metrics.SMOOTH[abs(k)])})" for k in range(1 - len(metrics.SMOOTH), len(metrics.SMOOTH))) + ")"
+
+
+def moments_sql(cells: str, key: str = "image_id, plane") -> str:
+    """Moments over the full square of weights around each pixel, those outside the image missing."""
+    sums = ", ".join(f"sum(dx.f * dy.f * {v}) AS {n}" for n, v in (("mu1", "q.v1"), ("mu2", "q.v2"), ("s11", "q.v1 * q.v1"), ("s22", "q.v2 * q.v2"), ("s12", "q.v1 * q.v2")))
+    same = " AND ".join(f"q.{k} = p.{k}" for k in key.split(", "))
+    return (f"(SELECT {', '.join('p.' + k for k in key.split(', '))}, p.x, p.y, any_value(p.v1) AS v1, any_value(p.v2) AS v2, {sums} FROM {cells} p JOIN {_TAPS} dx(d, f) ON true JOIN {_TAPS} dy(d, f) ON true "
+            f"JOIN {cells} q ON {same} AND q.x = p.x + dx.d AND q.y = p.y + dy.d GROUP BY ALL)")
+
+
+_MOMENTS = moments_sql("cells")
+_CELLS = f", cells AS MATERIALIZED (SELECT * FROM {_PLANES}) "
 
 
 def _pooled_sql(name: str, error: str) -> str:
@@ -553,26 +564,26 @@ def _pooled_sql(name: str, error: str) -> str:
 
 _image("m04_plane_products", lambda p: _rounded(metrics.plane_products(_planes(p), [("product", "v1", "v2")]), "product").select("image_id", "plane", "x", "y", "product"),
        f"SELECT image_id, plane, x, y, round(v1 * v2, 6) + 0e0 AS product FROM {_PLANES}")
-_image("m06_structural_errors", lambda p: _rounded(metrics.structural_errors(metrics.row_moments(_planes(p), 2)), "ssim_mean", "ssim_norm4"),
-       f"SELECT image_id, plane, {_pooled_sql('ssim', 'd')} FROM (SELECT image_id, plane, greatest(1 - (1 - (mu1 - mu2) * (mu1 - mu2)) * (2 * (s12 - mu1 * mu2) + {_num(metrics.C2)}) "
+_image("m06_structural_errors", lambda p: _rounded(metrics.structural_errors(metrics.moments(_planes(p))), "ssim_mean", "ssim_norm4"),
+       f"{_CELLS}SELECT image_id, plane, {_pooled_sql('ssim', 'd')} FROM (SELECT image_id, plane, greatest(1 - (1 - (mu1 - mu2) * (mu1 - mu2)) * (2 * (s12 - mu1 * mu2) + {_num(metrics.C2)}) "
        f"/ (s11 - mu1 * mu1 + s22 - mu2 * mu2 + {_num(metrics.C2)}), 0) AS d FROM {_MOMENTS}) GROUP BY image_id, plane")
-_image("m07_edge_errors", lambda p: _rounded(metrics.edge_errors(metrics.row_moments(_planes(p), 2)), "artefact_mean", "artefact_norm4", "lost_mean", "lost_norm4"),
-       f"SELECT image_id, plane, {_pooled_sql('artefact', 'greatest(d, 0)')}, {_pooled_sql('lost', 'greatest(-d, 0)')} FROM "
+_image("m07_edge_errors", lambda p: _rounded(metrics.edge_errors(metrics.moments(_planes(p))), "artefact_mean", "artefact_norm4", "lost_mean", "lost_norm4"),
+       f"{_CELLS}SELECT image_id, plane, {_pooled_sql('artefact', 'greatest(d, 0)')}, {_pooled_sql('lost', 'greatest(-d, 0)')} FROM "
        f"(SELECT image_id, plane, (1 + abs(v2 - mu2)) / (1 + abs(v1 - mu1)) - 1 AS d FROM {_MOMENTS}) GROUP BY image_id, plane")
 
 
-def _refined_sql(rounds: int, split: bool) -> str:
-    """CTEs p0 (first palettes) to p<rounds>, each with the squared moves of its round."""
+def refined_sql(rounds: int, split: bool, first: str | None = None, weight: str = "1e0") -> str:
+    """``first`` gives the first palettes, ``weight`` that of a pixel. CTEs p0 (first palettes) to p<rounds>, each with the squared moves of its round."""
     scale, coords = _num(tones.ALPHA_SCALE), ("ok_l", "ok_a", "ok_b")
-    out = [f"px AS (SELECT *, a * {scale} AS t FROM {_lab_sql('emb_rgba')})",
-           f"p0 AS (SELECT image_id, i AS idx, ok_l, ok_a, ok_b, a AS alpha, true AS live FROM (SELECT DISTINCT image_id FROM px) CROSS JOIN {_ENTRIES})"]
+    out = [f"px AS (SELECT *, a * {scale} AS t, {weight} AS wt FROM {_lab_sql('emb_rgba')})",
+           f"p0 AS (SELECT image_id, i AS idx, ok_l, ok_a, ok_b, a AS alpha, true AS live FROM {first or f'(SELECT DISTINCT image_id FROM px) CROSS JOIN {_ENTRIES}'})"]
     dist = " + ".join(f"(x.{c} - q.{c}) * (x.{c} - q.{c})" for c in coords) + f" + (x.t - q.alpha * {scale}) * (x.t - q.alpha * {scale})"
-    sse = " + ".join(f"(sum({p} * {p}) - sum({p}) * sum({p}) / count(*))" for p in (*coords, "t"))
+    sse = " + ".join(f"(sum(wt * {p} * {p}) - sum(wt * {p}) * sum(wt * {p}) / sum(wt))" for p in (*coords, "t"))
     for k in range(1, rounds + 1):
         move = " + ".join(f"(s.{c} - p.{c}) * (s.{c} - p.{c})" for c in coords) + f" + (s.alpha - p.alpha) * {scale} * (s.alpha - p.alpha) * {scale}"
         out += [
-            f"s{k} AS (SELECT image_id, idx, " + ", ".join(f"avg({c}) AS {c}" for c in coords) + f", CAST(round(avg(a)) AS BIGINT) AS alpha, count(*) AS n, {sse} AS sse FROM "
-            f"(SELECT x.image_id, x.x, x.y, any_value(x.ok_l) AS ok_l, any_value(x.ok_a) AS ok_a, any_value(x.ok_b) AS ok_b, any_value(x.t) AS t, any_value(x.a) AS a, min_by(q.idx, struct_pack(d := {dist}, i := q.idx)) AS idx "
+            f"s{k} AS (SELECT image_id, idx, " + ", ".join(f"sum(wt * {c}) / sum(wt) AS {c}" for c in coords) + f", CAST(round(sum(wt * a) / sum(wt)) AS BIGINT) AS alpha, sum(wt) AS n, {sse} AS sse FROM "
+            f"(SELECT x.image_id, x.x, x.y, any_value(x.ok_l) AS ok_l, any_value(x.ok_a) AS ok_a, any_value(x.ok_b) AS ok_b, any_value(x.t) AS t, any_value(x.a) AS a, any_value(x.wt) AS wt, min_by(q.idx, struct_pack(d := {dist}, i := q.idx)) AS idx "
             f"FROM px x JOIN p{k - 1} q ON q.image_id = x.image_id AND q.live GROUP BY x.image_id, x.x, x.y) GROUP BY image_id, idx)",
             f"m{k} AS (SELECT p.image_id, p.idx, p.live, " + ", ".join(f"coalesce(s.{c}, p.{c}) AS {c}" for c in (*coords, "alpha")) + f", n, sse, {move} AS move, "
             f"CASE WHEN NOT p.live THEN 2 WHEN n IS NULL THEN 0 WHEN sse > 0 THEN 1 ELSE 2 END AS kind, greatest(sqrt(sse / n), 0.001e0) / 2 AS half FROM p{k - 1} p LEFT JOIN s{k} s USING (image_id, idx))",
@@ -592,7 +603,7 @@ def _refine(p, split: int):
 
 
 QUERIES["q05_split_empty"] = lambda spark, sf_dir: _rounded(_refine(emb_rgba(spark, sf_dir), 2).drop("moves"), *_LAB)
-SQL["q05_split_empty"] = f"WITH {EMB_RGBA_SQL}, {_refined_sql(2, True)} SELECT image_id, idx, " + ", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in _LAB) + ", alpha FROM p2"
+SQL["q05_split_empty"] = f"WITH {EMB_RGBA_SQL}, {refined_sql(2, True)} SELECT image_id, idx, " + ", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in _LAB) + ", alpha FROM p2"
 QUERIES["q17_refine_trace"] = lambda spark, sf_dir: _rounded(tones.refinement_trace(_refine(emb_rgba(spark, sf_dir), 0)), "max_move", "mean_move")
-SQL["q17_refine_trace"] = f"WITH {EMB_RGBA_SQL}, {_refined_sql(2, False)} " + " UNION ALL ".join(
+SQL["q17_refine_trace"] = f"WITH {EMB_RGBA_SQL}, {refined_sql(2, False)} " + " UNION ALL ".join(
     f"SELECT image_id, {k} AS round, round(sqrt(any_value(top)), 6) + 0e0 AS max_move, round(sqrt(any_value(mean)), 6) + 0e0 AS mean_move FROM r{k} WHERE live GROUP BY image_id" for k in (1, 2))

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from pixelrel.plans import registry
+from pixelrel.plans import queries as registry
 
 SF = "/root/testdata/sf0.001"
 
