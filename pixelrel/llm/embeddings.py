@@ -14,8 +14,8 @@ from .common import attach, components, forest, stage, table
 COSINE = 0.95
 TILE = 8192
 LEAD = 16
-SLACK = 1e-5
-AXES_SAMPLE = 20_000
+#: Axes are fitted on so many vectors at most, and for lengths up to ``AXES_DIM`` that a sixteenth of them has: a bounded number of cells reaches the driver.
+AXES_SAMPLE, AXES_DIM = 20_000, 1024
 RANGES = 1000
 
 
@@ -25,8 +25,16 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _slack(dim: int) -> float:
+    """More than a single-precision product of unit vectors of ``dim`` components is off: a rounding of 2^-24 a term and for each factor, doubled."""
+    return (dim + 8) * 2.0 ** -23
+
+
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Per vector length axes by falling variance, fitted on ``AXES_SAMPLE`` vectors at most; any orthonormal axes keep the comparison exact."""
+    """Per vector length axes by falling variance, fitted on ``AXES_SAMPLE`` vectors at most; any orthonormal axes keep the comparison exact.
+
+    Lengths that are long, or rare among those vectors, have none: the components as they are serve them.
+    """
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[int, np.ndarray] = {}
@@ -38,7 +46,10 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
             n = int(dim)
             yield pd.DataFrame({"dim": n, "cell": np.arange(n * n), "v": m.ravel()})
 
-    cells = vectors.limit(AXES_SAMPLE).mapInPandas(sums, "dim int, cell int, v double").groupBy("dim", "cell").agg(F.sum("v").alias("v")).toPandas()
+    sample = stage(vectors.limit(AXES_SAMPLE), "sample")
+    counts = {r["dim"]: r["count"] for r in sample.where(F.col("dim") <= AXES_DIM).groupBy("dim").count().collect()}
+    chosen = [d for d, n in counts.items() if 16 * n >= sum(counts.values())]
+    cells = sample.where(F.col("dim").isin(chosen)).mapInPandas(sums, "dim int, cell int, v double").groupBy("dim", "cell").agg(F.sum("v").alias("v")).toPandas()
     axes = {}
     for dim, g in cells.groupby("dim"):
         m = g.sort_values("cell")["v"].to_numpy().reshape(dim, dim)
@@ -46,21 +57,27 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     return axes
 
 
-def _compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, axes: np.ndarray, threshold: float, block: int = 1024):
+def _suffix_norms(x: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
+    """Norms of the components from each cut on, summed in double precision from the end and rounded up."""
+    tails = np.cumsum((x * x)[:, ::-1], axis=1)[:, ::-1]
+    return [np.nextafter((np.sqrt(tails[:, c]) * (1 + 1e-12)).astype(np.float32), np.float32(np.inf)) if c < x.shape[1] else np.zeros(len(x), np.float32) for c in cuts]
+
+
+def _compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, axes: np.ndarray | None, threshold: float, block: int = 1024):
     """(i, j) of pairs at or over ``threshold``.
 
     Components are added ``LEAD`` at a time in the order of the axes. After each step the residual products are bounded by the product of the
-    suffix norms; pairs that cannot reach the threshold stop there, the last ones are decided by whole cosines in double precision.
+    suffix norms (taken in double precision and rounded up, with a slack for single-precision products); pairs that cannot reach the threshold stop there, the last ones are decided by whole cosines in double precision.
     """
     u, v = _unit(left["embedding"]), _unit(right["embedding"])
-    a, b = (u @ axes).astype(np.float32), (v @ axes).astype(np.float32)
-    cuts = list(range(LEAD, a.shape[1], LEAD)) or [a.shape[1]]
-    norms = [[np.sqrt(np.maximum(1 - (x[:, :c] ** 2).sum(1), 0)) for c in cuts] for x in (a, b)]
+    turned = [u, v] if axes is None else [u @ axes, v @ axes]
+    cuts, slack = list(range(LEAD, u.shape[1], LEAD)) or [u.shape[1]], _slack(u.shape[1])
+    norms, (a, b) = [_suffix_norms(x, cuts) for x in turned], (x.astype(np.float32) for x in turned)
     # The first step is a matrix product for all pairs: one more column takes the bound into it.
     a1, b1 = (np.column_stack([x[:, :cuts[0]], n[0]]) for x, n in zip((a, b), norms))
     for i in range(0, len(a), block):
         for j in range(i if same else 0, len(b), block):
-            x, y = np.nonzero(a1[i:i + block] @ b1[j:j + block].T >= threshold - SLACK)
+            x, y = np.nonzero(a1[i:i + block] @ b1[j:j + block].T >= threshold - slack)
             x, y = x + i, y + j
             if same:
                 x, y = x[x < y], y[x < y]
@@ -69,7 +86,7 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, axes: np.ndarr
                 product = np.einsum("ij,ij->i", a[p, :cuts[0]], b[q, :cuts[0]])
                 for step, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:]), 1):
                     product += np.einsum("ij,ij->i", a[p, lo:hi], b[q, lo:hi])
-                    live = product + norms[0][step][p] * norms[1][step][q] >= threshold - SLACK
+                    live = product + norms[0][step][p] * norms[1][step][q] >= threshold - slack
                     p, q, product = p[live], q[live], product[live]
                 hit = np.einsum("ij,ij->i", u[p], v[q]) >= threshold
                 yield p[hit], q[hit]
@@ -81,14 +98,15 @@ def _tiled(nodes: DataFrame, axes: dict[int, np.ndarray], threshold: float, tile
     Tiles are ranges of the leading coordinate. Unit vectors of cosine ``threshold`` lie sqrt(2 - 2 * threshold) apart at most, and so do their
     coordinates: ranges further apart are never paired. Ranges of more than ``tile`` vectors (ties) are split by hash.
     """
-    held, reach = nodes.sparkSession.sparkContext.broadcast({d: x[:, 0] for d, x in axes.items()}), float(np.sqrt(max(2 - 2 * threshold, 0))) + SLACK
+    held, reach = nodes.sparkSession.sparkContext.broadcast({d: x[:, 0] for d, x in axes.items()}), float(np.sqrt(max(2 - 2 * threshold, 0))) + 1e-9
 
     @F.pandas_udf("double")
     def leading(dim: pd.Series, embedding: pd.Series) -> pd.Series:
         out = np.zeros(len(dim))
         for d in dim.unique():
             at = np.flatnonzero(dim == d)
-            out[at] = _unit(embedding.iloc[at]) @ held.value[int(d)]
+            u = _unit(embedding.iloc[at])
+            out[at] = u @ held.value[int(d)] if int(d) in held.value else u[:, 0]
         return pd.Series(out)
 
     placed = stage(nodes.select("dim", "node", "n", "embedding", leading("dim", "embedding").alias("c")), "leading")
@@ -118,7 +136,8 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE, tile: int = TILE
     Equal vectors are one node with a count, so copies cost one row per partition. Nodes lie in tiles of about ``tile`` by their
     leading coordinate, and every pair of tiles near enough (``_tiled``) is one task, which compares step by step (``_compare``) and emits
     link counts per node and a spanning forest. The comparison is exact; where tiles cannot be told apart its cost is the node count
-    squared, over the tile pairs. Null, zero, non-finite vectors, and vectors of differing lengths, link with nothing;
+    squared, over the tile pairs. Null, zero and non-finite vectors link with nothing, vectors of differing lengths not with
+    each other, whatever lengths there are;
     null-id rows keep a null component unless linked to an id; an empty table gives an empty result; other columns are ignored.
     """
     arr = F.col("embedding").cast("array<double>")
@@ -141,7 +160,7 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE, tile: int = TILE
         ids = left["node"].to_numpy() if same else np.concatenate([left["node"], right["node"]])
         n = left["n"].to_numpy() if same else np.concatenate([left["n"], right["n"]])
         shift, label, weight = 0 if same else len(left), np.arange(len(ids)), np.zeros(len(ids))
-        for p, q in _compare(left, right, same, held.value[int(key[0])], threshold):
+        for p, q in _compare(left, right, same, held.value.get(int(key[0])), threshold):
             q = q + shift
             weight += np.bincount(p, n[q], len(ids)) + np.bincount(q, n[p], len(ids))
             apart = label[p] != label[q]
