@@ -135,7 +135,8 @@ def link_tools(messages: DataFrame, schemas: Mapping[str, Mapping] | None = None
 
     Calls and results are joined by (conv_id, call id), so a conversation is never gathered in one task. ``link``
     of a result is "linked", "early" (no call with that id before it) or "orphan" (none at all); null for
-    other messages. Where an id is called twice the first call counts; repeated rows stay, each answered alike. ``level`` is
+    other messages. Messages are told apart by a number of their own, also
+    within one turn. Where an id is called twice the call of the first turn counts (a null turn last), of one turn that with the smallest list of dependencies; repeated rows stay, each answered alike. ``level`` is
     the topological level of the message's deepest call, or of the call a result answers; null on cycles. ``call_order`` lists the message's call ids in
     topological order (by level, then id; those on cycles last), comma-joined. Sorting by (level, turn) orders whole conversations. Calls of tools without a schema count as unknown, not as invalid;
     calls without an id as unlinkable. Messages of a null conversation link with nothing: their results are orphans. Long texts are read whole.
@@ -158,18 +159,21 @@ def link_tools(messages: DataFrame, schemas: Mapping[str, Mapping] | None = None
     def write(role: pd.Series, body: pd.Series) -> pd.Series:
         return pd.Series([canonical({"role": r or "", "content": b or ""}) for r, b in zip(role, body)], dtype=object)
 
-    rows = stage(messages.select("conv_id", "turn", "role", read("text").alias("p")).select("conv_id", "turn", "role", "p.*").withColumn("n_invalid", bad("calls")), "messages")
+    read_ = messages.select(F.monotonically_increasing_id().alias("message_no"), "conv_id", "turn", "role", read("text").alias("p"))
+    # The number is staged with the message, so it stays.
+    rows = stage(read_.select("message_no", "conv_id", "turn", "role", "p.*").withColumn("n_invalid", bad("calls")), "messages")
+    first = F.min(F.struct(F.col("turn").isNull().alias("late"), "turn", "c.deps"))
     calls = rows.select("conv_id", "turn", F.explode("calls").alias("c")).groupBy("conv_id", F.col("c.id").alias("id")).agg(
-        F.min("turn").alias("call_turn"), F.min_by("c.deps", "turn").alias("deps"))
+        F.min("turn").alias("call_turn"), first["deps"].alias("deps"))
     calls = stage(calls, "calls")
     levels = _levels(calls)
     answered = rows.where("result_id is not null").groupBy("conv_id", F.col("result_id").alias("id")).agg(F.max("turn").alias("last_result"))
     known = stage(calls.drop("deps").join(levels, ["conv_id", "id"], "left").join(answered, ["conv_id", "id"], "left"), "known")
-    per_message = rows.select("conv_id", "turn", F.explode("calls.id").alias("id")).distinct().join(known, ["conv_id", "id"]).groupBy("conv_id", "turn").agg(
+    per_message = rows.select("message_no", "conv_id", "turn", F.explode("calls.id").alias("id")).distinct().join(known, ["conv_id", "id"]).groupBy("message_no").agg(
         F.count_if(F.col("last_result") > F.col("turn")).alias("n_answered"), F.max("level").cast("int").alias("call_level"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("level", F.lit(2**62)), "id"))), lambda x: x["id"]), ",").alias("call_order"))
     plain = rows.where((F.size("calls") == 0) & F.col("result_id").isNull()).withColumn("n_answered", F.lit(0).cast("long")).withColumn("call_level", F.lit(None).cast("int")).withColumn("call_order", F.lit(None).cast("string"))
-    active = rows.where((F.size("calls") > 0) | F.col("result_id").isNotNull()).join(per_message, ["conv_id", "turn"], "left")
+    active = rows.where((F.size("calls") > 0) | F.col("result_id").isNotNull()).join(per_message, "message_no", "left")
     results = known.select("conv_id", F.col("id").alias("result_id"), "call_turn", F.col("level").cast("int").alias("result_level"))
     every = active.unionByName(plain)
     linked = every.where("result_id is not null").join(results, ["conv_id", "result_id"], "left").unionByName(every.where("result_id is null"), allowMissingColumns=True)

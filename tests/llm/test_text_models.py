@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -101,9 +102,8 @@ def brute_alignment(texts):
             out.append(None)
             continue
         ar, br = spread([own.a_bytes[i] for i in a]), spread([own.b_bytes[i] for i in b])
-        step = max(1, len(ar) // 200)
-        near = lambda i: range(max(0, int(i * len(br) / len(ar)) - 60 * step), min(len(br), int(i * len(br) / len(ar)) + 60 * step))  # noqa: E731, B023
-        links = Counter((a[i], b[j]) for i, (lo, hi) in enumerate(ar) for j in near(i) if lo < br[j][1] and br[j][0] < hi)
+        starts, ends = [x[0] for x in br], [x[1] for x in br]
+        links = Counter((a[i], b[j]) for i, (lo, hi) in enumerate(ar) for j in range(bisect_right(ends, lo), bisect_left(starts, hi)))
         cuts, said, i, j = sorted({x[1] for x in ar} & {x[1] for x in br}), [], 0, 0
         for cut in cuts:
             i2, j2 = i, j
