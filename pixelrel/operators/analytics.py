@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def compare_to_baseline(results: DataFrame, baseline: DataFrame, limit: float = 1.15) -> DataFrame:
     """Ratio of ``bytes`` to the baseline's of the same name; rows without a baseline never fail."""
@@ -22,21 +26,39 @@ def baseline_totals(compared: DataFrame, old: str = "baseline_bytes", new: str =
 def pareto_frontier(rows: DataFrame, group: str, size: str, score: str) -> DataFrame:
     """Rows of each group that no other row of it beats: at most the size and at least the score, one strictly. Equal rows all stand.
 
-    Only the best score of each size can stand, so sizes collapse to one row each before the window; the rows that reach it are joined back.
+    Only the best score of each size can stand, so sizes collapse to one row each first; maxima run over ranges of the sizes (``running``), so no group is one task's. The rows that reach them are joined back.
     """
     best = rows.groupBy(group, size).agg(F.max(score).alias(score))
-    before = Window.partitionBy(group).orderBy(size).rowsBetween(Window.unboundedPreceding, -1)
-    standing = best.withColumn("_top", F.max(score).over(before)).where(F.col("_top").isNull() | (F.col(score) > F.col("_top"))).drop("_top")
+    standing = running(best, group, [size], maxima={"_top": score}).where(F.col("_top").isNull() | (F.col(score) > F.col("_top"))).drop("_top")
     return rows.join(standing, [group, size, score], "left_semi")
 
 
+def _counted(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, n, upto, total): distinct values with their rows, running over ranges of the values, and the rows of their group; null values are none."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    totals = counts.groupBy(F.col(group).alias("_g")).agg(F.sum("n").alias("total"))
+    return running(counts, group, [value], sums={"upto": "n"}).join(totals, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+
+def percentiles(rows: DataFrame, group: str, value: str, shares: Mapping[str, float]) -> DataFrame:
+    """Exact percentiles per group, interpolated between the two values beside the place (n - 1) * share: counts per value, summed over ranges, and the rows that hold those places."""
+    d = _counted(rows, group, value)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("upto") - F.col("n") <= place) & (place < F.col("upto")), F.col(value)))
+
+    parts, found = [], []
+    for name, share in shares.items():
+        place = (F.col("total") - 1) * F.lit(share)
+        parts += [at(F.floor(place)).alias(f"{name}_low"), at(F.ceil(place)).alias(f"{name}_high"), F.max(place - F.floor(place)).alias(f"{name}_part")]
+        found.append((F.col(f"{name}_low") * (1 - F.col(f"{name}_part")) + F.col(f"{name}_high") * F.col(f"{name}_part")).alias(name))
+    return d.groupBy(group).agg(*parts).select(group, *found)
+
+
 def upper_median(rows: DataFrame, group: str, value: str, weight: str | None = None) -> DataFrame:
     """The element at index n div 2 of each group's sorted values, from counts of distinct values; with ``weight`` also its total per median (work per time)."""
-    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(group)
-    at = counts.withColumns({"_upto": F.sum("n").over(upto), "_mid": F.floor(F.sum("n").over(whole) / 2)})
-    found = at.where("_upto > _mid and _upto - n <= _mid").select(group, F.col(value).alias("median"))
+    middle = F.expr("total div 2")
+    found = _counted(rows, group, value).where((F.col("upto") > middle) & (F.col("upto") - F.col("n") <= middle)).select(group, F.col(value).alias("median"))
     if weight is None:
         return found
     totals = rows.groupBy(group).agg(F.max(weight).alias("_w"))
@@ -89,16 +111,18 @@ def sweep(images: DataFrame, key: str, lead: Column) -> DataFrame:
 
 def distribution(rows: DataFrame, old: str, new: str, score: str) -> DataFrame:
     """Totals of both sizes and their ratio, and least, 10th, 50th and 90th percentile and mean of the score."""
-    parts = [F.percentile(score, F.lit(p / 100)).alias(f"p{p}") for p in (10, 50, 90)]
-    d = rows.agg(F.sum(old).alias("old"), F.sum(new).alias("new"), F.min(score).alias("least"), *parts, F.avg(score).alias("mean"))
-    return d.withColumn("ratio", F.col("new") / F.col("old"))
+    whole = rows.withColumn("_all", F.lit(0))
+    d = whole.groupBy("_all").agg(F.sum(old).alias("old"), F.sum(new).alias("new"), F.min(score).alias("least"), F.avg(score).alias("mean"))
+    d = d.join(percentiles(whole, "_all", score, {f"p{p}": p / 100 for p in (10, 50, 90)}), "_all", "left")
+    return d.select("old", "new", "least", "p10", "p50", "p90", "mean", (F.col("new") / F.col("old")).alias("ratio"))
 
 
 def percentiles_by_band(rows: DataFrame, value: str, size: str, bounds: list[int]) -> DataFrame:
     """50th, 90th and 99th percentile and maximum of ``value`` per band of ``size`` (band i holds sizes under ``bounds[i]``)."""
-    band = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(size)))
-    shares = [F.percentile(value, F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 99)]
-    return rows.groupBy(band.alias("band")).agg(F.count("*").alias("n"), *shares, F.max(value).alias("largest"))
+    banded = rows.withColumn("band", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(size))))
+    figures = banded.groupBy("band").agg(F.count("*").alias("n"), F.max(value).alias("largest"))
+    found = percentiles(banded, "band", value, {f"p{p}": p / 100 for p in (50, 90, 99)})
+    return figures.join(found, "band", "left").select("band", "n", "p50", "p90", "p99", "largest")
 
 
 def size_matrix(rows: DataFrame, key: str, path: str, stage: str, size: str) -> DataFrame:

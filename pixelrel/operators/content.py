@@ -89,10 +89,21 @@ def first_dither() -> Column:
     return F.when((F.col("opaque") >= 0.95) & (F.col("n") >= 200_000), 0.5).otherwise(0.0)
 
 
+#: Positions of a stream that one task looks at together.
+STREAM_BLOCK = 1 << 16
+
+
 def byte_run_length(bytes_: DataFrame, key: str, position: str, value: str) -> DataFrame:
-    """Bytes and their mean run of equal values per key."""
-    fresh = (F.col(value) != F.lag(value).over(Window.partitionBy(key).orderBy(position))).cast("int")
-    return bytes_.withColumn("_f", fresh).groupBy(key).agg(F.count("*").alias("n"), (F.count("*") / (1 + F.coalesce(F.sum("_f"), F.lit(0)))).alias("run_length"))
+    """Bytes and their mean run of equal values per key.
+
+    Streams are cut into blocks of positions; a block sends its number of changes with its first and last value, and runs that cross blocks are joined at those.
+    """
+    d = bytes_.withColumn("_block", F.floor(F.col(position) / STREAM_BLOCK))
+    fresh = (F.col(value) != F.lag(value).over(Window.partitionBy(key, "_block").orderBy(position))).cast("int")
+    blocks = d.withColumn("_f", fresh).groupBy(key, "_block").agg(
+        F.count("*").alias("_n"), F.coalesce(F.sum("_f"), F.lit(0)).alias("_changes"), F.min_by(value, position).alias("_first"), F.max_by(value, position).alias("_last"))
+    seam = (F.col("_first") != F.lag("_last").over(Window.partitionBy(key).orderBy("_block"))).cast("int")
+    return blocks.withColumn("_seam", seam).groupBy(key).agg(F.sum("_n").alias("n"), (F.sum("_n") / (1 + F.sum("_changes") + F.coalesce(F.sum("_seam"), F.lit(0)))).alias("run_length"))
 
 
 def level() -> Column:
@@ -144,25 +155,32 @@ def _guesses(left: Column, up: Column, corner: Column) -> list[Column]:
     return [F.lit(0), left, up, F.floor((left + up) / 2), paeth]
 
 
-def row_filters(pixels: DataFrame, channel: str) -> DataFrame:
-    """Per image row the filter (0 none, 1 sub, 2 up, 3 average, 4 Paeth) of the least absolute sum, the lowest on ties."""
+def _neighbours(pixels: DataFrame, channel: str) -> DataFrame:
+    """(image_id, x, y, v, up, left, corner): a value and those beside it, 0 beyond the edges."""
     along, down = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
     d = pixels.select("image_id", "x", "y", F.col(channel).alias("v"), F.coalesce(F.lag(channel).over(down), F.lit(0)).alias("up"))
-    d = d.withColumns({"left": F.coalesce(F.lag("v").over(along), F.lit(0)), "corner": F.coalesce(F.lag("up").over(along), F.lit(0))})
-    left, up, corner = F.col("left"), F.col("up"), F.col("corner")
-    guesses = _guesses(left, up, corner)
-    sums = d.groupBy("image_id", "y").agg(*[F.sum(_signed(F.col("v") - g)).alias(f"s{i}") for i, g in enumerate(guesses)])
-    best = F.array_min(F.array(*[F.struct(F.col(f"s{i}").alias("sad"), F.lit(i).alias("filter")) for i in range(5)]))
-    return sums.select("image_id", "y", best["filter"].alias("filter"), best["sad"].alias("sad"))
+    return d.withColumns({"left": F.coalesce(F.lag("v").over(along), F.lit(0)), "corner": F.coalesce(F.lag("up").over(along), F.lit(0))})
 
 
-def filtered_bytes(pixels: DataFrame, channel: str, chosen: DataFrame) -> DataFrame:
-    """Bytes of each row after its ``chosen`` filter: (image_id, y, x, filter, byte)."""
-    along, down = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    d = pixels.select("image_id", "x", "y", F.col(channel).alias("v"), F.coalesce(F.lag(channel).over(down), F.lit(0)).alias("up"))
-    d = d.withColumns({"left": F.coalesce(F.lag("v").over(along), F.lit(0)), "corner": F.coalesce(F.lag("up").over(along), F.lit(0))})
-    guess = _guesses(F.col("left"), F.col("up"), F.col("corner"))
-    d = d.join(chosen.select("image_id", "y", "filter"), ["image_id", "y"])
+def _least() -> Column:
+    return F.array_min(F.array(*[F.struct(F.col(f"s{i}").alias("sad"), F.lit(i).alias("filter")) for i in range(5)]))
+
+
+def row_filters(pixels: DataFrame, channel: str) -> DataFrame:
+    """Per image row the filter (0 none, 1 sub, 2 up, 3 average, 4 Paeth) of the least absolute sum, the lowest on ties."""
+    guesses = _guesses(F.col("left"), F.col("up"), F.col("corner"))
+    sums = _neighbours(pixels, channel).groupBy("image_id", "y").agg(*[F.sum(_signed(F.col("v") - g)).alias(f"s{i}") for i, g in enumerate(guesses)])
+    return sums.select("image_id", "y", _least()["filter"].alias("filter"), _least()["sad"].alias("sad"))
+
+
+def filtered_bytes(pixels: DataFrame, channel: str, chosen: DataFrame | None = None) -> DataFrame:
+    """Bytes of each row after its ``chosen`` filter: (image_id, y, x, filter, byte). Without ``chosen`` it is that of ``row_filters``, found in the same pass by sums over the row."""
+    d, guess = _neighbours(pixels, channel), _guesses(F.col("left"), F.col("up"), F.col("corner"))
+    if chosen is None:
+        row = Window.partitionBy("image_id", "y")
+        d = d.withColumns({f"s{i}": F.sum(_signed(F.col("v") - g)).over(row) for i, g in enumerate(guess)}).withColumn("filter", _least()["filter"])
+    else:
+        d = d.join(chosen.select("image_id", "y", "filter"), ["image_id", "y"])
     picked = F.element_at(F.array(*[g.cast("long") for g in guess]), F.col("filter") + 1)
     return d.select("image_id", "y", "x", "filter", F.pmod(F.col("v") - picked, F.lit(256)).alias("byte"))
 
@@ -175,8 +193,11 @@ def filter_histogram(chosen: DataFrame) -> DataFrame:
 
 def adler32(bytes_: DataFrame, key: str, position: str, value: str) -> DataFrame:
     """Adler-32 of byte relations with positions from 0, as sums that Spark combines map-side."""
-    sums = bytes_.groupBy(key).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col(position) * F.col(value)).alias("ps"))
-    low, high = (1 + F.col("s")) % ADLER, (F.col("n") + F.col("n") * F.col("s") - F.col("ps")) % ADLER
+    # Factors are reduced before they are multiplied, so a sum grows by less than 2^24 a byte.
+    at = (F.col(position) % ADLER) * F.col(value)
+    sums = bytes_.groupBy(key).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(at).alias("ps"))
+    low, n = (1 + F.col("s")) % ADLER, F.col("n") % ADLER
+    high = F.pmod(n + n * (F.col("s") % ADLER) - F.col("ps") % ADLER, F.lit(ADLER))
     return sums.select(key, (high * 65536 + low).alias("adler32"))
 
 

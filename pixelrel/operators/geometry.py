@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import settled
+
 RGBA = ("r", "g", "b", "a")
 OUT = ["image_id", "w", "h", "x", "y", *RGBA]
 
@@ -193,8 +195,19 @@ def tile_2x2(pixels: DataFrame) -> DataFrame:
     return d.withColumns({"x": F.col("x") + F.col("w") * F.col("_t.i"), "y": F.col("y") + F.col("h") * F.col("_t.j"), "w": 2 * F.col("w"), "h": 2 * F.col("h")}).drop("_t")
 
 
-def concat_vertical(top: DataFrame, bottom: DataFrame) -> DataFrame:
-    """Images of ``bottom`` below those of the same id and width of ``top``; sizes are one row per image. Others are left out."""
+def unlike_widths(top: DataFrame, bottom: DataFrame) -> DataFrame:
+    """(image_id, w1, w2) of images that ``concat_vertical`` cannot join: of other width, or without a partner (null)."""
+    size = lambda d, w: d.where("x = 0 and y = 0").select("image_id", F.col("w").alias(w))
+    return size(top, "w1").join(size(bottom, "w2"), "image_id", "full").where("not (w1 <=> w2)")
+
+
+def concat_vertical(top: DataFrame, bottom: DataFrame, strict: bool = False) -> DataFrame:
+    """Images of ``bottom`` below those of the same id and width of ``top``; sizes are one row per image.
+
+    Others are left out and listed by ``unlike_widths``; with ``strict`` any such image is an error.
+    """
+    if strict and not (odd := unlike_widths(top, bottom).limit(3)).isEmpty():
+        raise ValueError(f"images of unlike width: {[tuple(r) for r in odd.collect()]}")
     size = lambda d, h: d.where("x = 0 and y = 0").select("image_id", "w", F.col("h").alias(h))
     both = size(top, "h1").join(size(bottom, "h2"), ["image_id", "w"])
     a = top.join(both, ["image_id", "w"]).withColumn("h", F.col("h1") + F.col("h2"))
@@ -210,6 +223,12 @@ def downscale_by_2(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id", *half).agg(*[(F.sum(F.col(c) * weight) / 4.0).alias(c) for c in "rgb"])
 
 
+def rect_edges(x: Column, y: Column, width: Column, height: Column) -> dict[str, Column]:
+    """left, top, right and bottom of a rectangle: the last two are the first places outside, kept within 32-bit numbers."""
+    far = lambda at, by: F.least(F.greatest(at.cast("long") + by.cast("long"), F.lit(-(1 << 31))), F.lit((1 << 31) - 1))
+    return {"left": x.cast("long"), "top": y.cast("long"), "right": far(x, width), "bottom": far(y, height)}
+
+
 def size_figures(pixels: DataFrame) -> DataFrame:
     """Area, aspect and emptiness of each image, from its first pixel."""
     first = pixels.where("x = 0 and y = 0")
@@ -248,10 +267,15 @@ def composite_over(canvas: DataFrame, overlay: DataFrame, position: str = "botto
     return canvas.join(moved, ["image_id", "x", "y"], "left").withColumns(blend_over(opacity)).select(OUT)
 
 
-def watermark(canvas: DataFrame, logo: DataFrame, scale: float, position: str = "bottom_right", margin: int = 0, opacity: float = 1.0, kernel: str = "lanczos3") -> DataFrame:
+#: Pixels of resized logos that are broadcast; beyond that canvases are dealt by image.
+LOGO_BOUND, LOGO_DEALS = 1 << 21, 32
+
+
+def watermark(canvas: DataFrame, logo: DataFrame, scale: float, position: str = "bottom_right", margin: int = 0, opacity: float = 1.0, kernel: str = "lanczos3", bound: int = LOGO_BOUND) -> DataFrame:
     """One ``logo`` (pixels of one image, 2**20 at most) on every image, ``scale`` of its width wide, aspect kept.
 
-    The logo is resized once per size that occurs among the canvases, then joined by that size.
+    The logo is resized once per size that occurs among the canvases. Where all resized logos together have ``bound`` pixels at most they are broadcast, and canvases are not
+    shuffled; else both are joined by size, place and one of ``LOGO_DEALS`` numbers of the image, so that images of the commonest size spread over tasks.
     """
     if not 0 < scale:
         raise ValueError("a scale is positive")
@@ -260,8 +284,14 @@ def watermark(canvas: DataFrame, logo: DataFrame, scale: float, position: str =
     sizes = canvas.where("x = 0 and y = 0").select(F.col("w").alias("cw"), F.col("h").alias("ch")).distinct()
     tw = _whole(F.col("cw") * min(scale, 1.0))
     th = _whole(F.col("h").cast("double") * tw / F.col("w"))
-    sized = sizes.join(F.broadcast(logo)).withColumn("image_id", F.struct("cw", "ch", tw.alias("tw"), th.alias("th")))
+    # Each size needs the whole logo: one equi-join on a constant, the logo being checked above.
+    sized = sizes.withColumn("_k", F.lit(1)).join(F.broadcast(logo.withColumn("_k", F.lit(1))), "_k").withColumn("image_id", F.struct("cw", "ch", tw.alias("tw"), th.alias("th")))
     small = resize(sized.select(OUT), (F.col("image_id.tw"), F.col("image_id.th")), kernel)
     dx, dy = anchor(position, margin, F.col("image_id.cw"), F.col("image_id.ch"), F.col("w"), F.col("h"))
-    small = small.select(F.col("image_id.cw").alias("w"), F.col("image_id.ch").alias("h"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), *[F.col(c).alias(f"s{c}") for c in RGBA])
-    return canvas.join(small, ["w", "h", "x", "y"], "left").withColumns(blend_over(opacity)).select(OUT)
+    small = settled(small.select(F.col("image_id.cw").alias("w"), F.col("image_id.ch").alias("h"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), *[F.col(c).alias(f"s{c}") for c in RGBA]))
+    if small.limit(bound + 1).count() <= bound:
+        both = canvas.join(F.broadcast(small), ["w", "h", "x", "y"], "left")
+    else:
+        dealt = small.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(LOGO_DEALS - 1))))
+        both = canvas.withColumn("_deal", F.pmod(F.hash("image_id"), F.lit(LOGO_DEALS))).join(dealt, ["w", "h", "x", "y", "_deal"], "left")
+    return both.withColumns(blend_over(opacity)).select(OUT)

@@ -376,7 +376,7 @@ _AROUND = ("(SELECT *, coalesce(lag(u) OVER (PARTITION BY image_id, y ORDER BY x
 _FILTERS = ("SELECT image_id, y, CAST(m.f AS INTEGER) AS filter, m.s AS sad FROM (SELECT image_id, y, list_min([" + ", ".join(
     f"{{'s': CAST(sum(least(({e} + 512) % 256, 256 - ({e} + 512) % 256)) AS BIGINT), 'f': {i}}}" for i, e in enumerate(_RESIDUES)) + f"]) AS m FROM {_AROUND} GROUP BY image_id, y)")
 _image("n03_row_filters", lambda p: content.row_filters(p, "r"), _FILTERS)
-_image("n01_filtered_bytes", lambda p: content.filtered_bytes(p, "r", content.row_filters(p, "r")),
+_image("n01_filtered_bytes", lambda p: content.filtered_bytes(p, "r"),
        "SELECT image_id, y, x, filter, (CASE filter " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(_RESIDUES)) + f" END + 512) % 256 AS byte FROM {_AROUND} JOIN ({_FILTERS}) USING (image_id, y)")
 _image("b14_filter_histogram", lambda p: _rounded(content.filter_histogram(content.row_filters(p, "r")), "percent"),
        f"SELECT image_id, filter, count(*) AS n, round(100e0 * count(*) / sum(count(*)) OVER (PARTITION BY image_id), 6) + 0e0 AS percent FROM ({_FILTERS}) GROUP BY image_id, filter")

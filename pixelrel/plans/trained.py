@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics, content, metrics, palettes, pixels, search, tones
+from ..operators import analytics, content, filters, geometry, metrics, palettes, pixels, search, tones
 from ..sources import chunks, images, sinks
 from ..sources.images import EMB_RGBA_SQL, MOSAIC_SQL, emb_rgba
 from .registry import QUERIES, SQL, _GRADIENT_SQL, _LAB, _LINEAR, _SIZE_SQL, PALETTE, _image, _lab_sql, _num, _pooled_sql, _rounded, moments_sql, refined_sql
@@ -210,6 +210,32 @@ SQL["s17_idat_stream"] = (
     "joined AS (SELECT file, string_agg(substr(f, CAST(2 * start + 1 AS INT), CAST(2 * length AS INT)), '' ORDER BY chunk_no) AS h FROM found JOIN files USING (file) WHERE type = 'IDAT' GROUP BY file) "
     "SELECT file, size, CASE WHEN error IS NULL THEN sha256(unhex(coalesce(h, ''))) END AS sha256, error FROM sums LEFT JOIN joined USING (file)")
 
+QUERIES["s02_identify"] = lambda spark, sf_dir: images.identify(_files(spark, sf_dir))
+SQL["s02_identify"] = (f"SELECT file, CASE WHEN ok THEN 'png' END AS format, CASE WHEN ok THEN CAST('0x' || f[33:40] AS BIGINT) END AS w, CASE WHEN ok THEN CAST('0x' || f[41:48] AS BIGINT) END AS h, CASE WHEN NOT ok THEN 'codec' END AS error "
+                       f"FROM (SELECT file, f, f[1:16] = '{chunks.SIGNATURE}' AND length(f) >= 48 AS ok FROM ({_file_sql()}))")
+
+# ---- filters by kind, edges ------------------------------------------------------------------------------------------------------
+
+_KINDS = ["grayscale", "invert", "brightness", "contrast"]
+
+
+def _filtered(p):
+    out = None
+    for kind in _KINDS:
+        one = filters.apply_filter(p, kind).select(F.lit(kind).alias("kind"), "image_id", "x", "y", "r", "g", "b", "a")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_BY_KIND = {"grayscale": "(2126 * r + 7152 * g + 722 * b) // 10000", "invert": "255 - {0}", "brightness": "least({0} + 20, 255)", "contrast": "greatest(least(floor((({0} / 255e0 - 0.5e0) * power(1.2e0, 2) + 0.5e0) * 255), 255), 0)"}
+_image("f08_default_filters", _filtered, " UNION ALL ".join(f"SELECT '{k}' AS kind, image_id, x, y, " + ", ".join(f"CAST({v.format(c)} AS BIGINT) AS {c}" for c in "rgb") + ", a FROM emb_rgba" for k, v in _BY_KIND.items()))
+_image("f09_denoise", lambda p: filters.denoise(p, "median", 0.5).select("image_id", "x", "y", "r", "a"),
+       "SELECT p.image_id, p.x, p.y, CAST(list_sort(list(q.r))[5] AS BIGINT) AS r, CAST(list_sort(list(q.a))[5] AS BIGINT) AS a FROM (SELECT *, unnest([-1, -1, -1, 0, 0, 0, 1, 1, 1]) AS i, unnest([-1, 0, 1, -1, 0, 1, -1, 0, 1]) AS j FROM emb_rgba) p "
+       "JOIN emb_rgba q ON q.image_id = p.image_id AND q.x = least(greatest(p.x + i, 0), p.w - 1) AND q.y = least(greatest(p.y + j, 0), p.h - 1) GROUP BY ALL")
+QUERIES["g20_rect_edges"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    "doc_id", *[c.alias(n) for n, c in geometry.rect_edges(F.col("doc_id") * 1000 - 5, F.lit(2147483000) - F.col("doc_id"), F.col("n_chars"), F.col("n_chars")).items()])
+SQL["g20_rect_edges"] = ("SELECT doc_id, doc_id * 1000 - 5 AS \"left\", 2147483000 - doc_id AS top, least(doc_id * 1000 - 5 + n_chars, 2147483647) AS \"right\", least(2147483000 - doc_id + n_chars, 2147483647) AS bottom FROM documents")
+
 # ---- search, sizes, result lines ------------------------------------------------------------------------------------------------
 
 # Trials: a picture in colour steps that grow as the quality falls; the mean error of its red and the number of colours left.

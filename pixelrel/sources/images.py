@@ -85,6 +85,34 @@ def scan(spark: SparkSession, folder: str, formats: list[str] | None = None, lim
     return files
 
 
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, content) of all files below ``folder``, bytes and all; file is the path."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("file"), "content")
+
+
+#: How files of each format start, in hexadecimal; RIFF files name theirs at offset 8.
+SIGNATURES = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "gif": "474946383", "bmp": "424D", "tiff": "49492A00", "tiff_big": "4D4D002A"}
+
+
+def identify(files: DataFrame) -> DataFrame:
+    """(file, format, w, h, error) of ``files`` (file, content) by their first bytes, whatever their names.
+
+    Sizes are those in the headers of png, gif and bmp files, null for others; bytes that no format starts with, or that end before such a header does, are a row with the error "codec", as null and empty contents are.
+    """
+    start = F.hex(F.substring("content", 1, 32))
+    number = lambda at, n: F.conv(F.substring(start, 2 * at + 1, 2 * n), 16, 10).cast("long")
+    # Little-endian numbers: their bytes in reverse.
+    turned = lambda at, n: F.conv(F.concat(*[F.substring(start, 2 * (at + k) + 1, 2) for k in reversed(range(n))]), 16, 10).cast("long")
+    format_ = F.when(F.substring(start, 1, 8).eqNullSafe("52494646") & (F.substring(start, 17, 8) == "57454250"), "webp")
+    for name, sign in SIGNATURES.items():
+        format_ = format_.when(start.startswith(sign), name.removesuffix("_big"))
+    least = F.when(F.col("format") == "png", 24).when(F.col("format") == "gif", 10).when(F.col("format") == "bmp", 26).otherwise(0)
+    d = files.withColumn("format", format_).withColumn("good", F.coalesce(F.col("format").isNotNull() & (F.length("content") >= least), F.lit(False)))
+    sized = {"png": (number(16, 4), number(20, 4)), "gif": (turned(6, 2), turned(8, 2)), "bmp": (turned(18, 4), turned(22, 4))}
+    side = lambda k: F.coalesce(*[F.when(F.col("good") & (F.col("format") == n), v[k]) for n, v in sized.items()])
+    return d.select("file", F.when(F.col("good"), F.col("format")).alias("format"), side(0).alias("w"), side(1).alias("h"), F.when(~F.col("good"), "codec").alias("error"))
+
+
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """(image_id, w, h, rgba) of the images Spark can decode by their content; image_id is the path. What it cannot decode has a null size.
 
@@ -98,11 +126,12 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
 
 def to_pixels(images: DataFrame) -> DataFrame:
     """Pixels of ``read_images``: each image becomes its rows of bytes, each row its pixels; nothing is shuffled. Undecoded ones have none."""
-    rows = images.where("w is not null").withColumn("y", F.explode(F.expr("sequence(0L, h - 1)")))
+    row = F.substring(F.col("data"), (F.col("y") * F.col("w") * F.col("channels") + 1).cast("int"), (F.col("w") * F.col("channels")).cast("int"))
+    rows = images.where("w is not null").withColumn("y", F.explode(F.expr("sequence(0L, h - 1)"))).select("image_id", "w", "h", "channels", "y", F.hex(row).alias("line"))
     cells = rows.withColumn("x", F.explode(F.expr("sequence(0L, w - 1)")))
 
     def byte(k: int) -> Column:
-        return F.conv(F.hex(F.substring(F.col("data"), ((F.col("y") * F.col("w") + F.col("x")) * F.col("channels") + k + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        return F.conv(F.substring(F.col("line"), (2 * (F.col("x") * F.col("channels") + k) + 1).cast("int"), F.lit(2)), 16, 10).cast("long")
 
     grey = F.col("channels") == 1
     red, green = F.when(grey, byte(0)).otherwise(byte(2)), F.when(grey, byte(0)).otherwise(byte(1))
