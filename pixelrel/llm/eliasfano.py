@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 
 U = np.uint64
+_PAIRS, _QUADS, _OCTETS, _EACH, _TOPS = (U(int(x * 8, 16)) for x in ("55", "33", "0f", "01", "80"))
 #: Position of the r-th set bit of a byte.
 _SELECT = np.array([[*[k for k in range(8) if b >> k & 1], *[8] * (8 - b.bit_count())] for b in range(256)], np.uint8)
 
@@ -40,14 +41,16 @@ class Bits:
         """Position of the k-th one (or zero), counted from 0."""
         before = self.before if one else np.arange(len(self.before)) * 64 - self.before.astype(np.int64)
         at = np.searchsorted(before, k, "right") - 1
-        word = self.words[at] if one else ~self.words[at]
-        left = (k - before[at]).astype(np.int64)
-        octets = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.uint8)
-        octet = (upto <= left[:, None]).sum(1)
-        rows = np.arange(len(octets))
-        left -= np.where(octet > 0, upto[rows, octet - 1], 0)
-        return at * 64 + octet * 8 + _SELECT[octets[rows, octet], left]
+        word, left = np.asarray(self.words[at]), (k - before[at]).astype(U)
+        if not one:
+            word = ~word
+        # Ones of each byte, then of it and those below it, eight counts side by side in one number.
+        ones = word - (word >> U(1) & _PAIRS)
+        ones = (ones & _QUADS) + (ones >> U(2) & _QUADS)
+        upto = ((ones + (ones >> U(4))) & _OCTETS) * _EACH
+        octet = np.bitwise_count(((left * _EACH | _TOPS) - upto) & _TOPS).astype(U) << U(3)
+        left -= (upto << U(8)) >> octet & U(255)
+        return at * 64 + (octet.astype(np.int64) + _SELECT[(word >> octet & U(255)).astype(np.int64), left.astype(np.int64)])
 
 
 class EliasFano:
@@ -93,10 +96,13 @@ class EliasFano:
         i = np.zeros(len(h), np.int64)
         later = h > 0
         i[later] = self.high.select(h[later] - 1, one=False) - (h[later] - 1)
+        # Halving: a bucket may hold all followers of a common context.
         open_ = np.flatnonzero(i < end)
         while len(open_):
-            open_ = open_[self._low(i[open_]) < want[open_]]
-            i[open_] += 1
+            middle = (i[open_] + end[open_]) >> 1
+            less = self._low(middle) < want[open_]
+            i[open_] = np.where(less, middle + 1, i[open_])
+            end[open_] = np.where(less, end[open_], middle)
             open_ = open_[i[open_] < end[open_]]
         out[near] = i
         return out

@@ -20,6 +20,10 @@ WEIGHT2, WEIGHT3 = 3000.0, 5.0
 PORTION, SHARD_WORDS, SHARD_GRAMS = 8_000_000, 2_000_000, 1_000_000
 #: Probabilities are held as steps of log10 from -20 up, 0 standing for none: half a step is 0.00015.
 LOWEST, STEP = -20.0, 20.0 / 65534
+#: Bits of a pair's hash within its shard. A shard keeps its size as the corpus grows, so two of its million pairs share them as rarely then: one in a million.
+PAIR_BITS = 40
+#: Bits of a word's fingerprint after a pair: an unseen word is taken for one of n followers with a chance of n / 2^24, and gains that one's small share then.
+MARK_BITS = 24
 U = np.uint64
 END, START, NONE = U(1), U(2), 0
 CHUNKS = "chunk long, doc_id array<long>, held array<boolean>, sizes array<int>, words binary, tokens binary, n_words long, n_tokens long, n_train long, n_docs long"
@@ -48,6 +52,22 @@ def _unpack(payload: bytes) -> list[np.ndarray]:
     return out
 
 
+def _steps(rising: np.ndarray) -> np.ndarray:
+    """A sorted array as the steps between its values, which are small."""
+    return np.diff(rising, prepend=U(0))
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and the place of each of ``x`` among them. Merging, as ``x`` is made of sorted runs."""
+    order = np.argsort(x, kind="stable")
+    dealt = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = dealt[1:] != dealt[:-1]
+    of = np.empty(len(x), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return dealt[new], of
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads all bits."""
     x = (x ^ (x >> U(31))) * U(0x7FB5D329728EA185)
@@ -79,7 +99,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each portion of texts: its documents, the sorted hashes of its words and all tokens as places among them."""
+    """A row for each portion of texts: its documents, the hashes of its words and all tokens as places among them."""
     import xxhash
 
     chunk = TaskContext.get().partitionId() << 32
@@ -91,13 +111,13 @@ def _tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ids = list(map(index.__getitem__, words_of(text)))
                 found.append(np.array(ids, np.uint32))
                 sizes.append(len(ids) + 1)
-            # The end of a text is a word of its own.
-            end, hashes = len(index), np.fromiter(map(xxhash.xxh64_intdigest, index), U, len(index))
-            hashes = np.append(hashes, END)
-            order = np.argsort(hashes)
+            # The end of a text is a word of its own. Words are numbered by falling frequency, so that most tokens are small numbers.
+            end, hashes = len(index), np.append(np.fromiter(map(xxhash.xxh64_intdigest, index), U, len(index)), END)
+            tokens = np.concatenate([x for ids in found for x in (ids, [end])]).astype(np.int64)
+            order = np.argsort(-np.bincount(tokens, minlength=len(hashes)), kind="stable")
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
-            tokens = place[np.concatenate([x for ids in found for x in (ids, [end])]).astype(np.int64)]
+            tokens = place[tokens]
             sizes, held = np.array(sizes), part["held"].to_numpy()
             yield pd.DataFrame({
                 "chunk": [chunk], "doc_id": [part["doc_id"].astype(object).where(part["doc_id"].notna(), None).tolist()], "held": [held.tolist()], "sizes": [sizes.tolist()], "words": [_pack(hashes[order])],
@@ -106,18 +126,10 @@ def _tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             chunk += 1
 
 
-def _dealt(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Places in the order of their shard, and (shard, first, last) of each shard that has any."""
-    order = np.argsort(shard, kind="stable")
-    dealt = shard[order]
-    first = np.flatnonzero(np.r_[True, dealt[1:] != dealt[:-1]]) if len(dealt) else np.empty(0, int)
-    return order, list(zip(dealt[first].tolist(), first.tolist(), [*first[1:].tolist(), len(dealt)]))
-
-
 class _Portion:
     """Words and three-word grams of one row of ``_tokenize``, the same whenever they are taken.
 
-    A pair of neighbouring words is a 64-bit hash; the word after it a 32-bit fingerprint within that pair.
+    A pair of neighbouring words is a hash, which also tells its shard; the word after it a fingerprint within that pair.
     """
 
     def __init__(self, row, shards: int):
@@ -127,26 +139,37 @@ class _Portion:
         self.first = np.cumsum(self.sizes) - self.sizes
         self.train, self.shards = np.repeat(~self.held, self.sizes), shards
 
+    def word_blocks(self, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, its words' places by their hash)."""
+        order = np.argsort(self.words)
+        shard = (self.words[order] % U(shards)).astype(np.int64)
+        dealt = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.diff(shard[dealt], prepend=-1))
+        for at in np.split(order[dealt], cuts[1:]):
+            yield int(self.words[at[0]] % U(shards)), at
+
     def grams(self) -> None:
-        h = self.words[self.tokens]
-        prev = np.empty_like(h)
-        prev[1:] = h[:-1]
-        prev[self.first] = START
-        pairs, of = np.unique(_mix(_mix(prev) + h), return_inverse=True)
-        mark = np.maximum(_mix(h ^ U(0x2545F4914F6CDD1D)) >> U(32), U(1))
-        after = np.empty_like(mark)
-        after[:-1] = mark[1:]
-        after[self.first + self.sizes - 1] = NONE
-        keys, self.of = np.unique(of.astype(U) << U(32) | after, return_inverse=True)
-        self.pairs, self.pair_of, self.mark = pairs, (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.uint32)
-        self.order, self.blocks = _dealt((pairs % U(self.shards)).astype(np.int64)[self.pair_of])
-
-    def block(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Grams of a block, their pairs, and how many grams each pair has."""
-        at = self.order[lo:hi]
-        pair = self.pair_of[at]
-        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        return at, pair[first], np.diff(np.r_[first, len(pair)]).astype(np.uint32)
+        """Distinct pairs as shard and hash in one number, so sorted by shard; distinct grams by (pair, fingerprint), so too; and the gram at each token."""
+        left, right = _mix(self.words), _mix(self.words ^ U(0x2545F4914F6CDD1D))
+        prev = np.empty(len(self.tokens), U)
+        prev[1:] = left[self.tokens[:-1]]
+        prev[self.first] = _mix(np.array([START]))[0]
+        pair = _mix(prev + self.words[self.tokens])
+        del prev
+        self.pairs, of = np.unique((pair % U(self.shards)) << U(PAIR_BITS) | pair >> U(64 - PAIR_BITS), return_inverse=True)
+        del pair
+        keys = of.astype(U) << U(32)
+        del of
+        keys[:-1] |= np.maximum(right >> U(64 - MARK_BITS), U(1))[self.tokens[1:]]
+        ends = self.first + self.sizes - 1
+        keys[ends] = keys[ends] >> U(32) << U(32) | U(NONE)
+        keys, self.of = np.unique(keys, return_inverse=True)
+        self.pair_of, self.mark = (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.uint32)
+        shard = (self.pairs >> U(PAIR_BITS)).astype(np.int64)
+        cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        at = np.searchsorted(self.pair_of, cuts)
+        #: (shard, its first and last pair, its first and last gram)
+        self.blocks = list(zip(shard[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(shard)], at.tolist(), [*at[1:].tolist(), len(keys)]))
 
 
 def _send_words(shards: int):
@@ -155,9 +178,8 @@ def _send_words(shards: int):
             for _, row in pdf.iterrows():
                 p, out = _Portion(row, shards), []
                 counts = np.bincount(p.tokens[p.train], minlength=len(p.words)).astype(np.uint32)
-                order, blocks = _dealt((p.words % U(shards)).astype(np.int64))
-                for shard, lo, hi in blocks:
-                    out.append((row["chunk"], 0, shard, _pack(p.words[order[lo:hi]], counts[order[lo:hi]])))
+                for shard, at in p.word_blocks(shards):
+                    out.append((row["chunk"], 0, shard, _pack(_steps(p.words[at]), counts[at])))
                 yield pd.DataFrame(out, columns=["chunk", "kind", "shard", "payload"])
 
     return run
@@ -165,8 +187,8 @@ def _send_words(shards: int):
 
 def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
     """Counts of a shard's words, for every portion that asks; the row of chunk -1 has the number of distinct words learnt."""
-    asked = [_unpack(x) for x in pdf["payload"]]
-    words, of = np.unique(np.concatenate([w for w, _ in asked]), return_inverse=True)
+    asked = [(np.cumsum(w), c) for w, c in map(_unpack, pdf["payload"])]
+    words, of = _distinct(np.concatenate([w for w, _ in asked]))
     counts = np.bincount(of, np.concatenate([c for _, c in asked]), len(words)).astype(np.uint64)
     answers = np.split(counts[of], np.cumsum([len(w) for w, _ in asked])[:-1])
     known = [(-1, 0, int(np.count_nonzero(counts)), b"")]
@@ -180,9 +202,9 @@ def _send_grams(shards: int):
                 p, out = _Portion(row, shards), []
                 p.grams()
                 counts = np.bincount(p.of, p.train, len(p.pair_of)).astype(np.uint32)
-                for shard, lo, hi in p.blocks:
-                    at, pairs, n = p.block(lo, hi)
-                    out.append((row["chunk"], 1, shard, _pack(p.pairs[pairs] // U(shards), n, p.mark[at], counts[at])))
+                for shard, lo, hi, first, last in p.blocks:
+                    n = np.bincount(p.pair_of[first:last] - lo, minlength=hi - lo).astype(np.uint32)
+                    out.append((row["chunk"], 1, shard, _pack(_steps(p.pairs[lo:hi] & U((1 << PAIR_BITS) - 1)), n, p.mark[first:last], counts[first:last])))
                 yield pd.DataFrame(out, columns=["chunk", "kind", "shard", "payload"])
 
     return run
@@ -199,7 +221,7 @@ class Trie:
         """``pairs`` sorted; ``after`` and ``counts`` by (``of``, after), ``of`` being the pair's place; ``total`` is the number of words learnt."""
         n = np.bincount(of, counts, len(pairs))
         self.pairs, self.starts = EliasFano(pairs, universe), EliasFano(np.r_[0, np.cumsum(np.bincount(of, minlength=len(pairs)))], len(after) + 1)
-        self.after = EliasFano(of.astype(U) << U(32) | after, max(len(pairs), 1) << 32)
+        self.after = EliasFano(of.astype(U) << U(MARK_BITS) | after, max(len(pairs), 1) << MARK_BITS)
         self.pair_code = mapped(_code(n / max(total, 1)))
         self.after_code = mapped(_code(counts / (n[of] + weight)))
 
@@ -211,7 +233,7 @@ class Trie:
         out = np.zeros(len(after), np.uint16)
         at = np.flatnonzero(node[of] >= 0)
         context = node[of[at]]
-        want = context.astype(U) << U(32) | after[at]
+        want = context.astype(U) << U(MARK_BITS) | after[at]
         found = self.after.successor(want)
         # The successor counts only within the context's own stretch and where it is the word itself.
         same = found < self.starts.get(context + 1).astype(np.int64)
@@ -220,19 +242,19 @@ class Trie:
         return code, out
 
 
-def _answer_grams(shards: int, total: int):
+def _answer_grams(total: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         asked = [_unpack(x) for x in pdf["payload"]]
         sizes = np.array([len(a[0]) for a in asked])
-        pairs, of = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        pairs, of = _distinct(np.concatenate([np.cumsum(a[0]) for a in asked]))
         gram_pair = np.repeat(of, np.concatenate([a[1] for a in asked]).astype(np.int64))
-        keys, gram = np.unique(gram_pair.astype(U) << U(32) | np.concatenate([a[2] for a in asked]), return_inverse=True)
+        keys, gram = _distinct(gram_pair.astype(U) << U(32) | np.concatenate([a[2] for a in asked]))
         counts = np.bincount(gram, np.concatenate([a[3] for a in asked]), len(keys))
         after, node = keys & U(0xFFFFFFFF), (keys >> U(32)).astype(np.int64)
         seen = counts > 0
         place = np.cumsum(np.bincount(node[seen], minlength=len(pairs)) > 0) - 1
         live = np.bincount(node[seen], minlength=len(pairs)) > 0
-        trie = Trie(pairs[live], after[seen], place[node[seen]], counts[seen], total, (1 << 64) // shards + 1)
+        trie = Trie(pairs[live], after[seen], place[node[seen]], counts[seen], total, 1 << PAIR_BITS)
         # Each distinct gram is looked up once, then handed to all who ask.
         code, after_code = trie.query(pairs, node, after)
         ends = np.cumsum([len(a[2]) for a in asked])[:-1]
@@ -249,13 +271,11 @@ def _combine(word_shards: int, shards: int, total: int, known: int, docs: int, w
         p.grams()
         answers = {(k, s): x for k, s, x in zip(right["kind"], right["shard"], right["payload"])}
         counts = np.empty(len(p.words))
-        order, blocks = _dealt((p.words % U(word_shards)).astype(np.int64))
-        for shard, lo, hi in blocks:
-            counts[order[lo:hi]], = _unpack(answers[0, shard])
+        for shard, at in p.word_blocks(word_shards):
+            counts[at], = _unpack(answers[0, shard])
         pair_code, after_code = np.zeros(len(p.pairs), np.uint16), np.zeros(len(p.pair_of), np.uint16)
-        for shard, lo, hi in p.blocks:
-            at, pairs, _ = p.block(lo, hi)
-            pair_code[pairs], after_code[at] = _unpack(answers[1, shard])
+        for shard, lo, hi, first, last in p.blocks:
+            pair_code[lo:hi], after_code[first:last] = _unpack(answers[1, shard])
         own = counts[p.tokens]
         single = (own + 0.5) / (total + 0.5 * (known + 1))
         before = np.empty_like(own)
@@ -286,7 +306,8 @@ def lm_scores(docs: DataFrame, held: Column, weights: tuple[float, float] = (WEI
 
     The trie is sharded by pairs of words over the cluster, so that no machine holds it whole and a common word spreads over shards. Portions of texts send each shard
     their distinct words (or grams) with counts, compressed; a shard sums them, builds its levels, looks each up and sends back codes, which the portion's texts put together. Shards
-    follow the corpus: one for a million tokens. Words and pairs are known by 64-bit hashes (two of V share one with a chance of V * V / 2^65), the words after a pair by 32 bits.
+    follow the corpus: one for a million tokens. Words are known by 64-bit hashes (two of V share one with a chance of V * V / 2^65), pairs by
+    their shard and 40 bits, the words after a pair by 24 bits.
 
     Null and empty texts have one token, the end. Repeated rows count and score each for itself. Null ids stay and are held out as ``held`` says (null: learnt); ids are cast to
     long; other columns are ignored. Without training rows each token is the unknown word, of probability 1. An empty table gives an empty result.
@@ -298,7 +319,7 @@ def lm_scores(docs: DataFrame, held: Column, weights: tuple[float, float] = (WEI
     counted = chunks.mapInPandas(_send_words(word_shards), ANSWER).groupBy("shard").applyInPandas(_count_words, ANSWER)
     counted = stage(counted, "words")
     known = counted.where("chunk < 0").agg(F.sum("shard")).first()[0] or 0
-    grams = chunks.mapInPandas(_send_grams(shards), ANSWER).groupBy("shard").applyInPandas(_answer_grams(shards, total), ANSWER)
+    grams = chunks.mapInPandas(_send_grams(shards), ANSWER).groupBy("shard").applyInPandas(_answer_grams(total), ANSWER)
     answers = counted.where("chunk >= 0").unionByName(grams).groupBy("chunk")
     scored = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     asking = chunks.select("chunk", "doc_id", "held", "sizes", "words", "tokens").groupBy("chunk")
