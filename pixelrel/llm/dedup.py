@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from .common import attach, stage, table
 
 QUOTIENT_BITS = 12
+MAP_BYTES = (1 << QUOTIENT_BITS) // 8
+#: A fingerprint of at least one row in so many is hot: there are as many of those at most.
+HOT_PARTS = 512
 #: Fingerprints after which a partition hands out a filter and begins another; filters merge, so any number may come.
 FILTER_ROWS = 1_000_000
 #: Distinct fingerprints a block of the merged filter holds on average: one task merges one block at a time.
@@ -23,21 +26,30 @@ def _pack(blocks: np.ndarray, quotients: np.ndarray, remainders: np.ndarray, cou
     """One counting quotient filter per block from slots sorted by (block, quotient, remainder).
 
     Remainders lie in slots in the order of their quotients. Bit i of ``occupied`` tells that quotient i has a run, bit j of
-    ``run_ends`` that slot j ends one: together they give every slot its quotient back. ``counts`` holds each slot's counter.
+    ``run_ends`` that slot j ends one: together they give every slot its quotient back. ``counts`` holds each slot's counter. Where few quotients have
+    runs, ``occupied`` lists them in two bytes each instead, so a filter's bytes follow its slots however many blocks it touches.
     """
     rows, edges = [], np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]]) if len(blocks) else [0]
     for lo, hi in zip(edges[:-1], edges[1:]):
         q = quotients[lo:hi]
-        occupied = np.zeros(1 << QUOTIENT_BITS, np.uint8)
-        occupied[q] = 1
         ends = np.append(q[1:] != q[:-1], True)
-        rows.append((int(blocks[lo]), np.packbits(occupied).tobytes(), np.packbits(ends).tobytes(), remainders[lo:hi], counts[lo:hi]))
+        runs = q[ends]
+        if 2 * len(runs) < MAP_BYTES:
+            occupied = runs.astype("<u2").tobytes()
+        else:
+            bits = np.zeros(1 << QUOTIENT_BITS, np.uint8)
+            bits[runs] = 1
+            occupied = np.packbits(bits).tobytes()
+        rows.append((int(blocks[lo]), occupied, np.packbits(ends).tobytes(), remainders[lo:hi], counts[lo:hi]))
     return pd.DataFrame(rows, columns=["block", "occupied", "run_ends", "remainders", "counts"])
 
 
 def _quotients(occupied: bytes, run_ends: bytes, slots: int) -> np.ndarray:
     """The quotient of each slot of a filter."""
-    runs = np.flatnonzero(np.unpackbits(np.frombuffer(occupied, np.uint8)))
+    if len(occupied) < MAP_BYTES:
+        runs = np.frombuffer(occupied, "<u2").astype(np.int64)
+    else:
+        runs = np.flatnonzero(np.unpackbits(np.frombuffer(occupied, np.uint8)))
     ends = np.flatnonzero(np.unpackbits(np.frombuffer(run_ends, np.uint8), count=slots))
     return np.repeat(runs, np.diff(np.concatenate([[-1], ends])))
 
@@ -105,15 +117,18 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
     Texts are equal when their bytes are; null counts as empty; of equal texts the largest doc_id stays (null ids
     lose; where an id is repeated inside a group each such row is kept). Fingerprints counted once need no more work. The others'
-    texts are grouped by their own bytes, each partition sending a text at most once after
-    the join. Whole texts of any length are hashed and compared; extra columns are ignored, an empty table gives an empty result.
+    texts are grouped by their own bytes: those of hot fingerprints, few enough to broadcast, stay where they are until their partition has combined them to one row a text, the
+    others meet by fingerprint. Whole texts of any length are hashed and compared; extra columns are ignored, an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = stage(docs.select("doc_id", F.xxhash64(text).alias("fp"), F.sha2(text.cast("binary"), 256).alias("text_sha256")), "fingerprints")
     total = narrow.count()
     repeats = stage(repeated_fingerprints(narrow, total), "repeats")
-    routed = docs.select("doc_id", text.alias("text")).withColumn("fp", F.xxhash64("text")).join(repeats.select("fp"), "fp", "left_semi")
-    verified = routed.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    hot, few = (repeats.where(c).select("fp") for c in (F.col("n") * HOT_PARTS >= total, F.col("n") * HOT_PARTS < total))
+    texts = docs.select("doc_id", text.alias("text")).withColumn("fp", F.xxhash64("text"))
+    common = texts.join(F.broadcast(hot), "fp", "left_semi")
+    rare = texts.join(F.broadcast(hot), "fp", "left_anti").join(few, "fp", "left_semi")
+    verified = common.unionByName(rare).groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = stage(verified.select(F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size"), "groups")
     rows = attach(narrow.select("doc_id", "text_sha256"), groups, "text_sha256", "group_size", max(total, 1))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
