@@ -9,7 +9,8 @@ from .common import stage, table
 
 #: Headers a 304 may update; all others come from the stored response.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
-SLICES = 256
+#: Records of one slice of time, about, and the fewest slices.
+SLICE_ROWS, SLICES = 500_000, 256
 
 
 def canonical_url(url: Column) -> Column:
@@ -34,7 +35,7 @@ def _lower_names(headers: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame:
     """One row per revisit of ``records`` (record_id, kind, url, at, etag, last_modified, headers map).
 
     Returns record_id, url_key, resolved_id, status, headers. The as-of join takes the latest response strictly earlier
@@ -43,15 +44,14 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     Headers are the response's, overlaid with the permitted ones of the revisit when resolved; names compare in any case and come out in
     lower case. Null headers are none; an empty table gives an empty result; other columns are ignored. Records of one time come in the order of their id.
 
-    A URL may hold most rows: time is cut into ``slices`` at global quantiles; the latest response of each
-    (URL, slice) is found with a map-side combine and carried forward over at most ``slices`` rows per URL, so the row-wise
+    A URL may hold most rows: records are cut into ``slices`` by ranges of (at, record_id), as many as their number asks for, also where most are of one time; ``at`` is of any
+    type that has an order. The latest response of each (URL, slice) is found with a map-side combine and carried forward over at most ``slices`` rows per URL, so the row-wise
     window runs per (URL, slice). Repeated rows each get a result; payloads are not moved.
     """
     r = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url_key"), "at", "etag", "last_modified", "headers")
     live = r.where("url_key is not null and at is not null")
-    cuts = live.agg(F.percentile_approx(F.col("at"), [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
-    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>")
-    live = stage(live.withColumn("slice", F.size(F.filter(cuts, lambda c: c < F.col("at")))), "records")
+    slices = slices or max(SLICES, -(-live.count() // SLICE_ROWS))
+    live = stage(live.repartitionByRange(slices, "at", "record_id").withColumn("slice", F.spark_partition_id()), "records")
     order = F.struct("at", "record_id")
     full = F.struct("record_id", "etag", "last_modified", "headers")
     lasts = live.where("kind = 'response'").groupBy("url_key", "slice").agg(F.max_by(full, order).alias("here"))
