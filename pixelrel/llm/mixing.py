@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 
 SEED = 17
-BROADCAST_SOURCES = 20_000
+BROADCAST_SOURCES, BROADCAST_VALUES = 20_000, 2_000_000
 
 
 def poisson_window(rate: float) -> tuple[int, list[float]]:
@@ -38,7 +38,7 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, epoch
     named get none. A null source is a source of its own, named "". The uniform number behind a count is a hash of (seed, doc_id, source, text), so a
     rerun repeats it, and exact repeats of a row agree. Null texts and ids hash as nothing; long texts are hashed whole; an empty table gives an
     empty result. Counts per source are combined map-side. The table of sources is
-    broadcast only up to ``BROADCAST_SOURCES`` rows; beyond that it is joined by shuffle, documents salted so that no
+    broadcast only up to ``BROADCAST_SOURCES`` rows and ``BROADCAST_VALUES`` steps of their distributions; beyond that it is joined by shuffle, documents salted so that no
     source fills one task. Clashing column names are replaced. Sort by shuffle_key for the global order.
     """
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
@@ -57,8 +57,10 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, epoch
         return pd.DataFrame([poisson_window(r) for r in rates], columns=["low", "cdf"])
 
     plan = counts.select("_source", rate.alias("rate")).withColumn("_w", window("rate")).select("_source", "rate", F.col("_w.low").alias("_low"), F.col("_w.cdf").alias("_cdf"))
+    plan = stage(plan, "rates")
+    held = plan.agg(F.count("*"), F.sum(F.size("_cdf"))).first()
     rows = docs.drop("rate", "copy", "shuffle_key").withColumn("_source", source)
-    if totals[0] <= BROADCAST_SOURCES:
+    if held[0] <= BROADCAST_SOURCES and (held[1] or 0) <= BROADCAST_VALUES:
         joined = rows.join(F.broadcast(plan), "_source")
     else:
         salts = 64
