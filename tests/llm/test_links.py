@@ -130,3 +130,41 @@ def test_tool_links_of_random_conversations(spark):
     names = ["conv_id", "turn", "n_calls", "n_answered", "n_unlinkable", "link", "level", "call_order"]
     assert sorted(str(tuple(r[c] for c in names)) for r in got) == sorted(map(str, brute_tools(rows)))
     assert sorted((r["n_answered"], r["call_order"]) for r in got if r["conv_id"] == 99 and r["n_calls"]) == [(0, "b"), (1, "a")]
+
+
+def test_filters_of_few_rows_in_many_blocks_stay_small():
+    from pixelrel.llm import dedup
+
+    rng = np.random.default_rng(3)
+    fps = np.concatenate([rng.integers(-2**63, 2**63, 3000), np.zeros(500, np.int64)])
+    made = pd.concat(dedup._builder(10)([pd.DataFrame({"fp": fps})]))
+    # A dozen bytes a slot and some for each block, not a map of 512 bytes for each.
+    assert sum(len(o) for o in made["occupied"]) <= 2 * 3001
+    again = pd.concat(dedup._builder(10)([pd.DataFrame({"fp": fps[:1000]})]))
+    counts = {}
+    for _, block in pd.concat([made, again]).groupby("block"):
+        row = dedup._merge(block).iloc[0]
+        top = (row["block"] << dedup.QUOTIENT_BITS) | dedup._quotients(row["occupied"], row["run_ends"], len(row["counts"]))
+        for t, r, n in zip(top.tolist(), row["remainders"].tolist(), row["counts"].tolist()):
+            counts[t << 42 | r] = n
+    want, n = np.unique(np.concatenate([fps, fps[:1000]]).astype(np.int64).view(np.uint64), return_counts=True)
+    assert counts == dict(zip(want.tolist(), n.tolist()))
+
+
+def test_revisits_at_timestamps_and_ties(spark):
+    from pyspark.sql import functions as F
+
+    from pixelrel.llm import warc
+
+    rng, recs = random.Random(2), []
+    for i in range(400):
+        recs.append((i, rng.choice(["response", "revisit"]), rng.choice(["http://hot.example/"] * 5 + ["http://b.example/x"]), rng.choice([1, 1, 1, 2, 5, None]), None, None, None))
+    frame = spark.createDataFrame(recs, "record_id long, kind string, url string, at long, etag string, last_modified string, headers map<string,string>")
+    want = {}
+    for i, kind, url, at, *_ in recs:
+        if kind == "revisit":
+            before = [(a, j) for j, k, u, a, *_ in recs if k == "response" and u == url and a is not None and at is not None and (a, j) < (at, i)]
+            want[i] = max(before)[1] if before else None
+    for one in (frame, frame.withColumn("at", F.timestamp_seconds("at"))):
+        for slices in (None, 3):
+            assert {r["record_id"]: r["resolved_id"] for r in warc.resolve_revisits(one, slices).collect()} == want

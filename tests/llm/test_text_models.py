@@ -71,7 +71,7 @@ def test_scores_are_those_of_plain_counts(spark, monkeypatch):
         for i, h, (n_tokens, n_known, total, base, score) in zip(ids, held, brute_scores(list(zip(ids, texts)), held)):
             r = found[i]
             assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, n_tokens, n_known, total)
-            assert abs(r["base_score"] - base) < 1e-9 * n_tokens and abs(r["score"] - score) < 0.0005 * n_tokens
+            assert abs(r["base_score"] - base) < 1e-9 * n_tokens and abs(r["score"] - score) < 0.005 * n_tokens
 
 
 def test_scores_without_training_rows_or_rows(spark):
@@ -85,10 +85,10 @@ def test_probabilities_after_a_context_sum_to_one():
     after, counts = np.array([3, 8, 1, 4, 9, 2], np.uint64), np.array([4, 1, 2, 2, 6, 1])
     held = lm.Trie(pairs, after, of, counts, 16, 100, 5.0)
     code, follow = held.query(np.array([5, 9, 33], np.uint64), np.array([0, 0, 0, 1, 2]), np.array([3, 8, 9, 9, 3], np.uint64))
-    assert np.allclose(lm._VALUES[code], [5 / 16, 10 / 16, 0], rtol=5e-4)
-    assert np.allclose(lm._VALUES[follow], [4 / 10, 1 / 10, 0, 6 / 15, 0], rtol=5e-4)
+    assert np.allclose(lm._VALUES[code], [5 / 16, 10 / 16, 0], rtol=6e-3)
+    assert np.allclose(lm._VALUES[follow], [4 / 10, 1 / 10, 0, 6 / 15, 0], rtol=6e-3)
     # What the context's own followers leave is the weight of the shorter context.
-    assert abs(lm._VALUES[follow[:2]].sum() + 5 / (5 + 5) - 1) < 1e-3
+    assert abs(lm._VALUES[follow[:2]].sum() + 5 / (5 + 5) - 1) < 1e-2
 
 
 def brute_alignment(texts):
