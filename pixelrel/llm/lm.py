@@ -18,8 +18,9 @@ from .eliasfano import EliasFano, mapped
 WEIGHT2, WEIGHT3 = 3000.0, 5.0
 #: Texts a task counts at a time, in characters; words and n-grams a shard holds, about.
 PORTION, SHARD_WORDS, SHARD_GRAMS = 8_000_000, 2_000_000, 1_000_000
-#: Probabilities are held as steps of log10 from -20 up, 0 standing for none: half a step is 0.00015.
-LOWEST, STEP = -20.0, 20.0 / 65534
+#: Probabilities are held as 12-bit steps of log10 from -20 up, 0 standing for none: half a step is 0.0024.
+CODES, LOWEST = 4096, -20.0
+STEP = -LOWEST / (CODES - 2)
 #: Bits of a pair's hash within its shard. A shard keeps its size as the corpus grows, so two of its million pairs share them as rarely then: one in a million.
 PAIR_BITS = 40
 #: Bits of a word's fingerprint after a pair: an unseen word is taken for one of n followers with a chance of n / 2^24, and gains that one's small share then.
@@ -76,13 +77,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _code(p: np.ndarray) -> np.ndarray:
-    """16-bit steps of log10 of ``p``, at most 1; 0 where p is 0."""
+    """Steps of log10 of ``p``, at most 1; 0 where p is 0."""
     with np.errstate(divide="ignore"):
         at = np.rint((np.log10(p) - LOWEST) / STEP) + 1
-    return np.where(p > 0, np.clip(at, 1, 65535), 0).astype(np.uint16)
+    return np.where(p > 0, np.clip(at, 1, CODES - 1), 0).astype(np.uint16)
 
 
-_VALUES = np.concatenate([[0.0], 10 ** (LOWEST + STEP * np.arange(65535))])
+_VALUES = np.concatenate([[0.0], 10 ** (LOWEST + STEP * np.arange(CODES - 1))])
 
 
 class _Index(dict):
@@ -302,7 +303,7 @@ def lm_scores(docs: DataFrame, held: Column, weights: tuple[float, float] = (WEI
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Rows where ``held`` holds are scored, not learnt.
 
     Words are counted with their one and two words before; a word's probability rests on the longest context, each context lending ``weights`` words to the
-    next shorter one, down to counts plus a half over all words and one unknown: each distribution sums to 1 but for the rounding of stored probabilities (0.00015 in log10).
+    next shorter one, down to counts plus a half over all words and one unknown: each distribution sums to 1 but for the rounding of stored probabilities (0.0024 in log10).
 
     The trie is sharded by pairs of words over the cluster, so that no machine holds it whole and a common word spreads over shards. Portions of texts send each shard
     their distinct words (or grams) with counts, compressed; a shard sums them, builds its levels, looks each up and sends back codes, which the portion's texts put together. Shards
