@@ -280,3 +280,22 @@ def test_pipeline_stages(spark, tables, tmp_path):
     assert sorted(whole[whole.piece == 0].doc_id) == want and (whole.groupby("sequence_id").length.sum() <= packing.CAPACITY).all()
     empty = docs.limit(0)
     assert all(step(spark, empty, str(tmp_path)).count() == 0 for _, step in pipeline.STAGES)
+
+
+CLASHES = ["_row", "_key", "_x", "_id", "_p", "score", "predicted", "held_out", "kept", "keep_id", "text_sha256", "component_id", "words", "fp", "node", "n", "rate", "copy", "shuffle_key", "_source", "_times", "piece", "start", "grp", "a.b"]
+
+
+def test_pipeline_keeps_other_columns_whatever_their_names(spark, tables, tmp_path):
+    import corpus_pipeline as pipeline
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(4, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    plain = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text", "source")
+    docs = plain.select("*", *[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(c) for c in CLASHES])
+    docs = docs.unionByName(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    for name, step in pipeline.STAGES[:-1]:
+        out = step(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        rows = out.toPandas()
+        assert len(rows) and all((rows[c].str.split("-").str[0] == c).all() for c in CLASHES), name
+    assert pipeline.pack(spark, docs, str(tmp_path)).count() >= len(TEXTS)
