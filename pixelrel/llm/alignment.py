@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,25 +40,25 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def link_tokens(a_len: list[int], b_len: list[int]) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """Links (i, j) of tokens whose byte ranges overlap, in order, and the component of every token of A and of B, named by its first token of A.
+def link_tokens(a_len: list[int], b_len: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links (i, j) of tokens whose byte ranges overlap, in order, and the component of every token of A, then of B, named by its first token of A.
 
     Both sides cover the same bytes. A walk along their ends meets each overlap once; union-find over the bipartite graph of the links joins them.
     """
     n = len(a_len)
     parent = list(range(n + len(b_len)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
     links, i, j, a_end, b_end = [], 0, 0, a_len[0], b_len[0]
     while True:
         links.append((i, j))
-        x, y = find(i), find(n + j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
+        x, y = i, n + j
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x < y:
+            parent[y] = x
+        elif y < x:
+            parent[x] = y
         gap = a_end - b_end
         if gap <= 0:
             i += 1
@@ -69,13 +70,16 @@ def link_tokens(a_len: list[int], b_len: list[int]) -> tuple[list[tuple[int, int
             a_end += a_len[i]
         if gap >= 0:
             b_end += b_len[j]
-    return links, [find(x) for x in range(n)], [find(y) for y in range(n, len(parent))]
+    # A token's parent comes before it, or is a token of A: taken in order, one step reaches the root.
+    for x, up in enumerate(parent):
+        parent[x] = parent[up]
+    return links, parent
 
 
 class Aligner:
     """Aligned segments of texts; segments met before are remembered up to a bound."""
 
-    def __init__(self, a_path: str, b_path: str, bound: int = 250_000):
+    def __init__(self, a_path: str, b_path: str, bound: int = 500_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -94,17 +98,19 @@ class Aligner:
         self.bound, self.seen, self.before = bound, {}, {}
 
     def _aligned(self, text: str, a_ids: list[int], b_ids: list[int]) -> tuple | None:
-        """(tokens of A, of B, groups, their text, linked pairs) of one stretch of ``text``; None where the bytes differ."""
+        """(tokens of A, of B, groups, their text, linked pairs as 32-bit numbers) of one stretch of ``text``; None where the bytes differ."""
         a_parts, b_parts, want = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids], text.encode()
         if b"".join(a_parts) != want or b"".join(b_parts) != want:
             return None
-        links, a_of, b_of = link_tokens([len(p) for p in a_parts], [len(p) for p in b_parts])
-        groups: dict[int, tuple[list[str], list[str]]] = {r: ([], []) for r in a_of}
-        for side, (ids, of) in enumerate(((a_ids, a_of), (b_ids, b_of))):
-            for token, root in zip(ids, of):
-                groups[root][side].append(str(token))
-        said = ";".join(",".join(a) + "|" + ",".join(b) for a, b in groups.values())
-        return len(a_ids), len(b_ids), len(groups), said, [a_ids[i] << 32 | b_ids[j] for i, j in links]
+        links, roots = link_tokens([*map(len, a_parts)], [*map(len, b_parts)])
+        n = len(a_ids)
+        of_b = roots[n:]
+        # Components are stretches of both sides in the same order: one begins where a token of A names itself, and where B's root changes.
+        a_at = [k for k in range(n) if roots[k] == k]
+        b_at = [k for k, root in enumerate(of_b) if not k or root != of_b[k - 1]]
+        a_said, b_said = [*map(str, a_ids)], [*map(str, b_ids)]
+        said = ";".join([",".join(a_said[i:k]) + "|" + ",".join(b_said[j:m]) for i, k, j, m in zip(a_at, [*a_at[1:], n], b_at, [*b_at[1:], len(b_ids)])])
+        return n, len(b_ids), len(a_at), said, array("I", [a_ids[i] << 16 | b_ids[j] for i, j in links]).tobytes()
 
     def _whole(self, text: str) -> tuple | None:
         return self._aligned(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
@@ -133,7 +139,7 @@ class Aligner:
                 yield self._whole(text) if text else None
                 continue
             n_a, n_b, n_groups, said, pairs = zip(*found)
-            yield sum(n_a), sum(n_b), sum(n_groups), ";".join(said), [p for some in pairs for p in some]
+            yield sum(n_a), sum(n_b), sum(n_groups), ";".join(said), b"".join(pairs)
         if len(seen) > self.bound // 2:
             self.seen, self.before = {}, seen
 
@@ -162,10 +168,9 @@ def _align(a_path: str, b_path: str):
                         out.append((0, 0, 0, 0, "", [], []))
                         continue
                     n_a, n_b, n_groups, said, links = found
-                    keys, times = np.unique(np.array(links, np.int64), return_counts=True)
-                    # Both ids fit 16 bits each: one int.
-                    keys = ((keys >> 32 << 16) | (keys & 0xFFFF)).astype(np.uint32).view(np.int32)
-                    out.append((n_a, n_b, n_groups, len(links), hashlib.sha256(said.encode()).hexdigest(), keys, times.astype(np.int32)))
+                    links = np.frombuffer(links, np.uint32)
+                    keys, times = np.unique(links, return_counts=True)
+                    out.append((n_a, n_b, n_groups, len(links), hashlib.sha256(said.encode()).hexdigest(), keys.view(np.int32), times.astype(np.int32)))
                 frame = pd.DataFrame(out, columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
                 yield pd.concat([part[["doc_id", "row"]].reset_index(drop=True), frame], axis=1)
 
