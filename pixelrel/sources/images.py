@@ -86,7 +86,7 @@ def scan(spark: SparkSession, folder: str, formats: list[str] | None = None, lim
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, content) of all files below ``folder``, bytes and all; file is the path."""
+    """(file, content) of all files below ``folder``, bytes and all; file is the path. Spark's reader passes over files of no bytes."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("file"), "content")
 
 
