@@ -334,13 +334,29 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", simhash("text").alias("fp"))
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS_APART, verify: float | None = None) -> DataFrame:
+#: Fingerprints under one key that a task compares; a key with more is cut into tiles of so many.
+KEY_ROWS = 20_000
+
+
+def _dealt(keyed: DataFrame, key_rows: int) -> DataFrame:
+    """(key, fp) with keys of more than ``key_rows`` rows dealt out: their rows are cut into tiles by hash, and each pair of tiles becomes a key of its own that holds the rows of both."""
+    large = stage(keyed.groupBy("key").count().where(F.col("count") > key_rows), "large")
+    if large.isEmpty():
+        return keyed.select(F.col("key").cast("long").alias("key"), "fp")
+    held = broadcast_if_small(large, 2_000_000)
+    few = keyed.join(held.select("key"), "key", "left_anti").select(F.col("key").cast("long").alias("key"), "fp")
+    tiled = keyed.join(held, "key").withColumn("tiles", F.ceil(F.col("count") / key_rows).cast("int")).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    both = tiled.select("key", "fp", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o")).where("t <> o")
+    return few.unionByName(both.select(F.xxhash64("key", F.least("t", "o"), F.greatest("t", "o")).alias("key"), "fp"))
+
+
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS_APART, verify: float | None = None, key_rows: int = KEY_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id (smallest doc_id reachable over links of at most ``bits`` bits).
 
     With ``verify`` a link also needs that Jaccard similarity of the texts' shingles (see ``_verified``); without it ``bits`` is 4 at most.
 
     Equal fingerprints are one node, so groups of copies cost one row per partition. Nodes send their fuzzy
-    keys, are compared per key, and each task emits only a spanning forest of its links; distributed star
+    keys, are compared per key (keys of more than ``key_rows`` in pairs of tiles), and each task emits only a spanning forest of its links; distributed star
     contraction joins these up. Null doc_ids are the component's id only where all its ids are null; empty tables give empty
     results; rows without words share fingerprint zero and link.
     """
@@ -352,7 +368,7 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS
     nodes = stage(fp.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 1
     keyed = nodes.select("fp").mapInPandas(_emit_keys, "key int, fp long")
-    links = stage(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_match(bits), "a long, b long"), "links")
+    links = stage(_dealt(keyed, key_rows).repartition("key").sortWithinPartitions("key").mapInPandas(_match(bits), "a long, b long"), "links")
     roots = components(links)
     tagged = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     smallest = tagged.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -168,3 +168,32 @@ def test_revisits_at_timestamps_and_ties(spark):
     for one in (frame, frame.withColumn("at", F.timestamp_seconds("at"))):
         for slices in (None, 3):
             assert {r["record_id"]: r["resolved_id"] for r in warc.resolve_revisits(one, slices).collect()} == want
+
+
+@pytest.mark.parametrize("key_rows", [5, 20_000])
+def test_fingerprints_under_one_key_in_tiles(spark, monkeypatch, key_rows):
+    from pyspark.sql import functions as F
+
+    from pixelrel.llm import simhash
+
+    rng = random.Random(11)
+    prints = [rng.getrandbits(64) & ~0xFFFFFF for _ in range(4)]
+    # Many prints a few low bits apart share their upper segments, and so a key.
+    fps = sorted({p ^ sum(1 << b for b in rng.sample(range(14), rng.randint(0, 9))) for p in prints for _ in range(40)})
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: docs.select("doc_id", F.col("text").cast("long").alias("fp")))
+    signed = [p - (1 << 64) if p >> 63 else p for p in fps]
+    frame = spark.createDataFrame([(i, str(p)) for i, p in enumerate(signed)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(frame, key_rows=key_rows).collect()}
+    parent = list(range(len(fps)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, p in enumerate(fps):
+        for j in range(i):
+            if (p ^ fps[j]).bit_count() <= 4:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in range(len(fps))}
