@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,21 +81,69 @@ def unsharp(pixels: DataFrame, sigma: float, threshold: int = 1) -> DataFrame:
     return d.withColumns(sharp).select(pixels.columns)
 
 
+def _starts(pdf: pd.DataFrame) -> np.ndarray:
+    """Where a block of an image begins in sorted rows."""
+    image, block = pd.factorize(pdf["image_id"], use_na_sentinel=False)[0], pdf["_block"].to_numpy()
+    new = np.ones(len(pdf), bool)
+    new[1:] = (image[1:] != image[:-1]) | (block[1:] != block[:-1])
+    return new
+
+
+#: Rows of an image that one task takes the medians of.
+MEDIAN_ROWS = 64
+
+
 def median(pixels: DataFrame, radius: int = 1) -> DataFrame:
-    """Median of every channel over the square of ``radius`` (0 to 10) around a pixel, edges repeated: one window along rows, one along columns."""
+    """Median of every channel over the square of ``radius`` (0 to 10) around a pixel, edges repeated. All pixels of an image's rectangle are there.
+
+    An image is cut into blocks of rows, each sent once with the ``radius`` rows beside it: one shuffle of little more than the pixels, and a task holds a block at a time. Its medians are taken from windows of one array, some
+    rows at a time, so memory follows the block's width.
+    """
     if not 0 <= radius <= 10:
         raise ValueError("a radius is 0 to 10")
-    along, down = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-
-    def around(v: str, window, at: str, side: str) -> Column:
-        ends = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        first, last = F.first(v).over(ends), F.last(v).over(ends)
-        return F.array(*[F.coalesce(F.lag(v, -k).over(window), last if k > 0 else first) for k in range(-radius, radius + 1)])
-
-    d = pixels.withColumn("_v", F.struct(*RGBA))
-    d = d.withColumn("_row", around("_v", along, "x", "w")).withColumn("_near", F.flatten(around("_row", down, "y", "h")))
-    middle = (2 * radius + 1) ** 2 // 2 + 1
-    return d.withColumns({c: F.element_at(F.sort_array(F.col("_near")[c]), middle) for c in RGBA}).drop("_v", "_row", "_near")
+    if radius == 0:
+        return pixels
+    side, names = 2 * radius + 1, pixels.columns
+
+    def block_medians(image: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Medians of the rows from ``low`` to ``high`` of ``image``; rows that it lacks beside them are those of its edge, as columns are."""
+        near = np.pad(image, ((radius - low, radius - (len(image) - 1 - high)), (radius, radius), (0, 0)), mode="edge")
+        step, found = max(1, 4_000_000 // (image.shape[1] * 4 * side * side)), []
+        for at in range(0, high - low + 1, step):
+            part = np.lib.stride_tricks.sliding_window_view(near[at:min(at + step, high - low + 1) + 2 * radius], (side, side), axis=(0, 1))
+            found.append(np.partition(part.reshape(*part.shape[:3], -1), side * side // 2, axis=-1)[..., side * side // 2].reshape(-1, 4))
+        return np.concatenate(found)
+
+    def medians(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All blocks of ``pdf``, one after the other."""
+        cuts = np.r_[np.flatnonzero(_starts(pdf)), len(pdf)]
+        values, w, y, block = pdf[list(RGBA)].to_numpy(), *(pdf[c].to_numpy() for c in ("w", "y", "_block"))
+        own, out = y // MEDIAN_ROWS == block, values.copy()
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            rows = y[lo:hi:w[lo]]
+            here = np.flatnonzero(rows // MEDIAN_ROWS == block[lo])
+            out[lo:hi][own[lo:hi]] = block_medians(values[lo:hi].reshape(-1, w[lo], 4), here[0], here[-1])
+        done = pdf.loc[own, names].copy()
+        done[list(RGBA)] = out[own]
+        return done
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            held.append(pdf)
+            starts = np.flatnonzero(_starts(pd.concat([held[0].iloc[:1], pdf])))
+            # The last block may go on in the next batch.
+            if len(starts) > 1:
+                cut = starts[-1] - 1
+                yield medians(pd.concat([*held[:-1], pdf.iloc[:cut]], ignore_index=True)) if len(held) > 1 or cut else pdf.iloc[:0][names]
+                held = [pdf.iloc[cut:]]
+        if held and any(map(len, held)):
+            yield medians(pd.concat(held, ignore_index=True))
+
+    last = F.expr(f"(h - 1) div {MEDIAN_ROWS}")
+    blocks = F.sequence(F.greatest(F.floor((F.col("y") - radius) / MEDIAN_ROWS), F.lit(0)), F.least(F.floor((F.col("y") + radius) / MEDIAN_ROWS), last))
+    key = ["image_id", "_block"]
+    return pixels.withColumn("_block", F.explode(blocks)).repartition(*key).sortWithinPartitions(*key, "y", "x").mapInPandas(run, pixels.schema)
 
 
 def linear(v: Column) -> Column:

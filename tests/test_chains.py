@@ -293,3 +293,23 @@ def test_filters_by_kind(spark):
     for call in (lambda: filters.apply_filter(px, "sepia"), lambda: filters.apply_filter(px, "blur", float("nan")), lambda: filters.denoise(px, "median", 10.5), lambda: filters.denoise(px, "mean", 1)):
         with pytest.raises(ValueError):
             call()
+
+
+@pytest.mark.parametrize("radius", [1, 3, 10])
+def test_medians_across_blocks_of_rows(spark, monkeypatch, radius):
+    monkeypatch.setattr(tones, "MEDIAN_ROWS", 4)
+    rng = np.random.default_rng(radius)
+    arrays = [rng.integers(0, 256, (13, 6, 4)), rng.integers(0, 256, (4, 1, 4)), rng.integers(0, 256, (1, 9, 4)), rng.integers(0, 256, (9, 30, 4))]
+    frame = picture(spark, arrays).withColumn("note", F.concat_ws("-", "x", "y"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000 if radius == 1 else 23)
+    try:
+        got = {(r["image_id"], r["x"], r["y"]): (r["r"], r["g"], r["b"], r["a"], r["note"]) for r in tones.median(frame, radius).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == sum(a.shape[0] * a.shape[1] for a in arrays)
+    for i, a in enumerate(arrays):
+        wide = np.pad(a, ((radius, radius), (radius, radius), (0, 0)), mode="edge")
+        for y in range(a.shape[0]):
+            for x in range(a.shape[1]):
+                square = wide[y:y + 2 * radius + 1, x:x + 2 * radius + 1].reshape(-1, 4)
+                assert got[i, x, y] == (*np.median(square, axis=0).astype(int).tolist(), f"{x}-{y}")
