@@ -19,10 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder."""
+def settled(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a table in the shared folder, ``name`` beginning its path."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
