@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import Rounds, settled
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session may do without: it gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs one read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the folder all executors share and read it back: lineage ends there, so a lost executor costs one read."""
+    return settled(df, name)
 
 
 def broadcast_if_small(df: DataFrame, bound: int) -> DataFrame:
@@ -65,11 +50,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) by alternating large-star and small-star steps.
 
     Returns (node, root) for every node of an edge, root being the smallest node reachable. Each step is a
-    grouped minimum (combined map-side) and an equi-join, and keeps the edge count linear. Empty edges give
-    an empty table.
+    grouped minimum (combined map-side) and an equi-join, and keeps the edge count linear; its table takes the place of
+    its predecessor's. Empty edges give an empty table.
     """
-    spark = edges.sparkSession
-    edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    rounds = Rounds(edges.sparkSession)
+    edges = rounds.settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     signature, size = None, edges.count()
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -81,7 +66,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.col("b").alias("x"), F.col("m"), F.col("a"))
         new = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = stage(new, "edges")
+        edges = rounds.settle(new)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if signature == tuple(now):
             break
