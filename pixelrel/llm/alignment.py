@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from array import array
@@ -22,6 +23,12 @@ BROADCAST_PAIRS = 2_000_000
 HELD_PAIRS = 1_000_000
 #: A run of blanks and line feeds with the characters up to the next one: no token of either tokenizer crosses from one into the next.
 SEGMENT = re.compile(r"[ \n]+[^ \n]*")
+#: Fixed value: how a byte-level tokenizer parts a text before its merges.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters whose kind all versions of Unicode agree on.
+COMMON = re.compile(r"[\x00-\u024F]*")
+#: Where blanks and line feeds stand alone between characters, segments are found by splitting.
+RUNS = re.compile(r"^[ \n]|[ \n][ \n]|[ \n]\Z")
 #: Other white space makes runs that a cut before a blank may divide; such texts are encoded whole.
 OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 ALIGNED = "doc_id {id}, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>, times array<int>"
@@ -80,6 +87,7 @@ class Aligner:
     """Aligned segments of texts; segments met before are remembered up to a bound."""
 
     def __init__(self, a_path: str, b_path: str, bound: int = 500_000):
+        import regex
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -94,6 +102,8 @@ class Aligner:
         self.cuttable = not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces)
         if max(self.a_bytes) > 0xFFFF or len(pieces) > 0x10000:
             raise ValueError("ids of both tokenizers fit 16 bits")
+        self.findall, self.parts = regex.compile(PARTS).findall if _merges_parts(a_path) else None, {}
+        self.char = {b: c for c, b in byte.items()}
         self.blank = pieces.index("▁") if "▁" in pieces else -1
         self.bound, self.seen, self.before = bound, {}, {}
 
@@ -115,26 +125,45 @@ class Aligner:
     def _whole(self, text: str) -> tuple | None:
         return self._aligned(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
 
-    def _learn(self, segments: list[str]) -> None:
+    def _learn(self, keys: list[str]) -> None:
         """Segments not met yet, all at once. A segment's first blank is the one that B adds; before a line feed the blank added is a token of its own and goes."""
-        lone = [s[0] != " " for s in segments]
-        a_ids = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        b_ids = self.b.encode([s if x else s[1:] for s, x in zip(segments, lone)], num_threads=1)
-        for s, x, a, b in zip(segments, lone, a_ids, b_ids):
-            own = [self.blank] if s == " " else b[1:] if x and b[:1] == [self.blank] else b
-            self.seen[s] = self._aligned(s, a, own)
+        segments = [k if k[0] in " \n" else " " + k for k in keys]
+        plain = [self.findall is not None and COMMON.fullmatch(k) is not None for k in keys]
+        rest = iter(self.a.encode_batch_fast([s for s, x in zip(segments, plain) if not x], add_special_tokens=False))
+        b_ids = self.b.encode([k[1:] if k[0] == " " else k for k in keys], num_threads=1)
+        for key, segment, x, b in zip(keys, segments, plain, b_ids):
+            a = [i for part in self.findall(segment) for i in self._part(part)] if x else next(rest).ids
+            if key[0] == "\n" and b[:1] == [self.blank]:
+                b = b[1:]
+            self.seen[key] = self._aligned(segment, a, [self.blank] if key == " " else b)
+        if len(self.parts) > self.bound // 4:
+            self.parts.clear()
+
+    def _part(self, part: str) -> list[int]:
+        """Tokens of a part of A's: its merges alone."""
+        found = self.parts.get(part)
+        if found is None:
+            chars = part.encode().decode("latin-1").translate(self.char)
+            self.parts[part] = found = [t.id for t in self.a.model.tokenize(chars)]
+        return found
+
+    def _keys(self, text: str) -> list[str]:
+        """Segments of a blank and ``text``; where a segment starts with a single blank, without it."""
+        if not RUNS.search(text):
+            return text.replace("\n", " \n").split(" ")
+        return [s[1:] if s[0] == " " and s[1:2] not in ("", " ", "\n") else s for s in SEGMENT.findall(" " + text)]
 
     def __call__(self, texts: list[str]) -> Iterator[tuple | None]:
         """Per text (n_a, n_b, n_groups, groups, pairs), or None without tokens."""
-        cut = [SEGMENT.findall(" " + t) if t and self.cuttable and not OTHER_SPACE.search(t) else None for t in texts]
+        cut = [self._keys(t) if t and self.cuttable and not OTHER_SPACE.search(t) else None for t in texts]
         seen, before = self.seen, self.before
-        new = {s for c in cut if c for s in c if s not in seen}
-        for s in [s for s in new if s in before]:
-            seen[s] = before[s]
-            new.discard(s)
+        new = {k for c in cut if c for k in c if k not in seen}
+        for k in [k for k in new if k in before]:
+            seen[k] = before[k]
+            new.discard(k)
         self._learn(list(new))
-        for text, segments in zip(texts, cut):
-            found = [seen[s] for s in segments] if segments else [None]
+        for text, keys in zip(texts, cut):
+            found = [seen[k] for k in keys] if keys else [None]
             if None in found:
                 yield self._whole(text) if text else None
                 continue
@@ -144,6 +173,15 @@ class Aligner:
             self.seen, self.before = {}, seen
 
 
+def _merges_parts(path: str) -> bool:
+    """Whether the tokenizer of this file parts texts by ``PARTS`` and merges bytes inside a part, without more before or after."""
+    with open(path, encoding="utf-8") as file:
+        plan = json.load(file)
+    level, model = plan["pre_tokenizer"] or {}, plan["model"]
+    return (level.get("type") == "ByteLevel" and level["use_regex"] and not level["add_prefix_space"] and model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+            and plan["normalizer"] is None and plan["post_processor"] is None and not plan["truncation"] and not plan["padding"])
+
+
 @lru_cache(maxsize=1)
 def _aligner(a_path: str, b_path: str) -> Aligner:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
