@@ -336,13 +336,20 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 #: Fingerprints under one key that a task compares; a key with more is cut into tiles of so many.
 KEY_ROWS = 20_000
+#: Keys are counted together in so many groups first, one by one only in groups of more than ``KEY_ROWS``.
+KEY_GROUPS = 1 << 18
 
 
 def _dealt(keyed: DataFrame, key_rows: int) -> DataFrame:
     """(key, fp) with keys of more than ``key_rows`` rows dealt out: their rows are cut into tiles by hash, and each pair of tiles becomes a key of its own that holds the rows of both."""
-    large = stage(keyed.groupBy("key").count().where(F.col("count") > key_rows), "large")
+    plain, group = keyed.select(F.col("key").cast("long").alias("key"), "fp"), F.pmod("key", F.lit(KEY_GROUPS)).alias("group")
+    groups = stage(keyed.select(group).groupBy("group").count().where(F.col("count") > key_rows).select("group"), "groups")
+    if groups.isEmpty():
+        return plain
+    suspect = keyed.select("key", group).join(broadcast_if_small(groups, KEY_GROUPS), "group", "left_semi")
+    large = stage(suspect.groupBy("key").count().where(F.col("count") > key_rows), "large")
     if large.isEmpty():
-        return keyed.select(F.col("key").cast("long").alias("key"), "fp")
+        return plain
     held = broadcast_if_small(large, 2_000_000)
     few = keyed.join(held.select("key"), "key", "left_anti").select(F.col("key").cast("long").alias("key"), "fp")
     tiled = keyed.join(held, "key").withColumn("tiles", F.ceil(F.col("count") / key_rows).cast("int")).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
