@@ -6,16 +6,16 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, stage, table
+from .common import attach, forest, stage, table
 
 #: Pair counts are broadcast up to this many pairs (some 100 MB), else joined by shuffle.
 BROADCAST_PAIRS = 2_000_000
@@ -47,40 +47,16 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def link_tokens(a_len: list[int], b_len: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
+def link_tokens(a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links (i, j) of tokens whose byte ranges overlap, in order, and the component of every token of A, then of B, named by its first token of A.
 
-    Both sides cover the same bytes. A walk along their ends meets each overlap once; union-find over the bipartite graph of the links joins them.
+    Both sides cover the same bytes. Two ranges overlap in one stretch between neighbouring ends of either side, so these stretches are the links; union-find
+    over the bipartite graph of the links gives the components.
     """
-    n = len(a_len)
-    parent = list(range(n + len(b_len)))
-    links, i, j, a_end, b_end = [], 0, 0, a_len[0], b_len[0]
-    while True:
-        links.append((i, j))
-        x, y = i, n + j
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x < y:
-            parent[y] = x
-        elif y < x:
-            parent[x] = y
-        gap = a_end - b_end
-        if gap <= 0:
-            i += 1
-        if gap >= 0:
-            j += 1
-        if i == n:
-            break
-        if gap <= 0:
-            a_end += a_len[i]
-        if gap >= 0:
-            b_end += b_len[j]
-    # A token's parent comes before it, or is a token of A: taken in order, one step reaches the root.
-    for x, up in enumerate(parent):
-        parent[x] = parent[up]
-    return links, parent
+    a_end, b_end = np.cumsum(a_len), np.cumsum(b_len)
+    ends = np.union1d(a_end, b_end)
+    i, j = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+    return i, j, forest(i, len(a_len) + j, len(a_len) + len(b_len))
 
 
 class Aligner:
@@ -100,6 +76,10 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         # Cutting is safe where no piece holds a line feed, nor a blank after another character.
         self.cuttable = not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces)
+        self.a_len, self.b_len = np.zeros(max(self.a_bytes) + 1, np.int64), np.array([len(x) for x in self.b_bytes])
+        self.a_len[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        #: Ids behind ",", ";" (A) and ",", "|" (B): a token that goes on with a group, or begins one or its second side.
+        self.said = np.array([f"{sign}{i}" for sign in ",;,|" for i in range(1 << 16)], object)
         if max(self.a_bytes) > 0xFFFF or len(pieces) > 0x10000:
             raise ValueError("ids of both tokenizers fit 16 bits")
         self.findall, self.parts = regex.compile(PARTS).findall if _merges_parts(a_path) else None, {}
@@ -107,23 +87,40 @@ class Aligner:
         self.blank = pieces.index("▁") if "▁" in pieces else -1
         self.bound, self.seen, self.before = bound, {}, {}
 
-    def _aligned(self, text: str, a_ids: list[int], b_ids: list[int]) -> tuple | None:
-        """(tokens of A, of B, groups, their text, linked pairs as 32-bit numbers) of one stretch of ``text``; None where the bytes differ."""
-        a_parts, b_parts, want = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids], text.encode()
-        if b"".join(a_parts) != want or b"".join(b_parts) != want:
-            return None
-        links, roots = link_tokens([*map(len, a_parts)], [*map(len, b_parts)])
-        n = len(a_ids)
-        of_b = roots[n:]
-        # Components are stretches of both sides in the same order: one begins where a token of A names itself, and where B's root changes.
-        a_at = [k for k in range(n) if roots[k] == k]
-        b_at = [k for k, root in enumerate(of_b) if not k or root != of_b[k - 1]]
-        a_said, b_said = [*map(str, a_ids)], [*map(str, b_ids)]
-        said = ";".join([",".join(a_said[i:k]) + "|" + ",".join(b_said[j:m]) for i, k, j, m in zip(a_at, [*a_at[1:], n], b_at, [*b_at[1:], len(b_ids)])])
-        return n, len(b_ids), len(a_at), said, array("I", [a_ids[i] << 16 | b_ids[j] for i, j in links]).tobytes()
+    def _aligned(self, segments: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> list[tuple | None]:
+        """(tokens of A, of B, groups, their text, linked pairs as 32-bit numbers) of each segment; None where the bytes differ.
+
+        Segments whose bytes both sides cover are aligned as one text: a segment's end is an end of both sides, so no link or component leaves it.
+        """
+        good, want = [], []
+        for k, (segment, a, b) in enumerate(zip(segments, a_ids, b_ids)):
+            own = segment.encode()
+            if b"".join([self.a_bytes[i] for i in a]) == own and b"".join([self.b_bytes[i] for i in b]) == own:
+                good.append(k)
+                want.append(len(own))
+        out: list[tuple | None] = [None] * len(segments)
+        if not good:
+            return out
+        a, b = (np.fromiter(chain.from_iterable([ids[k] for k in good]), np.int64) for ids in (a_ids, b_ids))
+        n_a, n_b = (np.array([len(ids[k]) for k in good]) for ids in (a_ids, b_ids))
+        i, j, root = link_tokens(self.a_len[a], self.b_len[b])
+        pairs = (a[i] << 16 | b[j]).astype(np.uint32).tobytes()
+        # Tokens of a group stand together: those of A, then those of B, each behind the sign that parts it from the one before.
+        opens = np.r_[root[:len(a)] == np.arange(len(a)), np.r_[True, np.diff(root[len(a):]) != 0]]
+        side = np.r_[np.zeros(len(a), np.int64), np.ones(len(b), np.int64)]
+        order = np.argsort(2 * root + side, kind="stable")
+        signs = self.said[(2 * side + opens)[order] << 16 | np.r_[a, b][order]].tolist()
+        a_to, both_to = np.cumsum(n_a), np.cumsum(n_a + n_b)
+        link_to = np.searchsorted(i, a_to)
+        groups = np.diff(np.r_[0, np.cumsum(opens[:len(a)])[a_to - 1]])
+        lo = at = 0
+        for k, x, y, g, to, link in zip(good, n_a.tolist(), n_b.tolist(), groups.tolist(), both_to.tolist(), (4 * link_to).tolist()):
+            out[k] = (x, y, g, "".join(signs[lo:to])[1:], pairs[at:link])
+            lo, at = to, link
+        return out
 
     def _whole(self, text: str) -> tuple | None:
-        return self._aligned(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
+        return self._aligned([" " + text], [self.a.encode(" " + text, add_special_tokens=False).ids], [self.b.encode(text)])[0]
 
     def _learn(self, keys: list[str]) -> None:
         """Segments not met yet, all at once. A segment's first blank is the one that B adds; before a line feed the blank added is a token of its own and goes."""
@@ -131,14 +128,16 @@ class Aligner:
         plain = [self.findall is not None and COMMON.fullmatch(k) is not None for k in keys]
         rest = iter(self.a.encode_batch_fast([s for s, x in zip(segments, plain) if not x], add_special_tokens=False))
         b_ids = self.b.encode([k[1:] if k[0] == " " else k for k in keys], num_threads=1)
-        for key, segment, x, b in zip(keys, segments, plain, b_ids):
-            a = [i for part in self.findall(segment) for i in self._part(part)] if x else next(rest).ids
-            if key[0] == "\n" and b[:1] == [self.blank]:
-                b = b[1:]
-            self.seen[key] = self._aligned(segment, a, [self.blank] if key == " " else b)
+        a_ids = [self._parts(segment) if x else next(rest).ids for segment, x in zip(segments, plain)]
+        b_ids = [[self.blank] if key == " " else b[1:] if key[0] == "\n" and b[:1] == [self.blank] else b for key, b in zip(keys, b_ids)]
+        self.seen.update(zip(keys, self._aligned(segments, a_ids, b_ids)))
         if len(self.parts) > self.bound // 4:
             self.parts.clear()
 
+    def _parts(self, segment: str) -> list[int]:
+        parts = self.findall(segment)
+        return self._part(parts[0]) if len(parts) == 1 else [i for part in parts for i in self._part(part)]
+
     def _part(self, part: str) -> list[int]:
         """Tokens of a part of A's: its merges alone."""
         found = self.parts.get(part)
