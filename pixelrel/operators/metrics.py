@@ -56,14 +56,6 @@ def moments(cells: DataFrame, weights: Sequence[float] = SMOOTH, key: Sequence[s
     return d
 
 
-def row_moments(cells: DataFrame, radius: int) -> DataFrame:
-    """mu1, mu2, s11, s22, s12 of (image_id, plane, x, y, v1, v2): means of the values and of their products over ``radius`` pixels to both sides in a row, fewer at the edges."""
-    near = Window.partitionBy("image_id", "plane", "y").orderBy("x").rowsBetween(-radius, radius)
-    d = plane_products(cells, [("p11", "v1", "v1"), ("p22", "v2", "v2"), ("p12", "v1", "v2")])
-    means = {"mu1": "v1", "mu2": "v2", "s11": "p11", "s22": "p22", "s12": "p12"}
-    return d.withColumns({name: F.avg(of).over(near) for name, of in means.items()}).drop("p11", "p22", "p12")
-
-
 def _pooled(name: str, error: Column) -> list[Column]:
     """Mean and 4-norm of an error over the pixels."""
     return [F.avg(error).alias(f"{name}_mean"), F.pow(F.avg(F.pow(error, F.lit(4))), F.lit(0.25)).alias(f"{name}_norm4")]
