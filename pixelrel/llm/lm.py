@@ -317,6 +317,7 @@ def lm_scores(docs: DataFrame, held: Column, weights: tuple[float, float] = (WEI
     chunks = stage(rows.mapInPandas(_tokenize, CHUNKS), "tokens")
     n_words, n_tokens, total, n_docs = (x or 0 for x in chunks.agg(*[F.sum(c) for c in ("n_words", "n_tokens", "n_train", "n_docs")]).first())
     word_shards, shards = (max(1, -(-n // most)) for n, most in ((n_words, SHARD_WORDS), (n_tokens, SHARD_GRAMS)))
+    shards = min(shards, 1 << (64 - PAIR_BITS))
     counted = chunks.mapInPandas(_send_words(word_shards), ANSWER).groupBy("shard").applyInPandas(_count_words, ANSWER)
     counted = stage(counted, "words")
     known = counted.where("chunk < 0").agg(F.sum("shard")).first()[0] or 0
