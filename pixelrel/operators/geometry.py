@@ -167,8 +167,15 @@ def fit(pixels: DataFrame, mode: str, box: tuple[int, int], background: tuple[in
     return pad(scaled, box, background) if mode == "contain" else crop_center(scaled, box) if mode == "cover" else scaled
 
 
+def cropped_away(pixels: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
+    """(image_id, w, h, error) of images of which the rectangle holds nothing: "invalid" for each, as ``crop`` gives them no row."""
+    first = pixels.where("x = 0 and y = 0")
+    outside = F.lit(w <= 0 or h <= 0 or x + w <= 0 or y + h <= 0) | (F.lit(x) >= F.col("w")) | (F.lit(y) >= F.col("h"))
+    return first.where(outside).select("image_id", "w", "h", F.lit("invalid").alias("error"))
+
+
 def crop(pixels: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
-    """The part of the rectangle inside each image; an image it leaves empty has no rows, an empty rectangle is an error."""
+    """The part of the rectangle inside each image; an image it leaves empty has no rows (``cropped_away`` lists those), an empty rectangle is an error."""
     if w <= 0 or h <= 0:
         raise ValueError("an empty rectangle")
     x0, y0 = max(x, 0), max(y, 0)

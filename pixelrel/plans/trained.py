@@ -232,6 +232,7 @@ _image("f08_default_filters", _filtered, " UNION ALL ".join(f"SELECT '{k}' AS ki
 _image("f09_denoise", lambda p: filters.denoise(p, "median", 0.5).select("image_id", "x", "y", "r", "a"),
        "SELECT p.image_id, p.x, p.y, CAST(list_sort(list(q.r))[5] AS BIGINT) AS r, CAST(list_sort(list(q.a))[5] AS BIGINT) AS a FROM (SELECT *, unnest([-1, -1, -1, 0, 0, 0, 1, 1, 1]) AS i, unnest([-1, 0, 1, -1, 0, 1, -1, 0, 1]) AS j FROM emb_rgba) p "
        "JOIN emb_rgba q ON q.image_id = p.image_id AND q.x = least(greatest(p.x + i, 0), p.w - 1) AND q.y = least(greatest(p.y + j, 0), p.h - 1) GROUP BY ALL")
+_image("g14_cropped_away", lambda p: geometry.cropped_away(p, 9, -3, 4, 5), "SELECT image_id, w, h, 'invalid' AS error FROM emb_rgba WHERE x = 0 AND y = 0 AND w <= 9")
 QUERIES["g20_rect_edges"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select(
     "doc_id", *[c.alias(n) for n, c in geometry.rect_edges(F.col("doc_id") * 1000 - 5, F.lit(2147483000) - F.col("doc_id"), F.col("n_chars"), F.col("n_chars")).items()])
 SQL["g20_rect_edges"] = ("SELECT doc_id, doc_id * 1000 - 5 AS \"left\", 2147483000 - doc_id AS top, least(doc_id * 1000 - 5 + n_chars, 2147483647) AS \"right\", least(2147483000 - doc_id + n_chars, 2147483647) AS bottom FROM documents")

@@ -285,6 +285,14 @@ def test_images_of_unlike_width(spark):
         geometry.concat_vertical(top, bottom, strict=True)
 
 
+def test_images_that_a_rectangle_leaves_empty(spark):
+    px = picture(spark, [np.zeros((4, 8, 4), int), np.zeros((6, 3, 4), int)])
+    left = lambda *rect: sorted(r["image_id"] for r in geometry.cropped_away(px, *rect).collect())
+    assert left(3, 0, 2, 2) == [1] and left(0, 4, 2, 2) == [0] and left(-2, 0, 2, 9) == [0, 1] and left(0, 0, 0, 5) == [0, 1] and left(-1, -1, 2, 2) == []
+    kept = {r["image_id"] for r in geometry.crop(px, 3, 0, 2, 2).collect()}
+    assert kept == {0}
+
+
 def test_filters_by_kind(spark):
     px = picture(spark, [np.random.default_rng(9).integers(0, 256, (6, 7, 4))])
     same = lambda a, b: sorted(map(tuple, a.select(px.columns).collect())) == sorted(map(tuple, b.select(px.columns).collect()))
