@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -83,6 +84,7 @@ def _syndromes(words: np.ndarray) -> np.ndarray:
     return rest
 
 
+@lru_cache(1)
 def _golay_shifts() -> np.ndarray:
     """Per syndrome (2048) six error patterns leading to the codewords that are a word's keys.
 
@@ -179,12 +181,8 @@ def _match(bits: int):
     return match
 
 
-def segment_keys(fps: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
-    """[n, 2, 18] keys of fingerprints of ``sizes`` shingles: one segment's codeword index and a size class (-1 where a key would repeat).
-
-    Of 8 differing bits over 3 segments one has 2 at most, so fingerprints up to 8 bits apart share a segment's
-    codeword, and many further apart do. Sets as similar as ``least`` differ in size by 1 / ``least`` at most: in one class or two neighbouring ones.
-    """
+def segment_words(fps: np.ndarray) -> np.ndarray:
+    """[n, 18] codeword indices of the segments, each with the number of its segment above it (-1 where one would repeat)."""
     shifts = _golay_shifts()
     parts = []
     for p, (start, width) in enumerate(SEGMENTS):
@@ -192,20 +190,45 @@ def segment_keys(fps: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray
         errors = shifts[_syndromes(part)]
         once = np.concatenate([np.ones((len(fps), 1), bool), errors[:, 1:] != errors[:, :1]], axis=1)
         parts.append(np.where(once, (p << 12) | ((part[:, None] ^ errors) >> 11), -1))
-    segment = np.concatenate(parts, axis=1)
-    band = np.floor(np.log(np.maximum(sizes, 1)) / (np.log(1 / least) + 1e-9)).astype(np.int64)
+    return np.concatenate(parts, axis=1)
+
+
+def size_band(sizes: np.ndarray, least: float) -> np.ndarray:
+    """Classes of sizes: sets as similar as ``least`` lie in one or in two neighbouring ones."""
+    return np.floor(np.log(np.maximum(sizes, 1)) / (np.log(1 / least) + 1e-9)).astype(np.int64)
+
+
+def segment_keys(fps: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """[n, 2, 18] keys of fingerprints of ``sizes`` shingles: one segment's codeword index and a size class (-1 where a key would repeat).
+
+    Of 8 differing bits over 3 segments one has 2 at most, so fingerprints up to 8 bits apart share a segment's
+    codeword, and many further apart do. Sets as similar as ``least`` differ in size by 1 / ``least`` at most: in one class or two neighbouring ones.
+    """
+    segment, band = segment_words(fps), size_band(sizes, least)
     return np.stack([np.where(segment < 0, -1, ((band + up)[:, None] << 14) | segment) for up in (0, 1)], axis=1)
 
 
+def first_common(words: np.ndarray, i: np.ndarray, j: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Whether ``word``, which rows i and j of ``words`` (see ``segment_words``) share, is the least that they share."""
+    good = np.ones(len(i), bool)
+    for at in range(0, len(i), 65536):
+        cut = slice(at, at + 65536)
+        for p in range(0, words.shape[1], 6):
+            x, y = words[i[cut], p:p + 6, None], words[j[cut], None, p:p + 6]
+            good[cut] &= ~((x == y) & (x >= 0) & (x < word[cut, None, None])).any((1, 2))
+    return good
+
+
 def _emit_segment_keys(least: float):
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 4096):
                 part = pdf[at:at + 4096]
-                keys = segment_keys(part["fp"].to_numpy().astype(np.int64).view(np.uint64), part["size"].to_numpy(), least).reshape(len(part), -1)
+                keys = segment_keys(part["fp"].to_numpy().astype(np.int64).view(np.uint64), part["size"].to_numpy(), least)
+                upper = np.broadcast_to(np.array([False, True])[:, None], keys.shape)
                 good = keys >= 0
-                n = good.sum(1)
-                yield pd.DataFrame({"key": keys[good], **{c: np.repeat(part[c].to_numpy(), n) for c in ("fp", "node", "root", "mini")}})
+                n = good.sum((1, 2))
+                yield pd.DataFrame({"key": keys[good], "upper": upper[good], **{c: np.repeat(part[c].to_numpy(), n) for c in ("fp", "node", "root", "mini")}})
 
     return emit
 
@@ -214,51 +237,176 @@ def _emit_segment_keys(least: float):
 BLOCK_WORDS, BLOCK_ROWS = 131_072, 64
 
 
-def _candidates(bits: int, reach: int | None, minima: int, least: float):
-    """Pairs of nodes with a common key, at most ``bits`` apart, of different roots and agreeing in ``minima`` of the eight bytes of ``mini``; rows sorted by key and fingerprint.
+def _by_key(found, columns: tuple[str, ...]):
+    """``found`` over runs of whole keys: rows arrive sorted by key, and a key's rows may straddle batches."""
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [np.zeros(0, np.int64)] * len(columns)
+        for pdf in batches:
+            held = [np.concatenate([h, pdf[c].to_numpy().astype(np.int64)]) for h, c in zip(held, columns)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if cut > 100_000:
+                yield from found(*[h[:cut] for h in held])
+                held = [h[cut:] for h in held]
+        if len(held[0]):
+            yield from found(*held)
+
+    return match
+
+
+def _tiles(keys: np.ndarray, least: float) -> np.ndarray:
+    """Tiles of bounded size that each key's rows are cut into."""
+    words = (1 / least) ** ((keys >> 14) + 1.0)
+    return (np.arange(len(keys)) - np.searchsorted(keys, keys)) // np.clip(BLOCK_WORDS // words, 1, BLOCK_ROWS).astype(np.int64)
+
+
+def _agree(minis: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return ((minis[i] ^ minis[j]).view(np.uint8).reshape(-1, 8) == 0).sum(1)
+
+
+def _neighbours(bits: int, minima: int, least: float):
+    """Pairs of neighbours in the order of fingerprints under a key, at most ``bits`` apart and agreeing in ``minima`` of the eight bytes of ``mini``: no more than rows.
+
+    ``tile_a`` and ``tile_b`` name the tiles of the pair.
+    """
+
+    def pairs(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, minis: np.ndarray) -> Iterator[pd.DataFrame]:
+        u64, tile, at = fps.view(np.uint64), _tiles(keys, least), np.flatnonzero(keys[1:] == keys[:-1])
+        at = at[np.bitwise_count(u64[at] ^ u64[at + 1]) <= bits]
+        at = at[_agree(minis, at, at + 1) >= minima]
+        low, high = np.minimum(ids[at], ids[at + 1]), np.maximum(ids[at], ids[at + 1])
+        yield pd.DataFrame({"a": low, "b": high, "key": keys[at], "tile_a": tile[at], "tile_b": tile[at + 1]}).drop_duplicates(["a", "b"])
+
+    return _by_key(pairs, ("key", "fp", "node", "mini"))
+
+
+#: A row's place in a block of candidate pairs: the block is a key and two of its tiles, ``side`` is 1 in the second of two different ones.
+PLACE = ("key", "tile_a", "tile_b", "side", "node", "root")
+PLACES = ", ".join(f"{c} long" for c in PLACE)
+
+
+def _members(bits: int, minima: int, least: float):
+    """Places of the rows that have candidate pairs in a block: pairs of different roots with a common key, at most ``bits`` apart and agreeing in ``minima`` bytes of ``mini``.
 
-    With ``reach`` only rows that many places apart at most are compared: about as many pairs as rows. A key's rows are cut into tiles
-    of bounded size; ``tile_a`` and ``tile_b`` name those of the pair.
+    A pair belongs to its least common key alone. Pairs are not sent on, as a block finds its own again (``_open_pairs``): a tile pair sends as many
+    rows as it has, not as many as its pairs. A place may come twice.
     """
 
-    def pairs(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray, minis: np.ndarray) -> Iterator[pd.DataFrame]:
-        u64, live, lag, held, many = fps.view(np.uint64), np.arange(len(keys)), 1, [], 0
-        first = np.searchsorted(keys, keys)
-        words = (1 / least) ** ((keys >> 14) + 1.0)
-        tile = (np.arange(len(keys)) - first) // np.clip(BLOCK_WORDS // words, 1, BLOCK_ROWS).astype(np.int64)
+    def places(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, roots: np.ndarray, minis: np.ndarray, upper: np.ndarray) -> Iterator[pd.DataFrame]:
+        u64, words, tile = fps.view(np.uint64), segment_words(fps.view(np.uint64)).astype(np.int16), _tiles(keys, least)
+        live, lag, held, many, span = np.arange(len(keys)), 1, [], 0, int(tile.max()) + 1
 
-        def out() -> pd.DataFrame:
-            at, to = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            low, high = np.minimum(ids[at], ids[to]), np.maximum(ids[at], ids[to])
-            return pd.DataFrame({"a": low, "b": high, "key": keys[at], "tile_a": tile[at], "tile_b": tile[to]}).sort_values("key").drop_duplicates(["a", "b"])
+        def out(codes: np.ndarray) -> pd.DataFrame:
+            at, other = codes // span, codes % span
+            own = tile[at]
+            return pd.DataFrame({"key": keys[at], "tile_a": np.minimum(own, other), "tile_b": np.maximum(own, other), "side": (own > other).astype(np.int64), "node": ids[at], "root": roots[at]})
 
-        while len(live) and lag <= (reach or lag):
+        while len(live):
             live = live[live + lag < len(keys)]
             live = live[keys[live] == keys[live + lag]]
-            hit = live[(roots[live] != roots[live + lag]) & (np.bitwise_count(u64[live] ^ u64[live + lag]) <= bits)]
-            hit = hit[((minis[hit] ^ minis[hit + lag]).view(np.uint8).reshape(-1, 8) == 0).sum(1) >= minima]
-            held.append((hit, hit + lag))
-            many += len(hit)
+            # Two rows of the class below meet under that class.
+            hit = live[(roots[live] != roots[live + lag]) & (upper[live] + upper[live + lag] < 2) & (np.bitwise_count(u64[live] ^ u64[live + lag]) <= bits)]
+            hit = hit[_agree(minis, hit, hit + lag) >= minima]
+            hit = hit[first_common(words, hit, hit + lag, keys[hit] & 0x3FFF)]
+            held += [hit * span + tile[hit + lag], (hit + lag) * span + tile[hit]]
+            many += 2 * len(hit)
             lag += 1
             if many > 1_000_000:
-                yield out()
-                many = 0
+                held = [np.unique(np.concatenate(held))]
+                many = len(held[0])
+                if many > 500_000:
+                    yield out(held[0])
+                    held, many = [], 0
         if held:
-            yield out()
+            yield out(np.unique(np.concatenate(held)))
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [np.zeros(0, np.int64)] * 5
-        for pdf in batches:
-            held = [np.concatenate([h, pdf[c].to_numpy().astype(np.int64)]) for h, c in zip(held, ("key", "fp", "node", "root", "mini"))]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if cut > 100_000:
-                yield from pairs(*[h[:cut] for h in held])
-                held = [h[cut:] for h in held]
-        if len(held[0]):
-            yield from pairs(*held)
+    return _by_key(places, ("key", "fp", "node", "root", "mini", "upper"))
 
-    return match
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each block, every node once; rows arrive sorted by block."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        at, cols = pdf[["key", "tile_a", "tile_b"]].to_numpy(), {c: pdf[c].to_numpy() for c in pdf.columns}
+        starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(1)]))
+        for i, j in zip(starts[:-1], starts[1:]):
+            yield _once({c: v[i:j] for c, v in cols.items()})
+        rest = pdf[starts[-1]:]
+    if rest is not None:
+        yield _once({c: rest[c].to_numpy() for c in rest.columns})
+
+
+def _once(block: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    first = np.unique(block["node"], return_index=True)[1]
+    return block if len(first) == len(block["node"]) else {c: v[first] for c, v in block.items()}
+
+
+def _open_pairs(block: dict[str, np.ndarray], bits: int, minima: int, least: float, floor: int) -> tuple[np.ndarray, np.ndarray]:
+    """The candidate pairs of a block (see ``_members``) whose sketches agree in ``floor`` bytes at least."""
+    key, side = int(block["key"][0]), block["side"]
+    if block["tile_a"][0] == block["tile_b"][0]:
+        i, j = np.triu_indices(len(side), 1)
+    else:
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        i, j = np.repeat(a, len(b)), np.tile(b, len(a))
+    u64, root = block["fp"].astype(np.int64).view(np.uint64), block["root"]
+    upper = size_band(block["size"], least) < key >> 14
+    good = (root[i] != root[j]) & ~(upper[i] & upper[j]) & (np.bitwise_count(u64[i] ^ u64[j]) <= bits)
+    i, j = i[good], j[good]
+    bytes_ = np.frombuffer(b"".join(block["sketch"]), np.uint8).reshape(-1, 64)
+    same = bytes_[i] == bytes_[j]
+    good = (same[:, :8].sum(1) >= minima) & (same.sum(1) >= floor)
+    i, j = i[good], j[good]
+    good = first_common(segment_words(u64), i, j, np.full(len(i), key & 0x3FFF))
+    return i[good], j[good]
+
+
+def _still_open(*tests):
+    """Places that have a pair whose sketches agree."""
+
+    def still_open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [pd.DataFrame(columns=PLACE, dtype=np.int64)]
+        for block in _blocks(batches):
+            at = np.unique(np.concatenate(_open_pairs(block, *tests)))
+            held.append({c: block[c][at] for c in PLACE})
+            if len(held) > 10_000:
+                yield pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in PLACE})
+                held = held[:1]
+        yield pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in PLACE})
+
+    return still_open
+
+
+def _spanning(shingle: int, bits: int, minima: int, least: float, floor: int):
+    """Links that span what the similar texts of each block connect: every open pair is compared unless earlier links of its block connect it."""
+
+    def spanning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        test, found = _Texts(shingle, least), []
+        for block in _blocks(batches):
+            up, sets = list(range(len(block["node"]))), {}
+
+            def top(x: int) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            for i, j in zip(*(x.tolist() for x in _open_pairs(block, bits, minima, least, floor))):
+                if top(i) != top(j):
+                    for x in (i, j):
+                        if x not in sets:
+                            sets[x] = test.prepare(block["text"][x])
+                    if test(sets[i], sets[j]):
+                        found.append((block["node"][i], block["node"][j]))
+                        up[top(i)] = top(j)
+            if len(found) > 100_000:
+                yield pd.DataFrame(found, columns=["a", "b"])
+                found = []
+        yield pd.DataFrame(found, columns=["a", "b"])
+
+    return spanning
 
 
 def _in_blocks(pairs: DataFrame, values: DataFrame, test, joined: bool) -> DataFrame:
@@ -414,19 +562,36 @@ def _verified(docs: DataFrame, shingle: int, bits: int, least: float) -> DataFra
     nodes = stage(nodes, "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 1
 
-    def compared(rooted: DataFrame, reach: int | None) -> DataFrame:
-        keyed = rooted.mapInPandas(_emit_segment_keys(least), "key long, fp long, node long, root long, mini long")
-        found = keyed.repartition("key").sortWithinPartitions("key", "fp", "node").mapInPandas(_candidates(bits, reach, minima, least), "a long, b long, key long, tile_a long, tile_b long")
+    def keyed(rooted: DataFrame) -> DataFrame:
+        return rooted.mapInPandas(_emit_segment_keys(least), "key long, upper boolean, fp long, node long, root long, mini long").repartition("key").sortWithinPartitions("key", "fp", "node")
+
+    def near() -> DataFrame:
+        """Links of neighbours."""
+        found = keyed(nodes.select("fp", "size", "node", "mini", F.col("node").alias("root"))).mapInPandas(_neighbours(bits, minima, least), "a long, b long, key long, tile_a long, tile_b long")
         # Each pair belongs to its least key, so the pairs of a group of copies share few blocks.
         pairs = found.groupBy("a", "b").agg(F.min(F.struct("key", "tile_a", "tile_b")).alias("at")).select("a", "b", F.xxhash64("at.key", "at.tile_a", "at.tile_b").alias("block"))
         pairs = stage(_in_blocks(stage(pairs, "candidates"), nodes.select("node", F.col("sketch").alias("value")), _Sketches(floor), False), "pairs")
         texts = rows.select(F.col("row").alias("node"), F.col("text").alias("value"))
         return stage(_in_blocks(pairs, texts, _Texts(shingle, least), True).select("a", "b"), "links")
 
-    links = compared(nodes.select("fp", "size", "node", "mini", F.col("node").alias("root")), 1)
+    def apart(rooted: DataFrame) -> DataFrame:
+        """Links of all candidate pairs of different roots."""
+
+        def blocks(places: DataFrame, values: DataFrame) -> DataFrame:
+            # A value travels once to each block that needs it.
+            here = values.join(broadcast_if_small(places, 2_000_000), "node")
+            return here.repartition("key", "tile_a", "tile_b").sortWithinPartitions("key", "tile_a", "tile_b")
+
+        places = stage(keyed(rooted).mapInPandas(_members(bits, minima, least), PLACES), "members")
+        held = blocks(places, nodes.select("node", "fp", "size", "sketch"))
+        places = stage(held.mapInPandas(_still_open(bits, minima, least, floor), PLACES), "open")
+        held = blocks(places, rows.select(F.col("row").alias("node"), "fp", "size", "sketch", "text"))
+        return stage(held.mapInPandas(_spanning(shingle, bits, minima, least, floor), "a long, b long"), "links")
+
+    links = near()
     roots = components(links)
     rooted = nodes.join(roots, "node", "left").select("fp", "size", "node", "mini", F.coalesce("root", "node").alias("root"))
-    roots = components(links.union(compared(stage(rooted, "rooted"), None)))
+    roots = components(links.union(apart(stage(rooted, "rooted"))))
     tagged = nodes.join(roots, "node", "left").select("words", "low", "n", F.coalesce("root", "node").alias("root"))
     smallest = tagged.groupBy("root").agg(F.min("low").alias("component_id"))
     final = stage(tagged.join(smallest, "root").select("words", "component_id", "n"), "components")
