@@ -27,6 +27,7 @@ START, ANY = 0, -1
 WORD = re.compile(r"[^\W_]+")
 KINDS = ["n00", "n01", "n10", "n11"]  # texts by fold and class
 PAIRS = "prev long, word long, " + ", ".join(f"{k} long" for k in KINDS)
+SEEN = "prev long, word long, kinds int, " + ", ".join(f"{k} long" for k in KINDS)
 #: Folds a model learns from; "a" scores the rows of fold 1 and "b" those of fold 0 for the calibration.
 VARIANTS = {"a": "0", "b": "1", "all": "01"}
 
@@ -86,6 +87,28 @@ def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"prev": ids[first // max(len(ids), 1)], "word": ids[first % max(len(ids), 1)], **counts})
 
 
+def _see_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs (prev, word) of a portion of texts with a bit for each of ``KINDS`` that holds them; last, a row without words that has the sums of their counts."""
+    sums = dict.fromkeys(KINDS, 0)
+    for pdf in _count_pairs(batches):
+        sums = {k: n + int(pdf[k].sum()) for k, n in sums.items()}
+        kinds = ((pdf[KINDS].to_numpy() > 0) @ (1 << np.arange(len(KINDS)))).astype(np.int32)
+        yield pd.DataFrame({"prev": pdf["prev"], "word": pdf["word"], "kinds": kinds, **dict.fromkeys(KINDS)})
+    yield pd.DataFrame({"prev": [None], "word": [None], "kinds": [0], **{k: [n] for k, n in sums.items()}})
+
+
+def _predecessors(rows: DataFrame) -> DataFrame:
+    """Per word and variant the distinct words before it in toxic (t), ordinary (o) and all (s) texts; a row without a word has the sums of ``KINDS``.
+
+    All words are counted, so rows follow the input, whatever later tests ask for.
+    """
+    sums = [F.sum(k).alias(k) for k in KINDS]
+    pairs = rows.mapInPandas(_see_pairs, SEEN).groupBy("prev", "word").agg(F.bit_or("kinds").alias("kinds"), *sums)
+    mask = lambda folds, classes: sum(1 << KINDS.index(f"n{f}{c}") for f in folds for c in classes)
+    counts = [F.count_if(F.col("kinds").bitwiseAND(mask(f, c)) > 0).alias(f"{n}_{v}") for v, f in VARIANTS.items() for n, c in (("t", "1"), ("o", "0"), ("s", "01"))]
+    return pairs.groupBy("word").agg(*counts, *sums)
+
+
 def _of(folds: str, toxic: str) -> Column:
     """Sum of the text counts of those folds and classes."""
     return sum((F.col(f"n{f}{c}") for f in folds for c in toxic), F.lit(0))
@@ -119,31 +142,14 @@ class Model:
     totals: dict = field(default_factory=dict)
 
 
-def _totals(pairs: DataFrame) -> dict[str, dict[str, float]]:
-    """Per variant: distinct pairs of toxic, ordinary and all texts, distinct words, and texts counted per class.
-
-    Distinct counts are HyperLogLog estimates (lgK 15, about 0.6 %): registers travel, not pairs.
-    """
-    seen = lambda k, of: F.hll_sketch_agg(F.when(F.col(k) > 0, of), F.lit(15))
-    pair, sketched = F.xxhash64("prev", "word"), [f"{w}{k}" for w in "pw" for k in KINDS]
-    parts = pairs.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).agg(
-        *[seen(k, pair).alias(f"p{k}") for k in KINDS], *[seen(k, F.col("word")).alias(f"w{k}") for k in KINDS], *[F.sum(k).alias(k) for k in KINDS])
-    # At most 64 rows of sketches reach the last task.
-    sketches = parts.agg(*[F.hll_union_agg(c).alias(c) for c in sketched], *[F.sum(k).alias(k) for k in KINDS])
-
-    def union(what: str, folds: str, classes: str) -> Column:
-        cols = [F.col(f"{what}n{f}{c}") for f in folds for c in classes]
-        out = cols[0]
-        for c in cols[1:]:
-            out = F.hll_union(out, c)
-        return F.hll_sketch_estimate(out)
-
+def _totals(words: DataFrame) -> dict[str, dict[str, float]]:
+    """Per variant: distinct pairs of toxic, ordinary and all texts, distinct words, and texts counted per class."""
     made = []
-    for name, folds in VARIANTS.items():
-        made += [union("p", folds, "1").alias(f"{name}_t"), union("p", folds, "0").alias(f"{name}_o"), union("p", folds, "01").alias(f"{name}_s"), union("w", folds, "01").alias(f"{name}_v")]
-        made += [F.coalesce(_of(folds, c), F.lit(0)).alias(f"{name}_n{c}") for c in "01"]
-    row = sketches.select(made).first()
-    return {v: {k: float(row[f"{v}_{k}"]) for k in ("t", "o", "s", "v", "n0", "n1")} for v in VARIANTS}
+    for v, folds in VARIANTS.items():
+        made += [F.sum(f"{n}_{v}").alias(f"{v}_{n}") for n in "tos"] + [F.count_if(F.col(f"s_{v}") > 0).alias(f"{v}_v")]
+        made += [F.sum(_of(folds, c)).alias(f"{v}_n{c}") for c in "01"]
+    row = words.agg(*made).first()
+    return {v: {k: float(row[f"{v}_{k}"] or 0) for k in ("t", "o", "s", "v", "n0", "n1")} for v in VARIANTS}
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -153,56 +159,56 @@ def fit(labelled: DataFrame) -> Model:
     the pair among pairs after v, plus the weight freed there times P(w), itself the discounted share of w among the class's
     distinct pairs (continuation count) plus the freed weight times the continuation probability over both classes together.
     Expressions whose class counts do not differ by test (``EXCESS``, ``WORD_TEST``, ``PAIR_TEST``) are pruned: their weight
-    goes to the shared backoff in both classes, so they say as much in one as in the other, seen or unseen. Each distribution still sums to 1
-    (up to the estimate of the totals). A pair counts once per text, a word once per distinct predecessor, so neither repeated lines nor copied texts weigh like
+    goes to the shared backoff in both classes, so they say as much in one as in the other, seen or unseen. Each distribution still sums to 1.
+    A pair counts once per text, a word once per distinct predecessor, so neither repeated lines nor copied texts weigh like
     many texts. Null and empty texts add nothing; with rows of one class only, scores are constant.
 
-    Toxic pairs, the rarer class, are counted first; ordinary ones only for words that could pass the test. Two models of one half of
+    Distinct predecessors are counted for every word, texts only for what could pass the test: toxic pairs, the rarer class, come first. Two models of one half of
     the rows each score the other half, from which a logistic calibration is fitted: halves by hash of the text, so exact copies stay together.
     """
     rows = labelled.where("text is not null").select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"))
     pairs = rows.mapInPandas(_count_pairs, PAIRS)
-    total = _totals(pairs)
+    words = stage(_predecessors(rows), "predecessors")
+    total = _totals(words)
     model = Model(weight=(0.0, 3.0 if total["all"]["n1"] and not total["all"]["n0"] else -3.0), totals=total)
     if not (total["all"]["n1"] and total["all"]["n0"]):
         return model
     live = {v: folds for v, folds in VARIANTS.items() if total[v]["n0"] and total[v]["n1"]}
-    toxic = stage(rows.where("toxic = 1").mapInPandas(_count_pairs, PAIRS).groupBy("prev", "word").agg(*[F.sum(k).alias(k) for k in KINDS]), "toxic_pairs")
+    sums = [F.sum(k).alias(k) for k in KINDS]
+    toxic = stage(rows.where("toxic = 1").mapInPandas(_count_pairs, PAIRS).groupBy("prev", "word").agg(*sums), "toxic_pairs")
     text_share = {v: total[v]["n1"] / (total[v]["n0"] + total[v]["n1"]) for v in live}
     pair_share = {v: total[v]["t"] / (total[v]["t"] + total[v]["o"]) for v in live}
 
-    # Words and pairs that pass the test even were no ordinary text to hold them are counted in texts of both classes.
+    # Words and pairs that pass the test even were no ordinary text to hold them are counted in texts of both classes, and so are the words that such pairs begin with.
     least = {v: WORD_TEST / (2 * log(1 / _raised(pair_share[v]))) for v in live}
-    hopeful = toxic.groupBy("word").agg(*[F.count_if(_of(f, "1") > 0).alias(v) for v, f in live.items()])
-    hopeful = hopeful.where(" or ".join(f"{v} >= {least[v]}" for v in live)).select("word", F.lit(True).alias("is_word"))
+    hopeful = words.where("word is not null").where(" or ".join(f"t_{v} >= {least[v]}" for v in live)).select("word", F.lit(True).alias("is_word"))
     strict = {v: 2 * log(max(total[v]["s"], 1) / PAIR_TEST) for v in live}
     at_least = min(strict[v] / (2 * log(1 / _raised(text_share[v]))) for v in live)
     some = toxic.where(_of("01", "1") >= at_least).select("prev", "word", F.lit(True).alias("is_pair"))
-    sums = [F.sum(k).alias(k) for k in KINDS]
-    marked = pairs.join(broadcast_if_small(hopeful, BROADCAST_ROWS), "word", "left").join(broadcast_if_small(some, BROADCAST_ROWS), ["prev", "word"], "left")
-    keys = F.array_compact(F.array(F.when(F.col("is_word"), F.lit(ANY).cast("long")), F.when(F.col("is_pair"), F.col("prev"))))
-    spread = stage(marked.select(F.explode(keys).alias("prev"), "word", *KINDS).groupBy("prev", "word").agg(*sums), "spread")
+    before = some.select("prev", F.lit(True).alias("is_context")).distinct()
+    marked = pairs
+    for marks, on in ((hopeful, ["word"]), (some, ["prev", "word"]), (before, ["prev"])):
+        marked = marked.join(broadcast_if_small(marks, BROADCAST_ROWS), on, "left")
+    key = lambda mark, prev, word: F.when(F.col(mark), F.struct(prev.alias("prev"), word.alias("word")))
+    prev, word, any_ = F.col("prev"), F.col("word"), F.lit(ANY).cast("long")
+    keys = F.array_compact(F.array(key("is_word", any_, word), key("is_pair", prev, word), key("is_context", prev, any_)))
+    spread = stage(marked.select(F.explode(keys).alias("key"), *KINDS).groupBy("key").agg(*sums).select("key.*", *KINDS), "spread")
     telling = {v: _evidence(_of(f, "1"), _of(f, "0"), _raised(text_share[v])) >= WORD_TEST for v, f in live.items()}
     shares = spread.where(F.col("prev") == ANY).select("word", *[F.when(c, _of(live[v], "1") / _of(live[v], "01")).alias(f"q_{v}") for v, c in telling.items()])
     shares = stage(shares.where(" or ".join(f"q_{v} is not null" for v in live)), "shares")
 
     # Pairs must pass it beyond what both of their words tell.
-    some = spread.where(F.col("prev") != ANY)
+    some = spread.where((F.col("prev") != ANY) & (F.col("word") != ANY))
     for c in ("word", "prev"):
         some = some.join(broadcast_if_small(shares.select(F.col("word").alias(c), *[F.col(f"q_{v}").alias(f"{c}_{v}") for v in live]), BROADCAST_ROWS), c, "left")
     known = {v: F.greatest(F.coalesce(f"word_{v}", F.lit(0.0)), F.coalesce(f"prev_{v}", F.lit(0.0)), F.lit(text_share[v])) for v in live}
     passed = [(_evidence(_of(f, "1"), _of(f, "0"), F.least(_raised(known[v]), F.lit(1 - 1e-9))) >= strict[v]).alias(f"ok_{v}") for v, f in live.items()]
     some = stage(some.select("prev", "word", *KINDS, *passed).where(" or ".join(f"ok_{v}" for v in live)), "kept_pairs")
-    any_pairs = not some.isEmpty()
+    contexts = None if some.isEmpty() else spread.where(F.col("word") == ANY)
 
     wanted = shares.select("word").union(some.select("word")).distinct()
-    counted = stage(pairs.join(broadcast_if_small(wanted, BROADCAST_ROWS), "word", "left_semi").groupBy("prev", "word").agg(*sums), "counted")
-    contexts = None
-    if any_pairs:
-        contexts = stage(pairs.join(broadcast_if_small(some.select("prev").distinct(), BROADCAST_ROWS), "prev", "left_semi").groupBy("prev").agg(*sums), "contexts")
-    words = counted.groupBy("word").agg(*[F.count_if(_of(f, c) > 0).alias(f"{n}_{v}") for v, f in live.items() for n, c in (("t", "1"), ("o", "0"), ("s", "01"))])
-    words = stage(words.join(shares, "word", "left"), "words")
-    models = {v: _model(v, words, contexts, some if any_pairs else None, total[v], pair_share[v]) for v in live}
+    words = stage(words.join(broadcast_if_small(wanted, BROADCAST_ROWS), "word").join(shares, "word", "left"), "words")
+    models = {v: _model(v, words, contexts, some if contexts is not None else None, total[v], pair_share[v]) for v in live}
 
     held = [(_contrast(rows.where(f"fold = {fold}"), models[v]), v) for v, fold in (("b", 0), ("a", 1)) if v in models]
     if held:
