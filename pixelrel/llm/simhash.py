@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -233,8 +234,8 @@ def _emit_segment_keys(least: float):
     return emit
 
 
-#: Words of the texts a block of candidate pairs may hold on each side, and rows at most.
-BLOCK_WORDS, BLOCK_ROWS = 131_072, 64
+#: Words of the texts a block of candidate pairs may hold on each side; within that it has ``BLOCK_ROWS`` rows, more where else a key had more than ``KEY_TILES`` tiles.
+BLOCK_WORDS, BLOCK_ROWS, KEY_TILES = 1 << 20, 512, 8
 
 
 def _by_key(found, columns: tuple[str, ...]):
@@ -255,9 +256,12 @@ def _by_key(found, columns: tuple[str, ...]):
 
 
 def _tiles(keys: np.ndarray, least: float) -> np.ndarray:
-    """Tiles of bounded size that each key's rows are cut into."""
+    """Tiles that each key's rows are cut into: a row meets at most ``KEY_TILES`` of them, unless their texts would outgrow ``BLOCK_WORDS``."""
+    first = np.searchsorted(keys, keys)
+    rows = np.searchsorted(keys, keys, "right") - first
     words = (1 / least) ** ((keys >> 14) + 1.0)
-    return (np.arange(len(keys)) - np.searchsorted(keys, keys)) // np.clip(BLOCK_WORDS // words, 1, BLOCK_ROWS).astype(np.int64)
+    size = np.clip(-(-rows // KEY_TILES), BLOCK_ROWS, np.maximum(BLOCK_WORDS // np.maximum(words, 64), 1)).astype(np.int64)
+    return (np.arange(len(keys)) - first) // size
 
 
 def _agree(minis: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -344,24 +348,32 @@ def _once(block: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return block if len(first) == len(block["node"]) else {c: v[first] for c, v in block.items()}
 
 
-def _open_pairs(block: dict[str, np.ndarray], bits: int, minima: int, least: float, floor: int) -> tuple[np.ndarray, np.ndarray]:
-    """The candidate pairs of a block (see ``_members``) whose sketches agree in ``floor`` bytes at least."""
-    key, side = int(block["key"][0]), block["side"]
-    if block["tile_a"][0] == block["tile_b"][0]:
-        i, j = np.triu_indices(len(side), 1)
-    else:
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        i, j = np.repeat(a, len(b)), np.tile(b, len(a))
+def _open_parts(block: dict[str, np.ndarray], bits: int, minima: int, least: float, floor: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The candidate pairs of a block (see ``_members``) whose sketches agree in ``floor`` bytes at least, some rows' at a time."""
+    key, side, alone = int(block["key"][0]), block["side"], block["tile_a"][0] == block["tile_b"][0]
+    left, right = (np.arange(len(side)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     u64, root = block["fp"].astype(np.int64).view(np.uint64), block["root"]
-    upper = size_band(block["size"], least) < key >> 14
-    good = (root[i] != root[j]) & ~(upper[i] & upper[j]) & (np.bitwise_count(u64[i] ^ u64[j]) <= bits)
-    i, j = i[good], j[good]
+    upper, words = size_band(block["size"], least) < key >> 14, segment_words(u64)
     bytes_ = np.frombuffer(b"".join(block["sketch"]), np.uint8).reshape(-1, 64)
-    same = bytes_[i] == bytes_[j]
-    good = (same[:, :8].sum(1) >= minima) & (same.sum(1) >= floor)
-    i, j = i[good], j[good]
-    good = first_common(segment_words(u64), i, j, np.full(len(i), key & 0x3FFF))
-    return i[good], j[good]
+    step = max(1, 65_536 // max(len(right), 1))
+    for at in range(0, len(left), step):
+        a, b = left[at:at + step, None], right[None, at + 1 if alone else 0:]
+        good = (np.bitwise_count(u64[a] ^ u64[b]) <= bits) & (root[a] != root[b]) & ~(upper[a] & upper[b])
+        i, j = np.nonzero(good & (a < b) if alone else good)
+        i, j = a[i, 0], b[0, j]
+        same = bytes_[i] == bytes_[j]
+        good = (same[:, :8].sum(1) >= minima) & (same.sum(1) >= floor)
+        i, j = i[good], j[good]
+        good = first_common(words, i, j, np.full(len(i), key & 0x3FFF))
+        if good.any():
+            yield i[good], j[good]
+
+
+def _open_pairs(block: dict[str, np.ndarray], *tests) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``_open_parts``."""
+    none = np.zeros(0, np.int64)
+    i, j = zip((none, none), *_open_parts(block, *tests))
+    return np.concatenate(i), np.concatenate(j)
 
 
 def _still_open(*tests):
@@ -370,7 +382,10 @@ def _still_open(*tests):
     def still_open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [pd.DataFrame(columns=PLACE, dtype=np.int64)]
         for block in _blocks(batches):
-            at = np.unique(np.concatenate(_open_pairs(block, *tests)))
+            some = np.zeros(len(block["node"]), bool)
+            for pair in _open_parts(block, *tests):
+                some[np.concatenate(pair)] = True
+            at = np.flatnonzero(some)
             held.append({c: block[c][at] for c in PLACE})
             if len(held) > 10_000:
                 yield pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in PLACE})
@@ -393,7 +408,8 @@ def _spanning(shingle: int, bits: int, minima: int, least: float, floor: int):
                     up[x] = x = up[up[x]]
                 return x
 
-            for i, j in zip(*(x.tolist() for x in _open_pairs(block, bits, minima, least, floor))):
+            parts = _open_parts(block, bits, minima, least, floor)
+            for i, j in chain.from_iterable(zip(i.tolist(), j.tolist()) for i, j in parts):
                 if top(i) != top(j):
                     for x in (i, j):
                         if x not in sets:

@@ -65,3 +65,28 @@ def test_blocks_hold_every_candidate_pair_once():
             if roots[i] != roots[j] and int(fps[i] ^ fps[j]).bit_count() <= BITS and same[:8].sum() >= minima and same.sum() >= floor and keys[i] & keys[j]:
                 want.add((i, j))
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+
+
+def test_rows_of_a_key_meet_few_tiles(monkeypatch):
+    """However many rows a key has, each is sent to KEY_TILES blocks at most, and blocks of many tiles find the pairs that one block finds."""
+    rng = np.random.default_rng(4)
+    for n in (100, 3_000, 12_000):
+        tiles = simhash._tiles(np.repeat(np.int64(20 << 14), n), LEAST)
+        assert tiles.max() < simhash.KEY_TILES, (n, tiles.max())
+    n, minima, floor = 400, 3, 38
+    fps = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, 3), dtype=np.uint64), axis=1)
+    sketches = np.where(rng.random((n, 64)) < 0.15, rng.integers(0, 256, (n, 64), dtype=np.uint8), np.uint8(7))
+    rows = pd.DataFrame({"fp": fps.view(np.int64), "size": rng.integers(90, 160, n), "node": np.arange(n), "root": np.arange(n), "mini": sketches[:, :8].copy().view("<i8")[:, 0]})
+    values = pd.DataFrame({"node": rows["node"], "fp": rows["fp"], "size": rows["size"], "sketch": [x.tobytes() for x in sketches]})
+    keyed = pd.concat(simhash._emit_segment_keys(LEAST)([rows])).sort_values(["key", "fp", "node"])
+    found, sent = {}, {}
+    for size in (16, 512):
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", size)
+        places = pd.concat(simhash._members(BITS, minima, LEAST)([keyed])).drop_duplicates()
+        sent[size] = len(places)
+        held = places.merge(values, on="node").sort_values(["key", "tile_a", "tile_b"])
+        pairs = [(block["node"][i], block["node"][j]) for block in simhash._blocks([held]) for i, j in simhash._open_parts(block, BITS, minima, LEAST, floor)]
+        low, high = (np.concatenate([f(a, b) for a, b in pairs]) for f in (np.minimum, np.maximum))
+        found[size] = sorted(zip(low.tolist(), high.tolist()))
+    assert found[16] == found[512] and len(set(found[16])) == len(found[16]) > 10_000
+    assert sent[512] < sent[16] / 2
