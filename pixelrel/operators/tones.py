@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -287,6 +287,32 @@ def ordered_dither(pixels: DataFrame, palette: list[Entry], threshold: float) ->
 
 _COORDS = ["ok_l", "ok_a", "ok_b"]
 
+#: Bits of each whole number that a fraction is cut into.
+_PART_BITS = 30
+
+
+def exact_sum(v: Column) -> Column:
+    """Sum of doubles, rounded at its end alone, so that no order of rows or partial sums changes it.
+
+    Values are cut into whole numbers (ones, then three times 30 bits behind the point), which add up without rounding: ones below 2**53 in all, fractions of 2**33 values. Digits
+    behind 2**-90 are dropped. Beyond that it is a usual sum; NaN and infinite values stay.
+    """
+    whole = F.rint(v)
+    rest, parts = v - whole, []
+    for _ in range(3):
+        scaled = rest * float(1 << _PART_BITS)
+        part = F.rint(scaled)
+        rest = scaled - part
+        parts.append(F.sum(F.nanvl(part, F.lit(0.0)).cast("long")))
+    # Carries leave 0 to 2**30 - 1 in each part, so both halves below are exact and only their sum is rounded.
+    carry, digits = F.lit(0).cast("long"), []
+    for part in reversed(parts):
+        full = part + carry
+        carry = F.shiftright(full, _PART_BITS)
+        digits.append(full - F.shiftleft(carry, _PART_BITS))
+    low, middle, high = (d * 2.0 ** (-_PART_BITS * k) for d, k in zip(digits, (3, 2, 1)))
+    return (F.sum(whole) + carry + high) + (middle + low)
+
 
 def palettes_of(images: DataFrame, palette: list[Entry]) -> DataFrame:
     """The same first palette for every image_id of ``images``: (image_id, idx, ok_l, ok_a, ok_b, alpha)."""
@@ -297,7 +323,8 @@ def palettes_of(images: DataFrame, palette: list[Entry]) -> DataFrame:
 def refine_palettes(pixels: DataFrame, palettes: DataFrame, iterations: int, split_rounds: int = 0, least_move: float = 5e-4, stride: int = 1, weight: str | None = None) -> DataFrame:
     """k-means of each image's own palette (image_id, idx, ok_l, ok_a, ok_b, alpha; 256 entries at most) on every ``stride``-th pixel, with ``moves`` (max, mean) of each round.
 
-    ``weight`` names a column of ``pixels`` (such as that of ``importance``): means and errors are weighed by it, and an entry whose pixels weigh nothing stays. In the first ``split_rounds`` rounds unused entries move beside the entries of largest error. An image whose entries all move less than
+    ``weight`` names a column of ``pixels`` (such as that of ``importance``): means and errors are weighed by it, and an entry whose pixels weigh nothing stays. Alpha, a whole number, is rounded from
+    sums that no order of pixels changes: means halfway between two alphas do occur. In the first ``split_rounds`` rounds unused entries move beside the entries of largest error. An image whose entries all move less than
     ``least_move`` is done. Images without a palette are left out; those without pixels keep theirs.
     """
     seen = with_oklab(pixels.where((F.col("y") * F.col("w") + F.col("x")) % stride == 0)).select("image_id", *_COORDS, "a", (F.col("a") * ALPHA_SCALE).alias("_t"), (F.lit(1.0) if weight is None else F.col(weight)).alias("_w"))
@@ -305,11 +332,12 @@ def refine_palettes(pixels: DataFrame, palettes: DataFrame, iterations: int, spl
     now = palettes.withColumns({"live": F.lit(True), "moves": F.array().cast("array<struct<max_move:double,mean_move:double>>")})
     for k in range(iterations):
         # A round reads its predecessor twice, so without a written table the plan would double each time.
-        now = _refined(seen, rounds.settle(now) if k else now, k < split_rounds, least_move)
+        # Without weights, sums of alpha are whole numbers.
+        now = _refined(seen, rounds.settle(now) if k else now, k < split_rounds, least_move, F.sum if weight is None else exact_sum)
     return now.drop("live")
 
 
-def _refined(seen: DataFrame, now: DataFrame, split: bool, least_move: float) -> DataFrame:
+def _refined(seen: DataFrame, now: DataFrame, split: bool, least_move: float, added: Callable[[Column], Column]) -> DataFrame:
     packed = now.where("live").groupBy("image_id").agg(F.collect_list(F.struct("idx", *_COORDS, (F.col("alpha") * ALPHA_SCALE).alias("_t"))).alias("_p"))
     parts = [*_COORDS, "_t"]
 
@@ -318,11 +346,11 @@ def _refined(seen: DataFrame, now: DataFrame, split: bool, least_move: float) ->
         return F.struct(sum((x * x for x in d[1:]), d[0] * d[0]).alias("d"), p["idx"].alias("idx"))
 
     near = seen.join(packed, "image_id").withColumn("idx", F.array_min(F.transform("_p", apart))["idx"])
-    total = F.sum("_w")
+    total = added(F.col("_w"))
     weighed = lambda v: F.sum(F.col("_w") * v)
     sse = sum((weighed(F.col(p) * F.col(p)) - weighed(F.col(p)) * weighed(F.col(p)) / total for p in parts), F.lit(0.0))
     step = near.groupBy("image_id", "idx").agg(
-        *[(weighed(F.col(c)) / total).alias(f"_{c}") for c in _COORDS], F.round(weighed(F.col("a")) / total).cast("long").alias("_alpha"), total.alias("_n"), sse.alias("_sse")).where("_n >= 1e-9")
+        *[(weighed(F.col(c)) / total).alias(f"_{c}") for c in _COORDS], F.round(added(F.col("_w") * F.col("a")) / total).cast("long").alias("_alpha"), total.alias("_n"), sse.alias("_sse")).where("_n >= 1e-9")
     d = now.join(step, ["image_id", "idx"], "left")
     far = [F.col(f"_{c}") - F.col(c) for c in _COORDS] + [(F.col("_alpha") - F.col("alpha")) * ALPHA_SCALE]
     d = d.withColumn("_move", sum((x * x for x in far[1:]), far[0] * far[0]))

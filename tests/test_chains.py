@@ -2,6 +2,8 @@
 
 import csv
 import io
+import itertools
+import math
 import random
 import struct
 import zlib
@@ -321,3 +323,35 @@ def test_medians_across_blocks_of_rows(spark, monkeypatch, radius):
             for x in range(a.shape[1]):
                 square = wide[y:y + 2 * radius + 1, x:x + 2 * radius + 1].reshape(-1, 4)
                 assert got[i, x, y] == (*np.median(square, axis=0).astype(int).tolist(), f"{x}-{y}")
+
+
+# ---- sums in any order --------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_exact_sums_are_rounded_once(spark, parts):
+    rng = random.Random(parts)
+    groups = {
+        "shares": [255 / (8 + rng.randrange(900)) for _ in range(3000)], "pair": [188 * 0.21052631578947367, 182 * 0.14035087719298245], "cancel": [1e9 + 0.1, 2.0 ** -50, -1e9, 0.3, -0.1, -2.0 ** -53],
+        "tiny": [rng.random() * 1e-8 for _ in range(500)], "mixed": [rng.uniform(-1, 1) * 10 ** rng.randrange(-3, 6) for _ in range(2000)], "large": [3e300, 1.0], "one": [-0.7], "null": [None], "gap": [None, 0.1, 0.2, 0.3],
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values]
+    rng.shuffle(rows)
+    got = dict(map(tuple, spark.createDataFrame(rows, "k string, v double").repartition(parts).groupBy("k").agg(tones.exact_sum(F.col("v"))).collect()))
+    assert got == {k: math.fsum(v for v in values if v is not None) if k != "null" else None for k, values in groups.items()}
+    odd = spark.createDataFrame([("a", math.nan), ("a", 1.0), ("b", math.inf), ("b", 0.5), ("c", math.inf), ("c", -math.inf)], "k string, v double").groupBy("k").agg(tones.exact_sum(F.col("v"))).collect()
+    assert {k: str(v) for k, v in odd} == {"a": "nan", "b": "inf", "c": "nan"}
+
+
+def test_weighted_alpha_is_the_same_in_any_order(spark):
+    # Three and four pixels of one entry whose weighted mean alpha lies halfway: summed one by one, the order decides where it is rounded to.
+    cases = [([188, 180, 182], [0.21052631578947367, 0.21052631578947367, 0.14035087719298245]), ([188, 190, 182, 0], [1 / 7.5, 1 / 9.5, 1 / 4.5, 1 / 4500])]
+    rows, want, image = [], {}, 0
+    for alphas, weights in cases:
+        for order in itertools.permutations(range(len(alphas))):
+            rows += [(image, len(order), 1, x, 0, 9, 9, 9, alphas[k], weights[k]) for x, k in enumerate(order)]
+            want[image] = math.floor(math.fsum(a * w for a, w in zip(alphas, weights)) / math.fsum(weights) + 0.5)
+            image += 1
+    px = spark.createDataFrame(rows, f"{PIXELS}, weight double").coalesce(1)
+    got = tones.refine_palettes(px, tones.palettes_of(px, [(9, 9, 9, 200)]), 1, weight="weight").collect()
+    assert {r["image_id"]: r["alpha"] for r in got} == want
